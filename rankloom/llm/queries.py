@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from rankloom.llm import exact_dedup as _1
+from rankloom.llm import packing as _2
+from rankloom.llm import simhash as _9
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": _1.op1_exact_dedup,
+        "op2_packing": _2.op2_packing,
+        "op9_simhash_neardup": _9.op9_simhash_neardup,
     }
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from rankloom.llm import exact_dedup as _1
 from rankloom.llm import packing as _2
 from rankloom.llm import simhash as _9
+from rankloom.llm import substring_dedup as _4
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": _1.op1_exact_dedup,
         "op2_packing": _2.op2_packing,
+        "op4_substring_dedup": _4.op4_substring_dedup,
         "op9_simhash_neardup": _9.op9_simhash_neardup,
     }
 
@@ -18,4 +20,5 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_exact_dedup": _1.OP1_SQL,
+        "op4_substring_dedup": _4.OP4_SQL,
     }

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from rankloom.llm import exact_dedup as _1
+from rankloom.llm import language_id as _3
 from rankloom.llm import packing as _2
 from rankloom.llm import simhash as _9
 from rankloom.llm import substring_dedup as _4
+from rankloom.llm import toxicity as _6
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": _1.op1_exact_dedup,
         "op2_packing": _2.op2_packing,
+        "op3_language_id": _3.op3_language_id,
         "op4_substring_dedup": _4.op4_substring_dedup,
+        "op6_toxicity": _6.op6_toxicity,
         "op9_simhash_neardup": _9.op9_simhash_neardup,
     }
 

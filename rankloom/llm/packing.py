@@ -35,17 +35,18 @@ _encoders: dict[str, PieceEncoder] = {}
 
 
 class PieceEncoder:
-    """Token ids as little-endian uint32 bytes, by a cache of pieces; the cache is emptied when it holds `most` entries."""
+    """Token ids as little-endian uint32 bytes, by a cache of pieces in two generations of at most `most` entries each.
 
-    def __init__(self, path: str, most: int = 400_000):
+    A full young generation becomes the old one; a piece found in the old one is young again, so frequent pieces stay.
+    """
+
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.most, self.cache = Tokenizer.from_file(path), most, {}
+        self.model, self.most, self.cache, self.old = Tokenizer.from_file(path), most, {}, {}
 
     def _fill(self, missing: list[str]) -> None:
-        if len(self.cache) + len(missing) > self.most:
-            self.cache = {}
         for k in range(0, len(missing), 5000):
             part = missing[k : k + 5000]
             for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
@@ -68,10 +69,16 @@ class PieceEncoder:
             split.append(None if odd else t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01"))
         wanted = set().union(*(s for s in split if s))
         missing = [w for w in wanted if w not in self.cache]
-        if missing:
-            if len(self.cache) + len(missing) > self.most:
-                missing = list(wanted)
-            self._fill(missing)
+        if len(self.cache) + len(missing) > self.most:
+            self.cache, self.old, missing = {}, self.cache, list(wanted)
+        unknown = []
+        for w in missing:
+            ids = self.old.get(w)
+            if ids is None:
+                unknown.append(w)
+            else:
+                self.cache[w] = ids
+        self._fill(unknown)
         get = self.cache.__getitem__
         return [self._chunks(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 

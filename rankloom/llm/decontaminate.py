@@ -176,8 +176,10 @@ class Retriever:
         out: dict[int, list[tuple[float, int]]] = {}
         for s in range(0, len(able), 512):
             at = able[s : s + 512]
-            spots = (at * half)[:, None] + np.arange(self.window)
-            latent = self.table[np.where(spots < len(ids), rows[np.minimum(spots, len(ids) - 1)], len(self.buckets))].sum(axis=1)
+            need, where = np.unique(np.concatenate((at, at + 1)), return_inverse=True)  # half windows: each is folded in once
+            spots = (need * half)[:, None] + np.arange(half)
+            folded = self.table[np.where(spots < len(ids), rows[np.minimum(spots, len(ids) - 1)], len(self.buckets))].sum(axis=1)
+            latent = folded[where[: len(at)]] + folded[where[len(at) :]]
             score = (latent @ self.queries) / norm[at][:, None]
             i, j = np.nonzero(score >= self.cosine)
             for a, k, c in zip(at[i].tolist(), self.owner[j].tolist(), score[i, j].tolist()):

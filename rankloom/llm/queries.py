@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from rankloom.llm import chat_format as _8
+from rankloom.llm import decontaminate as _7
 from rankloom.llm import exact_dedup as _1
+from rankloom.llm import html_extract as _5
 from rankloom.llm import language_id as _3
 from rankloom.llm import packing as _2
+from rankloom.llm import pii as _10
 from rankloom.llm import simhash as _9
 from rankloom.llm import substring_dedup as _4
 from rankloom.llm import toxicity as _6
@@ -16,8 +20,12 @@ def queries() -> dict:
         "op2_packing": _2.op2_packing,
         "op3_language_id": _3.op3_language_id,
         "op4_substring_dedup": _4.op4_substring_dedup,
+        "op5_html_extract": _5.op5_html_extract,
         "op6_toxicity": _6.op6_toxicity,
+        "op7_decontaminate": _7.op7_decontaminate,
+        "op8_chat_format": _8.op8_chat_format,
         "op9_simhash_neardup": _9.op9_simhash_neardup,
+        "op10_pii": _10.op10_pii,
     }
 
 
@@ -25,4 +33,5 @@ def oracle_sql() -> dict:
     return {
         "op1_exact_dedup": _1.OP1_SQL,
         "op4_substring_dedup": _4.OP4_SQL,
+        "op8_chat_format": _8.OP8_SQL,
     }

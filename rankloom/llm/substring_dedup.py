@@ -76,7 +76,7 @@ def segments(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     return g[at[first]], first, np.diff(np.append(first, len(at)))
 
 
-_ANCHORS = pa.schema([("doc_id", pa.int64()), ("xh", pa.int64()), ("h", pa.list_(pa.int64())), ("s", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+_ANCHORS = pa.schema([("doc_id", pa.int64()), ("xh", pa.int64()), ("h", pa.list_(pa.int64())), ("at", pa.list_(pa.list_(pa.int32())))])
 
 
 def _anchors(window: int, gram: int):
@@ -89,7 +89,10 @@ def _anchors(window: int, gram: int):
                 if i is None or len(words) < window:
                     continue
                 h, s, n = segments(word_hashes(words), window, gram)
-                out.append((i, x, h.view(np.int64), s, n))
+                spots: dict[int, list[int]] = {}
+                for key, a, m in zip(h.view(np.int64).tolist(), s.tolist(), n.tolist()):
+                    spots.setdefault(key, []).extend((a, m))
+                out.append((i, x, list(spots), list(spots.values())))
                 size += len(h)
                 if size > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ANCHORS)], schema=_ANCHORS)
@@ -113,8 +116,7 @@ def _cut(window: int):
             out, size = [], 0
             for i, x, t, found in zip(ids, xh, texts, live):
                 words = t.split()
-                for f in found:
-                    s, n = f["s"], f["n"]
+                for f, s, n in ((f, a, m) for f in found for a, m in zip(f["at"][::2], f["at"][1::2])):
                     body = b" ".join(words[s : s + n + window - 1])
                     out.append((f["h"], i, x, s, n, f["hot"], body))
                     size += len(body) + 60
@@ -213,11 +215,11 @@ def _hot_windows(window: int):
 
 def repeated_windows(docs: DataFrame, window: int = 50, gram: int = 10, group_rows: int = 20_000) -> DataFrame:
     """(doc_id, xh, s, n): runs of window starts whose words also start in a document with a smaller id."""
-    anchors = materialize(docs.mapInArrow(_anchors(window, gram), "doc_id long, xh long, h array<long>, s array<int>, n array<int>"), "anchors")
-    each = anchors.select("doc_id", "xh", F.explode(F.arrays_zip("h", "s", "n")).alias("a")).select("doc_id", "xh", "a.h", "a.s", "a.n")
+    anchors = materialize(docs.mapInArrow(_anchors(window, gram), "doc_id long, xh long, h array<long>, at array<array<int>>"), "anchors")
+    each = anchors.select("doc_id", "xh", F.explode(F.arrays_zip("h", "at")).alias("a")).select("doc_id", "xh", "a.h", "a.at")
     seen = each.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c"))
-    shared = seen.filter("lo < hi").select("h", (F.col("c") > group_rows).alias("hot"))
-    live = each.join(shared, "h").groupBy("doc_id", "xh").agg(F.collect_list(F.struct("h", "s", "n", "hot")).alias("live"))
+    shared = materialize(seen.filter("lo < hi").select("h", (F.col("c") > group_rows).alias("hot")), "shared")  # a plain table: the join below can then split hot anchors
+    live = each.join(shared, "h").groupBy("doc_id", "xh").agg(F.collect_list(F.struct("h", "at", "hot")).alias("live"))
     cut = materialize(docs.join(live, ["doc_id", "xh"]).mapInArrow(_cut(window), _SEGMENT_SQL), "segments")
     flat = "doc_id long, xh long, s int, n int"
     cold = cut.filter("not hot").select("h", "doc_id", "xh", "s", "n", "body").repartition("h").sortWithinPartitions("h")

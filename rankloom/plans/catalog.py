@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import importlib
+
+from rankloom.plans.base import ORACLES, QUERIES
+
+#: Modules whose import registers queries.
+MODULES = ("rank_queries", "id_queries")
+for _m in MODULES:
+    importlib.import_module(f"rankloom.plans.{_m}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)

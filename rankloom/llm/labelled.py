@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -13,13 +12,15 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def bounded_sample(rows: DataFrame, label: str, most: int, seed: int = 5) -> DataFrame:
-    """At most `most` rows, the labels in equal parts as far as they go, by the smallest keyed hash of doc_id.
+    """About `most` rows at most, the labels in equal parts as far as they go: a keyed hash of doc_id picks the share.
 
-    Each label keeps its first `most` rows in partition before any row moves to a common one, so the window is bounded.
+    Each label keeps its rows below a hash cutoff of (its part / its count), so no row is sorted or moved to choose;
+    the number kept is its part give or take a few of its square root, which bounds what callers broadcast.
     """
-    key = F.xxhash64("doc_id", F.lit(seed))
-    share = rows.select(label).distinct().count()
-    each = max(1, most // max(1, share))
-    local = rows.withColumn("_key", key).withColumn("_part", F.spark_partition_id())
-    first = local.withColumn("_n", F.row_number().over(W.partitionBy("_part", label).orderBy("_key", "doc_id"))).filter(F.col("_n") <= each)
-    return first.withColumn("_n", F.row_number().over(W.partitionBy(label).orderBy("_key", "doc_id"))).filter(F.col("_n") <= each).drop("_key", "_part", "_n")
+    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*")).collect()}
+    each = most / max(1, len(counts))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
+    keep = F.lit(False)
+    for value, n in counts.items():
+        keep = keep | ((F.col(label) == F.lit(value)) & (draw < int((1 << 30) * min(1.0, each / n))))
+    return rows.filter(keep)

@@ -78,8 +78,8 @@ def linear_svm(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 150)
 def train(docs: DataFrame, most_rows: int = 4_000) -> dict:
     """Machines over trigram buckets from at most most_rows labelled rows of (doc_id, text, lang)."""
     usable = docs.filter("lang is not null and text is not null").filter(~held_out()).select("doc_id", "lang")
-    chosen = bounded_sample(usable, "lang", most_rows).distinct()
-    got = docs.join(chosen, ["doc_id", "lang"]).select("doc_id", "text", "lang").mapInArrow(_vectors, "x binary, lang string").collect()
+    chosen = bounded_sample(usable, "lang", most_rows).distinct()  # bounded by most_rows pairs, so it is broadcast and no text is shuffled
+    got = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "text", "lang").mapInArrow(_vectors, "x binary, lang string").collect()
     if not got:
         return {"languages": []}
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in got])

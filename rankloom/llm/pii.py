@@ -29,29 +29,13 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ROUNDS = 8
 
 
-def _f(key: str, kind: str, k: int, half: Column) -> Column:
-    """Round function: 60 bits of a keyed hash of the other half."""
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}|{kind}|{k}|"), half.cast("string")), 256), 1, 15), 16, 10).cast("long")
-
-
-def feistel(key: str, kind: str, a: Column, b: Column, size_a, size_b, tweak: Column | None = None) -> tuple[Column, Column]:
-    """Image of (a, b) in [0, size_a) x [0, size_b): halves take turns adding a keyed hash of the other, so each round can be undone."""
-    mark = (lambda x: x.cast("string")) if tweak is None else (lambda x: F.concat_ws("|", x.cast("string"), tweak))
-    for k in range(ROUNDS):
-        if k % 2 == 0:
-            a = F.pmod(a + F.pmod(_f(key, kind, k, mark(b)), size_a), size_a)
-        else:
-            b = F.pmod(b + F.pmod(_f(key, kind, k, mark(a)), size_b), size_b)
-    return a, b
-
-
 def _chain(start: Column, steps) -> Column:
     """Run steps one after another as array elements, so that each half is computed once and not copied into an ever larger expression."""
     return F.aggregate(F.array(*[F.lit(k) for k in range(ROUNDS)]), start, steps)
 
 
 def permute(key: str, kind: str, a: Column, b: Column, size_a, size_b) -> Column:
-    """feistel() as one struct<a, b> column evaluated round by round."""
+    """Image of (a, b) in [0, size_a) x [0, size_b) as struct<a, b>: halves take turns adding a keyed hash of the other, so each round can be undone."""
     size_a, size_b = F.lit(size_a).cast("long") if isinstance(size_a, int) else size_a, F.lit(size_b).cast("long") if isinstance(size_b, int) else size_b
 
     def step(s, k):

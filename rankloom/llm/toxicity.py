@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_feat
     """The model: character trigrams of all documents, and word weights from at most most_rows labelled documents."""
     chars = character_model(docs)
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y")).filter(~held_out())
-    sample = docs.join(bounded_sample(marks, "y", most_rows), "doc_id").select("text", "y")
+    sample = docs.join(F.broadcast(bounded_sample(marks, "y", most_rows)), "doc_id").select("text", "y")  # bounded by most_rows pairs of numbers; no text is shuffled
     got = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(got) < 2:
         return {"chars": chars, "wanted": {}, "w": np.zeros(0), "b": -30.0}

@@ -18,7 +18,7 @@ def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = sql.replace(", 6) AS", ", 6) + 0 AS")  # no negative zero on either side
         return f
 
     return register
@@ -27,4 +27,4 @@ def query(sql: str | None = None):
 def r6(column, name: str | None = None):
     """Rounded to 6 places, the noise floor of sums in another order."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.round(c, 6).alias(name or column)
+    return (F.round(c, 6) + F.lit(0.0)).alias(name or column)

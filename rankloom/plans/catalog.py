@@ -7,7 +7,7 @@ import importlib
 from rankloom.plans.base import ORACLES, QUERIES
 
 #: Modules whose import registers queries.
-MODULES = ("rank_queries", "id_queries", "join_queries", "aggregate_queries", "score_queries", "stat_queries", "resample_queries", "count_queries")
+MODULES = ("rank_queries", "id_queries", "join_queries", "aggregate_queries", "score_queries", "stat_queries", "resample_queries", "count_queries", "graph_queries", "vector_queries", "event_queries")
 for _m in MODULES:
     importlib.import_module(f"rankloom.plans.{_m}")
 

@@ -161,6 +161,8 @@ class Retriever:
                 vectors.append(v @ self.basis[self.row[at]])
                 owner.append(k)
         self.queries, self.owner = np.array(vectors, np.float32).T.copy(), np.array(owner)
+        step = range(0, len(self.table), 4096)
+        self.most = np.concatenate([np.maximum((self.table[k : k + 4096] @ self.queries).max(axis=1, initial=0), 0) for k in step]) if vectors else np.zeros(len(self.table), np.float32)
         self.answers = [answer_of(t, w) for t, w in zip(self.texts, self.words)]
 
     def candidates(self, ids: np.ndarray) -> dict[int, list[tuple[float, int]]]:
@@ -168,11 +170,11 @@ class Retriever:
         half, rows = self.window // 2, self.row[ids]
         starts = np.arange(0, len(ids), half)
         square = self.square[ids]
-        norm, inside = np.add.reduceat(square, starts), np.add.reduceat(square * (rows < len(self.buckets)), starts)
+        norm, bound = np.add.reduceat(square, starts), np.add.reduceat(self.most[rows], starts)
         if len(starts) > 1:
-            norm, inside = norm[:-1] + norm[1:], inside[:-1] + inside[1:]
-        able = np.flatnonzero(inside >= self.cosine**2 * norm)  # a cosine cannot exceed the share of a passage that lies in the items' words
+            norm, bound = norm[:-1] + norm[1:], bound[:-1] + bound[1:]
         norm = np.sqrt(np.maximum(norm, 1e-9))
+        able = np.flatnonzero(bound >= self.cosine * norm)  # no item scores more than what its words give at most
         out: dict[int, list[tuple[float, int]]] = {}
         for s in range(0, len(able), 512):
             at = able[s : s + 512]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """Stream of event files; event time is an instant, as watermarks need it."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def daily_counts(events: DataFrame, late: str = "2 days") -> DataFrame:

@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='rankloom-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where}/rankloom/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from rankloom.sources.shared import materialize
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): smallest node reachable over the links (a, b); nodes without links are not listed."""
-    e = _written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
 
     def state(x):
         return x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -35,7 +23,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
         small = large.join(low, "a").select(F.explode(F.array(pair("a", "m"), pair("b", "m"))).alias("e"))
-        e = _written(small.select("e.a", "e.b").filter("a <> b").distinct())
+        e = materialize(small.select("e.a", "e.b").filter("a <> b").distinct(), "links")
         after = state(e)
         if after == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -21,28 +21,28 @@ def cohort_effects(ranks: DataFrame, least: int = 3) -> DataFrame:
     return s.select("cohort", "feature", effect.alias("effect"))
 
 
-def heldout_axis(effects: DataFrame) -> DataFrame:
+def heldout_axis(effects: DataFrame, cohorts: DataFrame) -> DataFrame:
     """(evaluated, feature, axis): mean effect over the other cohorts, features in at least half of them.
 
-    Leave-one-out without a loop: total minus own, so one aggregation serves every evaluated cohort.
+    Leave-one-out without a loop or a self-join: per feature one map of its cohorts' effects, and total minus own.
+    cohorts is the small table of all cohorts, read without going through the ranks again.
     """
-    total = effects.groupBy("feature").agg(F.sum("effect").alias("s"), F.count("effect").alias("n"))
-    cohorts = effects.select(F.col("cohort").alias("evaluated")).distinct()
-    sources = effects.select("cohort").distinct().agg((F.count(F.lit(1)) - 1).alias("n_src"))
-    own = effects.select(F.col("cohort").alias("evaluated"), "feature", "effect")
-    each = total.join(F.broadcast(cohorts.join(F.broadcast(sources)))).join(own, ["evaluated", "feature"], "left")
-    n = F.col("n") - F.when(F.col("effect").isNotNull(), 1).otherwise(0)
-    kept = each.withColumn("n", n).filter((F.col("n") > 0) & (F.col("n") >= F.ceil(F.col("n_src") * 0.5)))
-    return kept.select("evaluated", "feature", ((F.col("s") - F.coalesce("effect", F.lit(0.0))) / F.col("n")).alias("axis"))
+    names = cohorts.select(F.col("cohort").alias("evaluated")).distinct()
+    small = F.broadcast(names.join(F.broadcast(names.agg((F.count(F.lit(1)) - 1).alias("n_src")))))
+    own = F.map_from_entries(F.collect_list(F.struct("cohort", "effect")))
+    each = effects.groupBy("feature").agg(own.alias("own"), F.sum("effect").alias("s"), F.count("effect").alias("n")).join(small)
+    mine = F.try_element_at("own", F.col("evaluated"))
+    rest = each.select("evaluated", "feature", "n_src", (F.col("s") - F.coalesce(mine, F.lit(0.0))).alias("s"), (F.col("n") - mine.isNotNull().cast("int")).alias("n"))
+    return rest.filter((F.col("n") > 0) & (F.col("n") >= F.ceil(F.col("n_src") * 0.5))).select("evaluated", "feature", (F.col("s") / F.col("n")).alias("axis"))
 
 
 def top_and_bottom(axis: DataFrame, k: int, key: str = "evaluated") -> DataFrame:
-    """(key, feature, sign) of the k largest and k smallest; ties by feature."""
-    from rankloom.operators.ranks import top_n
+    """(key, feature, sign) of the k largest and k smallest; ties by feature. The axis is read once."""
+    from rankloom.operators.ranks import ordinal_rank
 
-    up = top_n(axis, key, [F.desc("axis"), F.col("feature")], k).select(key, "feature", F.lit(1).alias("sign"))
-    down = top_n(axis, key, [F.col("axis"), F.col("feature")], k).select(key, "feature", F.lit(-1).alias("sign"))
-    return up.union(down)
+    both = ordinal_rank(ordinal_rank(axis, key, [F.desc("axis"), F.col("feature")], "_up"), key, [F.col("axis"), F.col("feature")], "_down")
+    signs = F.array(F.when(F.col("_up") <= k, 1), F.when(F.col("_down") <= k, -1))
+    return both.filter((F.col("_up") <= k) | (F.col("_down") <= k)).select(key, "feature", F.explode(F.filter(signs, lambda x: x.isNotNull())).alias("sign"))
 
 
 def signed_score(ranks: DataFrame, sets: DataFrame, on: Column | list[str], by: list[str]) -> DataFrame:

@@ -18,13 +18,17 @@ _TOP = f"{_AXIS}, top AS (SELECT evaluated, feature, 1 AS sign FROM (SELECT *, r
 _SCORES = f"{_TOP}, scores AS (SELECT sample, cohort, label, avg(CASE WHEN sign = 1 THEN r END) - avg(CASE WHEN sign = -1 THEN r END) AS score, count(*) AS n_present FROM ranks JOIN top ON cohort = evaluated AND ranks.feature = top.feature GROUP BY 1, 2, 3)"
 
 
+def _cohorts(t):
+    return t.embeddings.select((F.col("vec_id") % 4).alias("cohort"))
+
+
 def _effects(t):
     return S.cohort_effects(S.full_ranks(t.assay))
 
 
 def _scores(t, k=K):
     ranks = S.full_ranks(t.assay)
-    top = S.top_and_bottom(S.heldout_axis(S.cohort_effects(ranks)), k).withColumnRenamed("evaluated", "cohort")
+    top = S.top_and_bottom(S.heldout_axis(S.cohort_effects(ranks), _cohorts(t)), k).withColumnRenamed("evaluated", "cohort")
     return S.signed_score(ranks, top, ["cohort", "feature"], ["sample", "cohort", "label"])
 
 
@@ -35,7 +39,7 @@ def effect_by_cohort(t):
 
 @query(f"WITH {_AXIS} SELECT evaluated, feature, round(axis, 6) AS axis FROM axis")
 def heldout_axis(t):
-    return S.heldout_axis(_effects(t)).select("evaluated", "feature", r6("axis"))
+    return S.heldout_axis(_effects(t), _cohorts(t)).select("evaluated", "feature", r6("axis"))
 
 
 @query(f"WITH {_SCORES}, z AS (SELECT cohort, (label <> 0)::INT AS y, round(score, 9) + 0 AS score FROM scores), n AS (SELECT cohort, y, rank() OVER (PARTITION BY cohort ORDER BY score) + (count(*) OVER (PARTITION BY cohort, score) - 1) / 2 AS rk FROM z), a AS (SELECT cohort, sum(y) AS p, count(*) - sum(y) AS q, sum(rk * y) AS s FROM n GROUP BY 1) SELECT cohort, p::BIGINT AS n_pos, q::BIGINT AS n_neg, round((s - p * (p + 1) / 2) / (p * q), 6) AS auroc FROM a")
@@ -139,7 +143,7 @@ def evidence_rollup(t):
 @query(f"WITH {_AXIS}, k AS (SELECT *, row_number() OVER (PARTITION BY evaluated ORDER BY axis DESC, feature) AS up, row_number() OVER (PARTITION BY evaluated ORDER BY axis, feature) AS down FROM axis), g AS (SELECT unnest([3, 5, 10]) AS k) SELECT g.k, sample, round(avg(CASE WHEN up <= g.k THEN r END) - avg(CASE WHEN down <= g.k THEN r END), 6) AS score FROM ranks JOIN k ON cohort = evaluated AND ranks.feature = k.feature JOIN g ON up <= g.k OR down <= g.k GROUP BY 1, 2")
 def topk_sensitivity(t):
     ranks = S.full_ranks(t.assay)
-    axis = S.heldout_axis(S.cohort_effects(ranks))
+    axis = S.heldout_axis(S.cohort_effects(ranks), _cohorts(t))
     k = R.ordinal_rank(R.ordinal_rank(axis, "evaluated", [F.desc("axis"), F.col("feature")], "up"), "evaluated", [F.col("axis"), F.col("feature")], "down")
     grid = k.filter("up <= 10 OR down <= 10").select(F.col("evaluated").alias("cohort"), "feature", "up", "down", F.explode(F.array(*map(F.lit, (3, 5, 10)))).alias("k")).filter("up <= k OR down <= k")
     side = lambda c: F.avg(F.when(F.col(c) <= F.col("k"), F.col("r")))

@@ -2,62 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.sources.shared import materialize, release, shared_dir  # noqa: F401  the operators' way to cut lineage
+
 #: ASCII white space of every word rule here: [\x20\x09-\x0D], which is also what bytes.split() splits on.
 WHITE = r"[\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, a temporary one only where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='rankloom-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, and later readers see one fixed result."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rankloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession | None = None) -> None:
-    """Delete the tables that materialize() has written; called at exit."""
-    keep = []
-    for s, path in _written:
-        if spark is not None and s is not spark:
-            keep.append((s, path))
-            continue
-        try:
-            jvm, conf = s.sparkContext._jvm, s.sparkContext._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            pass
-    _written[:] = keep
-
-
-atexit.register(release)
-
-
 def pick(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that a text operator reads, under fixed names; other columns never reach Python."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

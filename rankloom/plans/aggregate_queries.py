@@ -75,10 +75,10 @@ def cube_counts(t):
     return t.orders.cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.grouping("o_orderstatus").cast("long").alias("g1"), F.grouping("o_orderpriority").cast("long").alias("g2"))
 
 
-@query("SELECT p_brand, p_size, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM part GROUP BY GROUPING SETS ((p_brand), (p_size), ())")
+@query("SELECT p_brand, p_size::DOUBLE AS p_size, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM part GROUP BY GROUPING SETS ((p_brand), (p_size), ())")
 def grouping_sets_levels(t):
     p = t.part
-    return p.groupingSets([[p.p_brand], [p.p_size], []], p.p_brand, p.p_size).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 4).alias("price"))
+    return p.groupingSets([[p.p_brand], [p.p_size], []], p.p_brand, p.p_size).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 4).alias("price")).withColumn("p_size", F.col("p_size").cast("double"))
 
 
 @query("WITH m AS (SELECT c_nationkey, c_mktsegment, avg(c_acctbal) AS a FROM customer GROUP BY 1, 2) SELECT c_mktsegment, count(*) AS n_units, round(avg(a), 6) AS macro FROM m GROUP BY 1")

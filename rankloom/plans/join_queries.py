@@ -29,9 +29,9 @@ def left_evidence_chain(t):
     return j.select("c_custkey", "n_name", "r_name", F.round("spend", 2).alias("spend"), F.coalesce("urgent", F.lit(0)).alias("urgent"))
 
 
-@query("WITH a AS (SELECT o_custkey AS k, count(*) AS n_old FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n_new FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, n_old, n_new FROM a FULL JOIN b ON a.k = b.k")
+@query("WITH a AS (SELECT o_custkey AS k, count(*) AS n_old FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n_new FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, n_old::DOUBLE AS n_old, n_new::DOUBLE AS n_new FROM a FULL JOIN b ON a.k = b.k")
 def full_outer_old_new(t):
-    side = lambda s, n: t.orders.filter(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias(n))
+    side = lambda s, n: t.orders.filter(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).cast("double").alias(n))
     return side("F", "n_old").join(side("O", "n_new"), "k", "full")
 
 

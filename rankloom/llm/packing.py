@@ -18,7 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Callable
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,9 @@ from rankloom.llm.common import pick, small_batches
 _PIECE = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 _PLACED = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_SIGNS = ".,;:!?%&*#$|)]}\"/-+=~"  # signs after a letter or digit are tokens of their own, so a word and its signs are encoded apart
+#: Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for characters from 256 on, in order.
+_BYTE_CHARS = {b: chr(b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else 256 + sum(not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174) for x in range(b))) for b in range(256)}
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -47,10 +50,16 @@ class PieceEncoder:
         self.model, self.most, self.cache, self.old = Tokenizer.from_file(path), most, {}, {}
 
     def _fill(self, missing: list[str]) -> None:
-        for k in range(0, len(missing), 5000):
-            part = missing[k : k + 5000]
+        rest, word = [], self.model.model.tokenize
+        for w in missing:
+            if w.lstrip(" ").isalpha():  # letters after at most one space are one pre-token: straight to the merges
+                self.cache[w] = array("I", [t.id for t in word(w.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+            else:
+                rest.append(w)
+        for k in range(0, len(rest), 5000):
+            part = rest[k : k + 5000]
             for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+                self.cache[w] = array("I", e.ids).tobytes()
 
     def _chunks(self, text: str, size: int = 1 << 15) -> bytes:
         """Ids of a text with odd white space, encoded in chunks of about `size` characters cut at safe spaces."""
@@ -78,7 +87,15 @@ class PieceEncoder:
                 unknown.append(w)
             else:
                 self.cache[w] = ids
-        self._fill(unknown)
+        cores = {}
+        for w in unknown:
+            core = w.rstrip(_SIGNS)
+            cores[w] = (core, w[len(core) :]) if core and core[-1].isalnum() and len(core) < len(w) else (w, "")
+        parts = {x for pair in cores.values() for x in pair if x and x not in self.cache}
+        self._fill([x for x in parts if x not in self.old])
+        self.cache.update((x, self.old[x]) for x in parts if x in self.old)
+        self.cache[""] = b""
+        self.cache.update((w, self.cache[a] + self.cache[b]) for w, (a, b) in cores.items() if b)
         get = self.cache.__getitem__
         return [self._chunks(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 

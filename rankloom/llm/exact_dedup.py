@@ -21,9 +21,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import materialize, pick, small_batches
+from rankloom.llm.common import WHITE, materialize, pick, small_batches
 
 _SPACE = b" \t\n\x0b\x0c\r"
 #: Rough cost of a node beside its label, in bytes.
@@ -239,6 +240,14 @@ FROM t JOIN g ON t.body = g.body
 
 
 def dedup_stage(spark, docs, sf_dir):
-    """Pipeline stage: of equal texts the row with the smallest doc_id stays; columns unchanged."""
-    keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
+    """Pipeline stage: of equal texts the row with the smallest doc_id stays; columns unchanged.
+
+    Kept rows are found again by (text hash, doc_id), so a null doc_id can stay, and of rows equal in both one stays:
+    the window runs over kept rows alone, on the join's own partitioning.
+    """
+    keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_rankloom_id"), F.col("text_sha256").alias("_rankloom_sha"))
+    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), WHITE, " "), 256)
+    tagged = docs.withColumn("_rankloom_own", sha)
+    same = (F.col("_rankloom_own") == F.col("_rankloom_sha")) & F.col("doc_id").eqNullSafe(F.col("_rankloom_id"))
+    one = F.row_number().over(W.partitionBy("_rankloom_own", "doc_id").orderBy("doc_id"))
+    return tagged.join(keep, same, "left_semi").withColumn("_rankloom_n", one).filter("_rankloom_n = 1").select(*docs.columns)

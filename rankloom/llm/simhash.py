@@ -200,9 +200,10 @@ def op9_simhash_neardup(spark, sf_dir):
 
 
 def neardup_stage(spark, docs, sf_dir):
-    """Pipeline stage: one document of each component stays, the one that names it; columns unchanged.
+    """Pipeline stage: one document of each component stays, the one that names it; a null doc_id stays; columns unchanged.
 
     Near-duplicate stages on word shingles take five words; the fingerprints' radius of 2 bits stands for a similarity over 0.8.
     """
-    found = simhash_components(docs, shingle=5).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_keep"], "left_semi")
+    each = simhash_components(docs, shingle=5).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"))
+    gone = each.filter("NOT names").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -235,6 +235,6 @@ def op6_toxicity(spark, sf_dir):
 
 
 def toxicity_stage(spark, docs, sf_dir):
-    """Pipeline stage: documents predicted toxic go; columns unchanged."""
-    clean = toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(clean, docs["doc_id"] == clean["_keep"], "left_semi")
+    """Pipeline stage: documents predicted toxic go, rows that share a doc_id together; a null doc_id stays; columns unchanged."""
+    gone = toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

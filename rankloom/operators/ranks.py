@@ -55,9 +55,7 @@ def quantile_strata(df: DataFrame, value: str, parts: int, keys=(), out: str = "
     keys = _cols(keys)
     inner = [k / parts for k in range(1, parts)]
     edges = df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(q) for q in inner])).alias("_e"))
-    joined = df.join(F.broadcast(edges), keys) if not keys else df.join(edges, keys)
-    if not keys:
-        joined = df.crossJoin(edges)
+    joined = df.join(edges, keys) if keys else df.join(F.broadcast(edges))  # without keys: one row of edges
     return joined.withColumn(out, F.size(F.filter(F.array_distinct("_e"), lambda e: e < F.col(value))).cast("long")).drop("_e")
 
 

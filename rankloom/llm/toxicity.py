@@ -6,7 +6,7 @@ may stand for nothing. Viterbi decoding over letter pairs under a character trig
 the likeliest word. The restored text is then scored: a logistic model over the presence of words and word beginnings.
 
 Training: labels come only from rows with crc32(doc_id) mod 5 <> 0, at most `most_rows` of them (both labels in equal
-parts, clean ones weighted four times); the character model counts every document.
+parts, clean ones weighted nine times); the character model counts every document.
 
 Defined results: null text counts as empty and scores the model's intercept; repeated rows get equal scores; a doc_id
 with several labels counts as toxic if any says so, null labels are ignored; without a usable label every score is 0;
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_feat
     top = counts.filter("n1 + n0 >= 3").withColumn("s", F.abs(odds) * F.sqrt(F.col("n1") + F.col("n0"))).orderBy(F.desc("s"), "f").limit(most_features).select("f").collect()
     wanted = {r["f"]: k for k, r in enumerate(top)}
     rows = [(list(r["x"]), r["y"]) for r in sample.mapInArrow(_index_features(chars, wanted), "x array<int>, y int").collect()]
-    weight = np.array([0.2 / n1 if y else 0.8 / n0 for _, y in rows])  # clean documents outnumber toxic ones in any corpus
+    weight = np.array([0.1 / n1 if y else 0.9 / n0 for _, y in rows])  # clean documents outnumber toxic ones in any corpus
     w, b = _logistic(rows, len(wanted), weight / weight.mean())
     return {"chars": chars, "wanted": wanted, "w": w, "b": float(b)}
 

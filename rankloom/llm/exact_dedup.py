@@ -245,9 +245,10 @@ def dedup_stage(spark, docs, sf_dir):
     Kept rows are found again by (text hash, doc_id), so a null doc_id can stay, and of rows equal in both one stays:
     the window runs over kept rows alone, on the join's own partitioning.
     """
-    keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_rankloom_id"), F.col("text_sha256").alias("_rankloom_sha"))
+    marks = ["_rankloom_sha", "_rankloom_id", "_rankloom_null"]
+    named = lambda sha: (sha.alias(marks[0]), F.coalesce("doc_id", F.lit(0)).cast("long").alias(marks[1]), F.isnull("doc_id").alias(marks[2]))
+    keep = exact_dedup(docs).filter("kept").select(*named(F.col("text_sha256")))
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), WHITE, " "), 256)
-    tagged = docs.withColumn("_rankloom_own", sha)
-    same = (F.col("_rankloom_own") == F.col("_rankloom_sha")) & F.col("doc_id").eqNullSafe(F.col("_rankloom_id"))
-    one = F.row_number().over(W.partitionBy("_rankloom_own", "doc_id").orderBy("doc_id"))
-    return tagged.join(keep, same, "left_semi").withColumn("_rankloom_n", one).filter("_rankloom_n = 1").select(*docs.columns)
+    tagged = docs.select("*", *named(sha))
+    one = F.row_number().over(W.partitionBy(*marks).orderBy(marks[0]))
+    return tagged.join(keep, marks, "left_semi").withColumn("_rankloom_n", one).filter("_rankloom_n = 1").select(*docs.columns)

@@ -103,8 +103,8 @@ def _anchors(window: int, gram: int):
     return run
 
 
-_SEGMENT = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("xh", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("hot", pa.bool_()), ("body", pa.binary())])
-_SEGMENT_SQL = "h long, doc_id long, xh long, s int, n int, hot boolean, body binary"
+_SEGMENT = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("xh", pa.int64()), ("s", pa.list_(pa.int32())), ("n", pa.int32()), ("hot", pa.bool_()), ("body", pa.binary())])
+_SEGMENT_SQL = "h long, doc_id long, xh long, s array<int>, n int, hot boolean, body binary"
 
 
 def _cut(window: int):
@@ -116,10 +116,13 @@ def _cut(window: int):
             out, size = [], 0
             for i, x, t, found in zip(ids, xh, texts, live):
                 words = t.split()
-                for f, s, n in ((f, a, m) for f in found for a, m in zip(f["at"][::2], f["at"][1::2])):
-                    body = b" ".join(words[s : s + n + window - 1])
-                    out.append((f["h"], i, x, s, n, f["hot"], body))
-                    size += len(body) + 60
+                same: dict[tuple, list[int]] = {}  # segments of one document with the same words travel once
+                for f in found:
+                    for s, n in zip(f["at"][::2], f["at"][1::2]):
+                        same.setdefault((f["h"], n, f["hot"], b" ".join(words[s : s + n + window - 1])), []).append(s)
+                for (h, n, hot, body), starts in same.items():
+                    out.append((h, i, x, starts, n, hot, body))
+                    size += len(body) + 60 + 4 * len(starts)
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SEGMENT)], schema=_SEGMENT)
                         out, size = [], 0
@@ -168,7 +171,7 @@ def _ranges(found: list[tuple[int, int]], group: list[tuple]) -> list[tuple]:
             out[-1][2] += 1
         else:
             out.append([k, s, 1])
-    return [(group[k][0], group[k][1], s, n) for k, s, n in out]
+    return [(group[k][0], group[k][1], s + j, n) for k, j, n in out for s in group[k][2]]
 
 
 def _trees(window: int):
@@ -176,8 +179,8 @@ def _trees(window: int):
         if len({g[0] for g in group}) < 2:
             return []
         suffixes = []
-        for k, (doc, _, s, n, body) in enumerate(group):
-            suffixes += [(w, doc, k, s + j) for j, w in enumerate(_windows(body, n, window))]
+        for k, (doc, _, _, n, body) in enumerate(group):
+            suffixes += [(w, doc, k, j) for j, w in enumerate(_windows(body, n, window))]
         return _ranges(deep_nodes(suffixes), group)
 
     def run(batches):
@@ -198,7 +201,7 @@ def _trees(window: int):
     return run
 
 
-_WINDOW = pa.schema([("k", pa.binary()), ("doc_id", pa.int64()), ("xh", pa.int64()), ("s", pa.int32())])
+_WINDOW = pa.schema([("k", pa.binary()), ("doc_id", pa.int64()), ("xh", pa.int64()), ("s", pa.list_(pa.int32()))])
 
 
 def _hot_windows(window: int):
@@ -206,7 +209,7 @@ def _hot_windows(window: int):
         for batch in batches:
             out = []
             for i, x, s, n, body in zip(*(c.to_pylist() for c in batch.columns)):
-                out += [(xxhash.xxh3_128_digest(w), i, x, s + j) for j, w in enumerate(_windows(body, n, window))]
+                out += [(xxhash.xxh3_128_digest(w), i, x, [a + j for a in s]) for j, w in enumerate(_windows(body, n, window))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _WINDOW)], schema=_WINDOW)
 
@@ -224,9 +227,9 @@ def repeated_windows(docs: DataFrame, window: int = 50, gram: int = 10, group_ro
     flat = "doc_id long, xh long, s int, n int"
     cold = cut.filter("not hot").select("h", "doc_id", "xh", "s", "n", "body").repartition("h").sortWithinPartitions("h")
     found = cold.mapInArrow(_trees(window), flat)
-    hot = cut.filter("hot").select("doc_id", "xh", "s", "n", "body").mapInArrow(_hot_windows(window), "k binary, doc_id long, xh long, s int")
+    hot = cut.filter("hot").select("doc_id", "xh", "s", "n", "body").mapInArrow(_hot_windows(window), "k binary, doc_id long, xh long, s array<int>")
     least = hot.groupBy("k").agg(F.min("doc_id").alias("lo"))
-    return found.union(hot.join(least, "k").filter("doc_id > lo").select("doc_id", "xh", "s", F.lit(1).alias("n")))
+    return found.union(hot.join(least, "k").filter("doc_id > lo").select("doc_id", "xh", F.explode("s").alias("s"), F.lit(1).alias("n")))
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.binary()), ("kept_sha256", pa.string())])

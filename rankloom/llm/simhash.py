@@ -30,19 +30,24 @@ _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash of a UTF-8 text."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle of a UTF-8 text, in order and with repeats."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(flat, 42)
+        return np.array([digest(flat, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
-    h = np.array([digest(flat[a:b], 42) for a, b in spans], np.uint64)
+    return np.array([digest(flat[a:b], 42) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """Unsigned 64-bit SimHash of a UTF-8 text."""
+    h = shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         part = h[k : k + (1 << 16)]
@@ -202,8 +207,10 @@ def op9_simhash_neardup(spark, sf_dir):
 def neardup_stage(spark, docs, sf_dir):
     """Pipeline stage: one document of each component stays, the one that names it; a null doc_id stays; columns unchanged.
 
-    Near-duplicate stages on word shingles take five words; the fingerprints' radius of 2 bits stands for a similarity over 0.8.
+    Documents are linked by a Jaccard similarity of 0.8 or more of their five-word shingles; the fingerprints' radius is operator 9's alone.
     """
-    each = simhash_components(docs, shingle=5).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"))
+    from rankloom.llm.jaccard import jaccard_components
+
+    each = jaccard_components(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"))
     gone = each.filter("NOT names").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -9,7 +9,9 @@ checked: the longest common subsequence of the item's words and the words around
 answer (what follows its last question mark or line feed, else its last words) stands there. Paraphrases keep order
 and answer; unrelated texts of one language do not.
 
-The items are taken in blocks of `block` passages, so what a task holds is bounded however long the benchmark is.
+The items are taken in blocks of `block` passages (a longer item is a block of its own), each with its own basis of as
+many vectors as it has passages. Nothing of a passage's norm falls outside its basis, so a copy's cosine does not sink
+as the benchmark grows, and what a task holds is bounded by the block. Each block reads the corpus once.
 
 Defined results: null text is empty and never contaminated; items without words match nothing; a null doc_id is never
 reported; repeated rows are reported once by doc_id; an empty table gives no row; other columns are not looked at.
@@ -160,9 +162,12 @@ class Retriever:
                 at, v = tfidf(ids[a:b], self.idf)
                 vectors.append(v @ self.basis[self.row[at]])
                 owner.append(k)
-        self.queries, self.owner = np.array(vectors, np.float32).T.copy(), np.array(owner)
-        step = range(0, len(self.table), 4096)
-        self.most = np.concatenate([np.maximum((self.table[k : k + 4096] @ self.queries).max(axis=1, initial=0), 0) for k in step]) if vectors else np.zeros(len(self.table), np.float32)
+        queries, self.owner = np.array(vectors, np.float32).T, np.array(owner)
+        folded = self.basis * self.idf[self.buckets][:, None]
+        # a word's part of its passage's product with each item passage: as wide as the basis, so nothing is folded in twice
+        self.table = np.vstack([folded @ queries, np.zeros((1, len(owner)), np.float32)]).astype(np.float32) if vectors else np.zeros((len(self.buckets) + 1, 0), np.float32)
+        self.most = np.maximum(self.table.max(axis=1, initial=0), 0)
+        del self.basis
         self.answers = [answer_of(t, w) for t, w in zip(self.texts, self.words)]
 
     def candidates(self, ids: np.ndarray) -> dict[int, list[tuple[float, int]]]:
@@ -181,8 +186,7 @@ class Retriever:
             need, where = np.unique(np.concatenate((at, at + 1)), return_inverse=True)  # half windows: each is folded in once
             spots = (need * half)[:, None] + np.arange(half)
             folded = self.table[np.where(spots < len(ids), rows[np.minimum(spots, len(ids) - 1)], len(self.buckets))].sum(axis=1)
-            latent = folded[where[: len(at)]] + folded[where[len(at) :]]
-            score = (latent @ self.queries) / norm[at][:, None]
+            score = (folded[where[: len(at)]] + folded[where[len(at) :]]) / norm[at][:, None]
             i, j = np.nonzero(score >= self.cosine)
             for a, k, c in zip(at[i].tolist(), self.owner[j].tolist(), score[i, j].tolist()):
                 out.setdefault(k, []).append((c, a * half))
@@ -227,29 +231,30 @@ def _find(shared):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 24, rank: int = 256, cosine: float = 0.4, strong: float = 0.7, weak: float = 0.55, block: int = 4096) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 24, cosine: float = 0.4, strong: float = 0.7, weak: float = 0.55, block: int = 512) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_found) for each benchmark item that a document holds."""
     spark = docs.sparkSession
     picked = pick(docs, id_col, text_col)
     items = benchmark.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     idf = inverse_frequencies(picked)
     shared_idf = spark.sparkContext.broadcast(idf)  # bounded: 2^17 numbers
-    buckets, basis = latent_basis(items, shared_idf, window, rank)
     blocks: list[list] = [[]]
-    size = 0
+    sizes = [0]
     for r in items.dropDuplicates().orderBy("doc_id").toLocalIterator():
         raw = r["text"].encode("utf-8", "replace")
         n = len(passages_of(len(words_of(raw)), window))
-        if n and size + n > block and blocks[-1]:
+        if n and sizes[-1] and sizes[-1] + n > block:
             blocks.append([])
-            size = 0
+            sizes.append(0)
         if n:
             blocks[-1].append((r["doc_id"], raw))
-            size += n
+            sizes[-1] += n
     out = None
-    for part in blocks:
+    for part, size in zip(blocks, sizes):
+        own = spark.createDataFrame([(i, t.decode("utf-8", "replace")) for i, t in part], "doc_id long, text string")
+        buckets, basis = latent_basis(own, shared_idf, window, size)
         model = {"idf": idf, "buckets": buckets, "basis": basis, "window": window, "cosine": cosine, "strong": strong, "weak": weak, "item_ids": [i for i, _ in part], "texts": [t for _, t in part], "words": [words_of(t) for _, t in part]}
-        shared = spark.sparkContext.broadcast(model)  # bounded by block, 2^17 buckets and rank
+        shared = spark.sparkContext.broadcast(model)  # bounded by the block's passages and their words
         found = picked.mapInArrow(_find(shared), "doc_id long, item_id long, cosine double, lcs_share double, answer_found boolean")
         out = found if out is None else out.union(found)
     return out

@@ -164,6 +164,19 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(d.filter("doc_id < 0"), b).count() == 0 == decontaminate.contaminated(d, b.filter("item_id < 0")).count()
 
 
+def test_decontamination_of_a_long_benchmark(spark):
+    """Exact copies of items score as high, and are all found, when the benchmark holds thousands of items."""
+    rng = random.Random(18)
+    vocab = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(3, 9))) for _ in range(5000)]
+    words = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(k, words(38)) for k in range(2400)]
+    docs = [(k, words(30) + " " + items[k][1] + " " + words(25)) for k in range(0, 2400, 12)] + [(k, words(150)) for k in range(5000, 5100)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(d, b).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(0, 2400, 12)}
+    assert min(r.cosine for r in got) > 0.5
+
+
 def test_lcs_matches_table():
     rng = random.Random(4)
     for _ in range(60):

@@ -4,14 +4,19 @@ A window is `window` consecutive words. The prefix that parts the suffixes is th
 among its runs of `gram` words (leftmost on ties), a function of the window's words alone, so equal windows meet under
 equal anchors. Consecutive windows with one anchor travel as one segment, about a twentieth of the words; an anchor
 that stands in a single document cannot repeat across documents and is dropped before any text moves. What is left is
-dealt by anchor: each group sorts its suffixes, and the runs of neighbours that share `window` words or more are the
-deep internal nodes of that group's suffix tree, whose smallest document id judges every suffix below them. Groups
-over `group_rows` segments take a longer prefix, the whole window (a 128-bit hash of it), which Spark pre-aggregates
-on the map side and joins back, so a hot passage never lands in one task.
+dealt by anchor. A task takes whole anchor groups of about a million words and ranks their suffixes by doubling; runs of
+equal rank are the suffix tree's nodes at depth `window`, whose smallest document id judges every suffix below them, and
+neighbouring suffixes below such nodes join to maximal repeats.
+
+Prefixes vary in length with the group: one of over `group_segments` segments (counted within documents too) takes the
+longest prefix there is, the whole window, as its 128-bit hash. Under it a group is a single node, so all that is left
+to find is its smallest document: Spark pre-aggregates that on the map side and joins it back, and no task holds a hot
+passage. Both ways give the same rows; a test runs the shorter prefixes against the longest.
 
 Defined results: null text has no words; a null doc_id loses nothing and makes nobody lose a word; rows with equal
-doc_id never count as smaller than each other; documents under `window` words stay whole; an empty table gives no row;
-other columns are not looked at.
+doc_id never count as smaller than each other; repeated rows get equal results; documents under `window` words stay
+whole; a text of any length is one unit (a row must hold it); bytes that are not UTF-8 are ordinary word characters; an
+empty table gives no row; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -132,102 +137,138 @@ def _cut(window: int):
     return run
 
 
-def _windows(body: bytes, n: int, window: int) -> list[bytes]:
-    """The n windows of a segment's words."""
-    ends = [-1]
-    at = body.find(b" ")
-    while at >= 0:
-        ends.append(at)
-        at = body.find(b" ", at + 1)
-    ends.append(len(body))
-    return [body[ends[k] + 1 : ends[k + window]] for k in range(n)]
+class _Vocabulary(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
 
 
-def deep_nodes(suffixes: list[tuple[bytes, int, int, int]]) -> list[tuple[int, int]]:
-    """(segment, start) of each suffix below a deep node that a smaller document also reaches.
+def head_ranks(tokens: np.ndarray, window: int) -> np.ndarray:
+    """Rank of each suffix among all by its first `window` words, equal heads sharing one; by doubling.
 
-    suffixes: (the suffix's first `window` words, doc_id, segment, start). In sorted order a run of equal heads is one
-    node of the suffix tree at depth `window`; its smallest document is the first of the run.
+    Ranks by heads of h words, taken at i and at i + step, order heads of h + step words, so log(window) sorts of
+    numbers replace any sort of texts. Runs of equal ranks are the suffix tree's nodes at depth `window`.
     """
-    suffixes.sort()
-    out, head, least = [], None, None
-    for text, doc, segment, start in suffixes:
-        if text != head:
-            head, least = text, doc
-        elif doc > least:
-            out.append((segment, start))
-    return out
+    rank, have = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
+    while have < window:
+        step = min(have, window - have)
+        far = np.zeros(len(rank), np.int64)
+        far[:-step] = rank[step:] + 1
+        rank, have = np.unique(rank * (len(rank) + 2) + far, return_inverse=True)[1].astype(np.int64), have + step
+    return rank
 
 
-_RANGE = pa.schema([("doc_id", pa.int64()), ("xh", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
+def deep_nodes(docs: np.ndarray, n: np.ndarray, bodies: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, start) of each suffix below a node of depth `window` that a smaller document also reaches.
+
+    Segment k is bodies[k] of document docs[k], with n[k] suffixes that have `window` words or more.
+    """
+    numbers = _Vocabulary().__getitem__
+    split = [b.split(b" ") for b in bodies]
+    lengths = np.fromiter(map(len, split), np.int64, len(split))
+    tokens = np.fromiter((numbers(w) for words in split for w in words), np.int64, int(lengths.sum()))
+    rank = head_ranks(tokens, window)
+    first = np.cumsum(lengths) - lengths
+    segment = np.repeat(np.arange(len(n)), n)
+    start = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
+    node, doc = rank[first[segment] + start], docs[segment]
+    order = np.lexsort((doc, node))
+    node, doc = node[order], doc[order]
+    head = np.concatenate(([True], node[1:] != node[:-1]))
+    least = doc[head][np.cumsum(head) - 1]
+    found = np.sort(order[doc > least])
+    return segment[found], start[found]
+
+
+def maximal_runs(segment: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
+    """Repeated suffixes that follow one another, as the repeat they make up together: (segment, first, number)."""
+    if not len(segment):
+        return []
+    cut = np.concatenate(([0], np.flatnonzero((np.diff(segment) != 0) | (np.diff(start) != 1)) + 1))
+    return list(zip(segment[cut].tolist(), start[cut].tolist(), np.diff(np.append(cut, len(segment))).tolist()))
 
 
-def _ranges(found: list[tuple[int, int]], group: list[tuple]) -> list[tuple]:
-    """Repeated window starts as runs (doc_id, xh, first, number)."""
-    found.sort()
-    out = []
-    for k, s in found:
-        if out and out[-1][0] == k and out[-1][1] + out[-1][2] == s:
-            out[-1][2] += 1
-        else:
-            out.append([k, s, 1])
-    return [(group[k][0], group[k][1], s + j, n) for k, j, n in out for s in group[k][2]]
+_RANGE = pa.schema([("doc_id", pa.int64()), ("xh", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
+
 
+def _trees(window: int, words: int = 1 << 20):
+    """Segments in order of their prefix -> repeated runs; whole prefix groups of about `words` words share one structure."""
 
-def _trees(window: int):
-    def solve(group):
-        if len({g[0] for g in group}) < 2:
-            return []
-        suffixes = []
-        for k, (doc, _, _, n, body) in enumerate(group):
-            suffixes += [(w, doc, k, j) for j, w in enumerate(_windows(body, n, window))]
-        return _ranges(deep_nodes(suffixes), group)
+    def solve(rows):
+        ids, xh, starts, n, bodies = zip(*rows)
+        found = deep_nodes(np.array(ids, np.int64), np.array(n, np.int64), list(bodies), window)
+        out = [(ids[k], xh[k], s + j, m) for k, j, m in maximal_runs(*found) for s in starts[k]]
+        for a in range(0, len(out), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[a : a + 100_000]), _RANGE)], schema=_RANGE)
 
     def run(batches):
-        last, group, out = None, [], []
+        last, group, held, size, docs = None, [], [], 0, set()
         for batch in batches:
-            for h, i, x, s, n, body in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if h != last:
-                    out += solve(group)
-                    last, group = h, []
-                    if len(out) > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _RANGE)], schema=_RANGE)
-                        out = []
-                group.append((i, x, s, n, body))
-        out += solve(group)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _RANGE)], schema=_RANGE)
+                    if len(docs) > 1:  # a prefix that one document alone holds repeats nowhere else
+                        held += group
+                        size += sum(r[3] + window for r in group)
+                        if size > words:
+                            yield from solve(held)
+                            held, size = [], 0
+                    last, group, docs = h, [], set()
+                group.append(row)
+                docs.add(row[0])
+        if len(docs) > 1:
+            held += group
+        if held:
+            yield from solve(held)
 
     return run
 
 
+def _windows(body: bytes, n: int, window: int) -> list[bytes]:
+    """The n windows of a segment's words."""
+    ends = [-1]
+    at = body.find(b" ")
+    while at >= 0:
+        ends.append(at)
+        at = body.find(b" ", at + 1)
+    ends.append(len(body))
+    return [body[ends[k] + 1 : ends[k + window]] for k in range(n)]
+
+
 _WINDOW = pa.schema([("k", pa.binary()), ("doc_id", pa.int64()), ("xh", pa.int64()), ("s", pa.list_(pa.int32()))])
 
 
-def _hot_windows(window: int):
+def _whole_prefixes(window: int, rows: int = 20_000):
+    """Segments -> their suffixes under the longest prefix, the whole window."""
+
     def run(batches):
         for batch in batches:
             out = []
             for i, x, s, n, body in zip(*(c.to_pylist() for c in batch.columns)):
-                out += [(xxhash.xxh3_128_digest(w), i, x, [a + j for a in s]) for j, w in enumerate(_windows(body, n, window))]
+                for j, w in enumerate(_windows(body, n, window)):
+                    out.append((xxhash.xxh3_128_digest(w), i, x, [a + j for a in s]))
+                    if len(out) >= rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _WINDOW)], schema=_WINDOW)
+                        out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _WINDOW)], schema=_WINDOW)
 
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, gram: int = 10, group_rows: int = 20_000) -> DataFrame:
-    """(doc_id, xh, s, n): runs of window starts whose words also start in a document with a smaller id."""
+def repeated_windows(docs: DataFrame, window: int = 50, gram: int = 10, group_segments: int = 20_000) -> DataFrame:
+    """(doc_id, xh, s, n): runs of window starts whose words also start in a document with a smaller id; rows may repeat."""
     anchors = materialize(docs.mapInArrow(_anchors(window, gram), "doc_id long, xh long, h array<long>, at array<array<int>>"), "anchors")
     each = anchors.select("doc_id", "xh", F.explode(F.arrays_zip("h", "at")).alias("a")).select("doc_id", "xh", "a.h", "a.at")
-    seen = each.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c"))
-    shared = materialize(seen.filter("lo < hi").select("h", (F.col("c") > group_rows).alias("hot")), "shared")  # a plain table: the join below can then split hot anchors
-    live = each.join(shared, "h").groupBy("doc_id", "xh").agg(F.collect_list(F.struct("h", "at", "hot")).alias("live"))
+    seen = each.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum(F.size("at") / 2).alias("c"))
+    shared = materialize(seen.filter("lo < hi").select("h", (F.col("c") > group_segments).alias("hot")), "shared")  # a plain table: the join below can then split hot anchors
+    live = each.join(shared, "h").groupBy("doc_id", "xh").agg(F.collect_set(F.struct("h", "at", "hot")).alias("live"))  # repeated rows give one list
     cut = materialize(docs.join(live, ["doc_id", "xh"]).mapInArrow(_cut(window), _SEGMENT_SQL), "segments")
     flat = "doc_id long, xh long, s int, n int"
     cold = cut.filter("not hot").select("h", "doc_id", "xh", "s", "n", "body").repartition("h").sortWithinPartitions("h")
     found = cold.mapInArrow(_trees(window), flat)
-    hot = cut.filter("hot").select("doc_id", "xh", "s", "n", "body").mapInArrow(_hot_windows(window), "k binary, doc_id long, xh long, s array<int>")
+    hot = cut.filter("hot").select("doc_id", "xh", "s", "n", "body").mapInArrow(_whole_prefixes(window), "k binary, doc_id long, xh long, s array<int>")
     least = hot.groupBy("k").agg(F.min("doc_id").alias("lo"))
     return found.union(hot.join(least, "k").filter("doc_id > lo").select("doc_id", "xh", F.explode("s").alias("s"), F.lit(1).alias("n")))
 
@@ -263,10 +304,10 @@ def _keep(window: int, text_too: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 10, group_rows: int = 20_000, with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 10, group_segments: int = 20_000, with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (null unless with_text), kept_sha256."""
     picked = pick(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("xh"), "text")
-    runs = repeated_windows(picked, window, gram, group_rows).groupBy("doc_id", "xh").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
+    runs = repeated_windows(picked, window, gram, group_segments).groupBy("doc_id", "xh").agg(F.collect_set(F.struct("s", "n")).alias("runs"))
     joined = picked.join(runs, ["doc_id", "xh"], "left").select("doc_id", "text", "runs")
     out = joined.mapInArrow(_keep(window, with_text), "doc_id long, n_words long, n_removed long, kept_text binary, kept_sha256 string")
     return out.withColumn("kept_text", F.col("kept_text").cast("string"))

@@ -61,10 +61,10 @@ def test_trie_keeps_every_string():
     assert got == want
 
 
-@pytest.mark.parametrize("group_rows", [20_000, 2])
-def test_substring(docs, group_rows):
+@pytest.mark.parametrize("group_segments", [20_000, 2])
+def test_substring(docs, group_segments):
     rows, df = docs
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(df, group_rows=group_rows).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(df, group_segments=group_segments).collect()}
     assert got == brute.substring(rows)
 
 
@@ -115,3 +115,26 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_dedup(e).count() == 0
     assert substring_dedup.substring_dedup(e).count() == 0
     assert simhash.simhash_components(e).count() == 0
+
+
+def test_substring_on_repeated_rows_and_a_hot_document(spark):
+    """Thousands of repeated rows, null ids, and one document that repeats an anchor thousands of times: linear and right."""
+    rng = random.Random(11)
+    passage = ["p%d" % k for k in range(60)]
+    rows = [(1, " ".join(passage)), *[(2, "x " + " ".join(passage))] * 3000, (None, " ".join(passage)), *[(None, None)] * 3]
+    loop = [w for _ in range(3000) for w in (*passage[:12], "v%d" % rng.randrange(9), "v%d" % rng.randrange(9))]
+    rows += [(3, " ".join(loop)), (4, "y " + " ".join(loop[:4000]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute.substring([(1, rows[0][1]), (2, rows[1][1]), (3, rows[-2][1]), (4, rows[-1][1])])
+    for most in (20_000, 50):
+        got = [(r.doc_id, (r.n_words, r.n_removed, r.kept_sha256)) for r in substring_dedup.substring_dedup(df, group_segments=most, with_text=False).collect()]
+        assert len(got) == len(rows) and {i: v for i, v in got if i is not None} == want
+        assert all(v[1] == 0 for i, v in got if i is None)
+
+
+def test_head_ranks_order_suffixes():
+    rng = random.Random(6)
+    tokens = [rng.randrange(3) for _ in range(400)]
+    ranks = substring_dedup.head_ranks(np.array(tokens), 7).tolist()
+    heads = [tokens[k : k + 7] for k in range(len(tokens) - 7)]
+    assert all((heads[a] < heads[b], heads[a] == heads[b]) == (ranks[a] < ranks[b], ranks[a] == ranks[b]) for a in range(len(heads)) for b in range(0, len(heads), 5))

@@ -18,9 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns that a text operator reads, under fixed names; other columns never reach Python."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def pick(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """The columns that a text operator reads, the first two under fixed names; other columns never reach Python."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+
+
+def drop_rows(docs: DataFrame, text_col: str, judge) -> DataFrame:
+    """docs without the rows whose text judge() rejects; rows are judged one by one, so doc_id plays no part and nothing is shuffled.
+
+    judge() is called once a task and gives a function from texts (UTF-8, null as empty) to keep flags.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        keep = judge()
+        for batch in batches:
+            flags: list = []
+            for _, texts in small_batches(pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["i", "t"])):
+                flags += keep(texts)
+            yield batch.filter(pa.array(flags, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def small_batches(batch: pa.RecordBatch, max_bytes: int = 4 << 20) -> Iterator[tuple[list, list[bytes]]]:
@@ -38,5 +56,10 @@ def small_batches(batch: pa.RecordBatch, max_bytes: int = 4 << 20) -> Iterator[t
         yield ids[a:], [x or b"" for x in texts[a:]]
 
 
+def texts_of(column: pa.Array) -> list[str]:
+    """Texts of a string column; null is empty and bytes that are not UTF-8 become U+FFFD."""
+    return [t.decode("utf-8", "replace") if t else "" for t in column.cast(pa.binary()).to_pylist()]
+
+
 def rows(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

@@ -4,11 +4,13 @@ Each input partition inserts its normalised texts into a compressed radix trie,
 however many copies stand in it. These local owners are dealt by length and content hash; each such partition inserts
 the full byte strings into a trie again, whose terminal nodes hold the smallest identifier and the number of copies.
 What a document learns comes back by a join on (input partition, hash), a key that no hot text can dominate.
-A trie over its memory budget spills whole subtrees to a scratch file and finishes them one by one.
+A trie over its memory budget spills whole subtrees to a scratch file of the task and finishes them one by one; the file
+ends with the task, and a lost task starts anew from its input.
 
 Defined results: null text counts as empty; runs of [\x20\x09-\x0D] become one space (nothing is trimmed); of rows
 with equal text and equal doc_id exactly one is kept; a null doc_id sorts after all others; an empty table gives no
-row; other columns of the input are not looked at.
+row; a text of any length is one key (a row must hold it); bytes that are not UTF-8 are compared as they stand; other
+columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import WHITE, materialize, pick, small_batches
+from rankloom.llm.common import materialize, pick, small_batches
 
 _SPACE = b" \t\n\x0b\x0c\r"
 #: Rough cost of a node beside its label, in bytes.
@@ -149,7 +151,7 @@ def normalise(text: bytes) -> bytes:
     return out
 
 
-_LOCAL = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("part", pa.int32()), ("sha", pa.binary()), ("copies", pa.int64()), ("text", pa.binary())])
+_LOCAL = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("part", pa.int32()), ("sha", pa.binary()), ("copies", pa.int64()), ("text", pa.binary()), ("raw", pa.string())])
 _OWNED = pa.schema([("part", pa.int32()), ("sha", pa.binary()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64())])
 _FAR = 1 << 63
 
@@ -183,17 +185,19 @@ def _local(budget: int):
     def run(batches):
         part, trie, row = TaskContext.get().partitionId(), PatriciaTrie(_merge_local, budget), 0
         for batch in batches:
+            marks, first = batch.column(2).to_pylist(), 0
             for ids, texts in small_batches(batch):
                 out = []
-                for i, t in zip(ids, texts):
+                for i, t, mark in zip(ids, texts, marks[first:]):
                     text = normalise(t)
                     sha = hashlib.sha256(text).digest()
                     at = (part << 40) + row
                     trie.insert(text, ((i, at), 1, sha))
-                    out.append((i, at, part, sha, None, None))
+                    out.append((i, at, part, sha, None, None, mark))
                     row += 1
+                first += len(ids)
                 yield from _batched(_LOCAL, iter(out), lambda x: 100)
-        found = ((who[0], who[1], part, sha, n, text) for text, (who, n, sha) in trie.items())
+        found = ((who[0], who[1], part, sha, n, text, None) for text, (who, n, sha) in trie.items())
         yield from _batched(_LOCAL, found, lambda x: 100 + len(x[5]))
 
     return run
@@ -211,18 +215,19 @@ def _owners(budget: int):
     return run
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = 96 << 20) -> DataFrame:
-    """One row per document: doc_id, row (a stable row number), keep_id, group_size, kept, text_sha256."""
-    flat = "doc_id long, row long, part int, sha binary, copies long, text binary"
-    local = materialize(pick(docs, id_col, text_col).mapInArrow(_local(trie_bytes), flat), "exact-local")
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = 96 << 20, raw: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, row (a stable row number), keep_id, group_size, kept, text_sha256, raw (any string that the caller gives its rows)."""
+    flat = "doc_id long, row long, part int, sha binary, copies long, text binary, raw string"
+    given = pick(docs.withColumn("_rankloom_raw", raw if raw is not None else F.lit(None).cast("string")), id_col, text_col, "_rankloom_raw")
+    local = materialize(given.mapInArrow(_local(trie_bytes), flat), "exact-local")
     owners = (
-        local.filter("copies is not null")
+        local.filter("copies is not null").drop("raw")
         .repartition(F.length("text"), F.col("sha"))
         .mapInArrow(_owners(trie_bytes), "part int, sha binary, keep_id long, keep_row long, group_size long")
     )
-    mine = local.filter("copies is null").select("doc_id", "row", "part", "sha")
+    mine = local.filter("copies is null").select("doc_id", "row", "part", "sha", "raw")
     return mine.join(owners, ["part", "sha"]).select(
-        "doc_id", "row", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+        "doc_id", "row", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "raw"
     )
 
 
@@ -242,13 +247,13 @@ FROM t JOIN g ON t.body = g.body
 def dedup_stage(spark, docs, sf_dir):
     """Pipeline stage: of equal texts the row with the smallest doc_id stays; columns unchanged.
 
-    Kept rows are found again by (text hash, doc_id), so a null doc_id can stay, and of rows equal in both one stays:
-    the window runs over kept rows alone, on the join's own partitioning.
+    The kept row is found again by its doc_id and the hash of its bytes as they stand, so a null doc_id can stay, texts
+    that are not UTF-8 are parted like any other, and of rows equal in both one stays: the window runs over kept rows
+    alone, on the join's own partitioning.
     """
-    marks = ["_rankloom_sha", "_rankloom_id", "_rankloom_null"]
-    named = lambda sha: (sha.alias(marks[0]), F.coalesce("doc_id", F.lit(0)).cast("long").alias(marks[1]), F.isnull("doc_id").alias(marks[2]))
-    keep = exact_dedup(docs).filter("kept").select(*named(F.col("text_sha256")))
-    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), WHITE, " "), 256)
-    tagged = docs.select("*", *named(sha))
+    marks = ["_rankloom_raw", "_rankloom_id", "_rankloom_null"]
+    raw = F.sha2(F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")), 256)
+    tagged = docs.select("*", raw.alias(marks[0]), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(marks[1]), F.isnull("doc_id").alias(marks[2]))
+    keep = exact_dedup(docs, raw=raw).filter("kept").select(F.col("raw").alias(marks[0]), F.coalesce("doc_id", F.lit(0)).alias(marks[1]), F.isnull("doc_id").alias(marks[2]))
     one = F.row_number().over(W.partitionBy(*marks).orderBy(marks[0]))
     return tagged.join(keep, marks, "left_semi").withColumn("_rankloom_n", one).filter("_rankloom_n = 1").select(*docs.columns)

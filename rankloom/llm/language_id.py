@@ -9,12 +9,12 @@ Training: text and non-null lang of documents with crc32(doc_id) mod 5 <> 0, at
 languages in equal parts. A prediction sees the text alone.
 
 Defined results: null text, or text without a letter, is `und` with score 0, as is every text when nothing could be
-learned; repeated rows get equal results; an empty table gives no row; other columns are not looked at.
+learned (a letter is what str.isalpha holds for one); a text of any length is read whole; bytes that are not UTF-8 count
+as U+FFFD, no letter; repeated rows get equal results; an empty table gives no row; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import small_batches
+from rankloom.llm.common import small_batches, texts_of
 from rankloom.llm.labelled import bounded_sample, held_out
 
 #: Families of common language codes; any other code is a family of its own.
@@ -38,7 +38,6 @@ FAMILIES = {
 }
 FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 _BITS = 12
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
@@ -53,10 +52,9 @@ def buckets(text: str) -> np.ndarray:
 
 def _vectors(batches):
     for batch in batches:
-        texts = batch.column(1).to_pylist()
         x = []
-        for t in texts:
-            at = buckets(t or "")
+        for t in texts_of(batch.column(1)):
+            at = buckets(t)
             x.append((np.bincount(at, minlength=1 << _BITS) / len(at)).astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(2)], names=["x", "lang"])
 
@@ -130,7 +128,7 @@ def _predict(shared):
             for ids, raw in small_batches(batch, 1 << 20):
                 texts = [t.decode("utf-8", "replace") for t in raw]
                 out = [("und", 0.0)] * len(texts)
-                some = [k for k, t in enumerate(texts) if _LETTER.search(t)] if model["languages"] else []
+                some = [k for k, t in enumerate(texts) if any(map(str.isalpha, t))] if model["languages"] else []
                 if some:
                     at = [buckets(texts[k]) for k in some]
                     starts = np.concatenate(([0], np.cumsum([len(x) for x in at])[:-1]))

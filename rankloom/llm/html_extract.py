@@ -10,8 +10,10 @@ tables carry no labels; `train` takes any other labelled pages.
 Output rules: character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined by one \n in page order. Script, style, template and comment contents are never text.
 
-Defined results: null html counts as empty, an empty page gives an empty text; repeated rows give equal results; an
-empty table gives no row; other columns than page_id, url and html are not looked at.
+Defined results: null html counts as empty, an empty page gives an empty text; a page of any length is one unit, read in
+time that grows with its length; bytes that are not UTF-8 become U+FFFD; an attribute's quote that is never closed is an
+ordinary character; repeated rows give equal results; an empty table gives no row; other columns than page_id, url and
+html are not looked at.
 """
 
 from __future__ import annotations
@@ -26,48 +28,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.common import texts_of
+
 #: Tags by role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe noframes xmp".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption option select button".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 KINDS = {t: k for k, ts in {"frame": "html body", "article": "article main", "part": "section div center td tr table tbody", "side": "nav aside footer header menu form dialog search button select option fieldset", "head": "head", "title": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol li dl dt dd", "text": "p blockquote pre figure figcaption"}.items() for t in ts.split()}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_PLAIN_ATTRIBUTES = re.compile(r"""(?:[^>"']|"[^"<>]*"|'[^'<>]*')*+>""")
+_SIGN = re.compile(r"""[>"']""")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "marks", "own", "links", "signs")
+    __slots__ = ("tag", "parent", "marks", "own", "links", "signs", "mark")
 
     def __init__(self, tag: str, parent: int, marks: tuple[str, ...] = ()):
-        self.tag, self.parent, self.marks, self.own, self.links, self.signs = tag, parent, marks, 0, 0, 0
-
-
-def parse(page: str) -> tuple[list[Element], list[tuple[int, int, str]]]:
-    """(elements in document order, texts as (element, block number, characters)); the root is element 0."""
-    nodes, texts, stack, block, at = [Element("#root", -1)], [], [0], 0, 0
+        self.tag, self.parent, self.marks, self.own, self.links, self.signs, self.mark = tag, parent, marks, 0, 0, 0, None
+
+
+class _Attributes:
+    """Finds where a tag ends. A quote opens a value only after "=", and one that is never closed opens nothing."""
+
+    def __init__(self, page: str):
+        self.page, self.unclosed = page, set()
+
+    def end(self, at: int) -> tuple[int, int]:
+        """(end of the attributes, first position after the tag) of the tag whose name ends at `at`."""
+        m = _PLAIN_ATTRIBUTES.match(self.page, at)
+        if m:
+            return m.end() - 1, m.end()
+        look = at
+        while True:
+            m = _SIGN.search(self.page, look)
+            if not m:
+                return len(self.page), len(self.page)
+            sign, look = m.group(), m.end()
+            if sign == ">":
+                return look - 1, look
+            back = look - 2
+            while back > at and self.page[back].isspace() and look - back < 64:
+                back -= 1
+            if self.page[back] == "=" and sign not in self.unclosed:
+                close = self.page.find(sign, look)
+                if close < 0:
+                    self.unclosed.add(sign)
+                else:
+                    look = close + 1
+
+
+class _Open:
+    """The stack of open elements with the places of each tag in it, so that closing looks at no element that stays."""
+
+    def __init__(self):
+        self.stack, self.at = [0], {}
+
+    def push(self, tag: str, element: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, element))
+
+    def top(self) -> int:
+        return self.stack[-1][1] if len(self.stack) > 1 else 0
+
+    def last(self, tag: str) -> int:
+        spots = self.at.get(tag)
+        return spots[-1] if spots else 0
+
+    def close(self, tag: str, stops: tuple[str, ...]) -> None:
+        """Close the innermost `tag` with all in it, unless one of the stops stands inside it."""
+        k = self.last(tag)
+        if k and all(self.last(s) <= k for s in stops):
+            while len(self.stack) > k:
+                self.at[self.stack.pop()[0]].pop()
+
+
+def parse(page: str, mark: re.Pattern | None = None) -> tuple[list[Element], list[tuple[int, int, str]]]:
+    """(elements in document order, texts as (element, block number, characters)); the root is element 0.
+
+    mark: a pattern with one group; what it finds in an element's attributes becomes the element's `mark`.
+    """
+    nodes, texts, open_, block, at = [Element("#root", -1)], [], _Open(), 0, 0
+    attributes = _Attributes(page)
 
     def text(raw: str) -> None:
         if raw:
             value = _html.unescape(raw)
-            texts.append((stack[-1], block, value))
-            node = nodes[stack[-1]]
+            texts.append((open_.top(), block, value))
+            node = nodes[open_.top()]
             n = len(value.strip())
             node.own += n
-            if any(nodes[k].tag == "a" for k in stack[-3:]):
+            if any(x and x[0] == "a" for x in open_.stack[-3:]):
                 node.links += n
             node.signs += value.count(".") + value.count(",")
 
-    def close(tag: str, stops: tuple[str, ...]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            t = nodes[stack[k]].tag
-            if t == tag:
-                del stack[k:]
-                return
-            if t in stops:
-                return
-
     while True:
         m = _TOKEN.search(page, at)
         if not m:
@@ -78,31 +134,35 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, int, str]]]:
         tag = (m.group(2) or "").lower()
         if not tag:
             continue
+        stop, at = attributes.end(at)
+        given = page[m.end() : stop]
         if m.group(1):
             if tag in BLOCK:
                 block += 1
-            close(tag, () if tag in ("html", "body", "article", "main", "div", "section", "nav", "footer", "aside", "header", "form", "table", "ul", "ol") else ("div", "article", "section", "table", "main", "body", "td", "th"))
+            open_.close(tag, () if tag in ("html", "body", "article", "main", "div", "section", "nav", "footer", "aside", "header", "form", "table", "ul", "ol") else ("div", "article", "section", "table", "main", "body", "td", "th"))
             continue
         if tag in CLOSES_P:
-            close("p", ("button", "table", "td", "th", "article", "div", "section", "li"))
+            open_.close("p", ("button", "table", "td", "th", "article", "div", "section", "li"))
         if tag in ("li", "dt", "dd", "option", "tr"):
-            close(tag, ("ul", "ol", "dl", "table", "select"))
+            open_.close(tag, ("ul", "ol", "dl", "table", "select"))
         if tag in ("td", "th"):
-            close("td", ("tr", "table"))
-            close("th", ("tr", "table"))
+            open_.close("td", ("tr", "table"))
+            open_.close("th", ("tr", "table"))
         if tag in BLOCK:
             block += 1
         elif tag == "br":
-            texts.append((stack[-1], block, " "))
-        marks = tuple(w for g in _MARKS.findall(m.group(3)) for w in _WORD.findall("".join(g).lower())) if m.group(3) else ()
-        nodes.append(Element(tag, stack[-1], marks))
+            texts.append((open_.top(), block, " "))
+        marks = tuple(w for g in _MARKS.findall(given) for w in _WORD.findall("".join(g).lower())) if given else ()
+        nodes.append(Element(tag, open_.top(), marks))
+        if mark is not None and (found := mark.search(given)):
+            nodes[-1].mark = found.group(1)
         if tag in VOID:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append(len(nodes) - 1)
+        open_.push(tag, len(nodes) - 1)
 
 
 def _totals(nodes: list[Element]) -> list[tuple[int, int, int]]:
@@ -126,18 +186,20 @@ def kind(tag: str) -> str:
     return KINDS.get(tag, "inline")
 
 
+def labels_of(nodes: list[Element]) -> list[int]:
+    """1 where an element is content: its own mark, else its parent's."""
+    labels = [0]
+    for x in nodes[1:]:
+        labels.append(labels[x.parent] if x.mark is None else int(x.mark))
+    return labels
+
+
 def train(pages: list[tuple[str, str]]) -> dict:
     """Potentials from labelled pages: (html, label attribute) where every element inside one that carries data-y="1" is content until data-y="0"."""
     node, edge, prior = {}, {}, np.ones(2)
     for page, mark in pages:
-        nodes, _ = parse(page)
-        marked = re.compile(rf"{mark}=\"([01])\"")
-        flags = [marked.search(m.group(3) or "") for m in _TOKEN.finditer(page) if m.group(2) and not m.group(1)]
-        labels, total, seen = [0], _totals(nodes), 0
-        for x in nodes[1:]:
-            f = flags[seen]
-            seen += 1
-            labels.append(int(f.group(1)) if f else labels[x.parent])
+        nodes, _ = parse(page, re.compile(rf"{mark}=\"([01])\""))
+        labels, total = labels_of(nodes), _totals(nodes)
         for k, x in enumerate(nodes):
             y = labels[k]
             prior[y] += 1
@@ -260,10 +322,10 @@ _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.str
 def _run(model: dict):
     def run(batches):
         for batch in batches:
-            ids, urls, pages = (c.to_pylist() for c in batch.columns)
-            for a in range(0, len(ids), 200):
-                texts = [extract(h or "", model) for h in pages[a : a + 200]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 200], pa.int64()), pa.array(urls[a : a + 200], pa.string()), pa.array(texts), pa.array([len(t) for t in texts])], schema=_OUT)
+            for a in range(0, batch.num_rows, 100):
+                part = batch.slice(a, 100)
+                texts = [extract(h, model) for h in texts_of(part.column(2))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=_OUT)
 
     return run
 

@@ -6,11 +6,12 @@ may stand for nothing. Viterbi decoding over letter pairs under a character trig
 the likeliest word. The restored text is then scored: a logistic model over the presence of words and word beginnings.
 
 Training: labels come only from rows with crc32(doc_id) mod 5 <> 0, at most `most_rows` of them (both labels in equal
-parts, clean ones weighted nine times); the character model counts every document.
+parts, weighted to the shares that all such labels have); the character model counts every document.
 
-Defined results: null text counts as empty and scores the model's intercept; repeated rows get equal scores; a doc_id
-with several labels counts as toxic if any says so, null labels are ignored; without a usable label every score is 0;
-an empty table gives no row; other columns are not looked at.
+Defined results: null text counts as empty and scores the model's intercept; a text of any length is scored whole; bytes
+that are not UTF-8 become U+FFFD; repeated rows get equal scores; a doc_id with several labels counts as toxic if any
+says so, null labels are ignored; without a usable label every score is 0; an empty table gives no row; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import pick, small_batches, table
+from rankloom.llm.common import drop_rows, pick, small_batches, table, texts_of
 from rankloom.llm.labelled import bounded_sample, held_out
 
 #: Letters that a written character may stand for.
@@ -33,8 +34,11 @@ CHANNEL = {
 #: Natural-log costs of the channel: a character as it is, a substitution, a dropped repeat, a dropped separator.
 AS_IS, SUBSTITUTE, REPEAT, SEPARATOR = 0.0, 0.7, 0.2, 1.2
 _EDGE_SIGNS = ".,;:?\"'()[]{}<>-–—_*#%&$!|+/\\~`^="
-_SPACED = re.compile(r"(?<!\S)(?:\w[ ._*\-]){2,}\w(?=$|[\s.,;:!?])")
+_SPACED = re.compile(r"(?<!\S)(?:\w[ ._*\-/|~]{1,3}){2,}\w(?=$|[\s.,;:!?])")
+_GAPS = re.compile(r"[ ._*\-/|~]")
 _LONG_RUN = re.compile(r"([^\W\d_])\1\1")
+_LONGER_RUN = re.compile(r"(\S)\1{3,}")
+_REMEMBERED = 64  # longer tokens are decoded anew each time, so that what a task remembers stays bounded
 _ALPHABET = 28  # 0 edge of a word, 1-26 letters, 27 any other letter
 _CODE = np.zeros(256, np.uint8)
 _CODE[[*range(97, 123)]] = np.arange(1, 27)
@@ -72,34 +76,47 @@ def _code(ch: str) -> int:
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest intended word behind a token: Viterbi over the lattice, states are the last two letters."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest intended word behind a token of any length: Viterbi over the lattice, states are the last two letters.
+
+    A run of one character over three counts as three. Ways are linked backwards, so time and memory follow the length.
+    """
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
-    for ch in token.lower():
+    for ch in _LONGER_RUN.sub(r"\1\1\1", token.lower()):
         options = [(x, SUBSTITUTE) for x in CHANNEL.get(ch, "")]
         if ch.isalpha():
             options.append((ch, AS_IS))
         drop = REPEAT if ch == before and ch.isalpha() else SEPARATOR if not ch.isalnum() else None
         if not options and drop is None:
             return token
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, word) in paths.items():
+        options = [(x, price, _code(x)) for x, price in options]
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, way) in paths.items():
             if drop is not None:
                 old = new.get((a, b))
                 if old is None or cost + drop < old[0]:
-                    new[a, b] = (cost + drop, word)
-            for letter, price in options:
-                c = _code(letter)
+                    new[a, b] = (cost + drop, way)
+            for letter, price, c in options:
                 value = cost + price - model[a, b, c]
                 old = new.get((b, c))
                 if old is None or value < old[0]:
-                    new[b, c] = (value, word + letter)
+                    new[b, c] = (value, (way, letter))
         paths, before = new, ch
-    return min((cost - model[a, b, 0], word) for (a, b), (cost, word) in paths.items())[1]
+    ends = [(cost - model[a, b, 0], way) for (a, b), (cost, way) in paths.items()]
+    least = min(cost for cost, _ in ends)
+    return min(_spell(way) for cost, way in ends if cost == least)
+
+
+def _spell(way: tuple | None) -> str:
+    letters = []
+    while way is not None:
+        way, letter = way
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def _suspicious(core: str) -> bool:
-    return 2 < len(core) <= 30 and (not core.isalpha() or _LONG_RUN.search(core) is not None) and any(c.isalpha() for c in core) and not any(c in "@" for c in core[1:-1] if "." in core)
+    return len(core) > 2 and (not core.isalpha() or _LONG_RUN.search(core) is not None) and any(map(str.isalpha, core)) and not ("." in core and "@" in core[1:-1])
 
 
 class Restorer(dict):
@@ -125,14 +142,15 @@ class Restorer(dict):
             found |= {w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k)}
         found.discard("")
         out = tuple(found) if self.wanted is None else tuple(self.wanted[x] for x in found if x in self.wanted)
-        self[token] = out
+        if len(token) <= _REMEMBERED:
+            self[token] = out
         return out
 
     def features(self, text: str) -> set:
         """Features of a whole text; letters spaced apart count as one token."""
         tokens = set(text.split())
         for m in _SPACED.finditer(text):
-            tokens.add(re.sub(r"[ ._*\-]", "", m.group(0)))
+            tokens.add(_GAPS.sub("", m.group(0)))
         out: set = set()
         for f in filter(None, map(self.__getitem__, tokens)):
             out.update(f)
@@ -149,8 +167,8 @@ def _count_features(model: np.ndarray, most: int = 300_000):
     def run(batches):
         memo, seen = Restorer(model), {}
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for f in memo.features(text or ""):
+            for text, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
+                for f in memo.features(text):
                     seen.setdefault(f, [0, 0])[1 - y] += 1
                 if len(seen) > most:
                     yield flush(seen)
@@ -165,7 +183,7 @@ def _index_features(model: np.ndarray, wanted: dict[str, int]):
     def run(batches):
         memo = Restorer(model, wanted)
         for batch in batches:
-            found = [sorted(memo.features(t or "")) for t in batch.column(0).to_pylist()]
+            found = [sorted(memo.features(t)) for t in texts_of(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["x", "y"])
 
     return run
@@ -187,10 +205,15 @@ def _logistic(rows: list[tuple[list[int], int]], size: int, weights: np.ndarray,
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_features: int = 2_000) -> dict:
-    """The model: character trigrams of all documents, and word weights from at most most_rows labelled documents."""
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, clear: float = 10.0) -> dict:
+    """The model: character trigrams of all documents, and word weights from at most most_rows labelled documents.
+
+    A feature counts if it stands in three of these documents or more and its log odds times the root of their number
+    are `clear` or more: what tells the labels apart stays, however many features that are.
+    """
     chars = character_model(docs)
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y")).filter(~held_out())
+    marked = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     sample = docs.join(F.broadcast(bounded_sample(marks, "y", most_rows)), "doc_id").select("text", "y")  # bounded by most_rows pairs of numbers; no text is shuffled
     got = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(got) < 2:
@@ -198,10 +221,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_feat
     n1, n0 = got[1], got[0]
     counts = sample.mapInArrow(_count_features(chars), "f string, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     odds = F.log((F.col("n1") + 0.1) / (n1 + 0.2)) - F.log((F.col("n0") + 0.1) / (n0 + 0.2))
-    top = counts.filter("n1 + n0 >= 3").withColumn("s", F.abs(odds) * F.sqrt(F.col("n1") + F.col("n0"))).orderBy(F.desc("s"), "f").limit(most_features).select("f").collect()
-    wanted = {r["f"]: k for k, r in enumerate(top)}
+    told = counts.filter("n1 + n0 >= 3").filter(F.abs(odds) * F.sqrt(F.col("n1") + F.col("n0")) >= clear).select("f").orderBy("f").collect()  # bounded by the sampled documents
+    wanted = {r["f"]: k for k, r in enumerate(told)}
     rows = [(list(r["x"]), r["y"]) for r in sample.mapInArrow(_index_features(chars, wanted), "x array<int>, y int").collect()]
-    weight = np.array([0.1 / n1 if y else 0.9 / n0 for _, y in rows])  # clean documents outnumber toxic ones in any corpus
+    share = marked[1] / (marked[0] + marked[1])  # as common as the labels say
+    weight = np.array([share / n1 if y else (1 - share) / n0 for _, y in rows])
     w, b = _logistic(rows, len(wanted), weight / weight.mean())
     return {"chars": chars, "wanted": wanted, "w": w, "b": float(b)}
 
@@ -209,24 +233,35 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_feat
 _SCORE = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
+def _scorer(model: dict):
+    """Function from texts (UTF-8) to their scores."""
+    memo, w, b = Restorer(model["chars"], model["wanted"]), model["w"], model["b"]
+
+    def score(texts: list[bytes]) -> np.ndarray:
+        z = [b + w[list(f)].sum() if (f := memo.features(t.decode("utf-8", "replace"))) else b for t in texts]
+        return 1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500)))
+
+    return score
+
+
 def _scores(shared):
     def run(batches):
-        model = shared.value
-        memo, w, b = Restorer(model["chars"], model["wanted"]), model["w"], model["b"]
+        score = _scorer(shared.value)
         for batch in batches:
             for ids, texts in small_batches(batch):
-                z = [b + w[list(f)].sum() if (f := memo.features(t.decode("utf-8", "replace"))) else b for t in texts]
-                p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(p)], schema=_SCORE)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(score(texts))], schema=_SCORE)
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 12_000, most_features: int = 2_000) -> DataFrame:
+def _shared_model(docs: DataFrame, labels: DataFrame, most_rows: int):
+    return docs.sparkSession.sparkContext.broadcast(train(docs, labels, most_rows))  # bounded: 28^3 numbers and the weights of most_rows documents' features
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 12_000) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     picked = pick(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(train(picked, labels, most_rows, most_features))  # bounded: 28^3 numbers and most_features weights
-    scored = picked.mapInArrow(_scores(shared), "doc_id long, score double")
+    scored = picked.mapInArrow(_scores(_shared_model(picked, labels, most_rows)), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -234,7 +269,12 @@ def op6_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def toxicity_stage(spark, docs, sf_dir):
-    """Pipeline stage: documents predicted toxic go, rows that share a doc_id together; a null doc_id stays; columns unchanged."""
-    gone = toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def toxicity_stage(spark, docs, sf_dir, most_rows: int = 12_000):
+    """Pipeline stage: rows predicted toxic go, each by its own text, null doc_id or not; columns unchanged."""
+    shared = _shared_model(pick(docs, "doc_id", "text"), table(spark, sf_dir, "labels"), most_rows)
+
+    def judge():
+        score = _scorer(shared.value)
+        return lambda texts: (score(texts) < 0.5).tolist()
+
+    return drop_rows(docs, "text", judge)

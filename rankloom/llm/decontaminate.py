@@ -1,25 +1,29 @@
 r"""Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are cut into passages of `window` words and become TF-IDF rows; inverse document frequencies count
-every document of the corpus, by word bucket. A distributed randomised SVD of the passage matrix B gives the latent
-space: each partition of passages adds its part of B'(B G) for a random G, and the orthonormal basis Q of the sum spans
-the leading right singular vectors. Corpus passages (every `window` words, half overlapping) are folded in through Q
-and scored by their cosine with the items' passages, their norm taken over all of their words. Candidates are then
-checked: the longest common subsequence of the item's words and the words around the passage, and whether the item's
-answer (what follows its last question mark or line feed, else its last words) stands there. Paraphrases keep order
-and answer; unrelated texts of one language do not.
-
-The items are taken in blocks of `block` passages (a longer item is a block of its own), each with its own basis of as
-many vectors as it has passages. Nothing of a passage's norm falls outside its basis, so a copy's cosine does not sink
-as the benchmark grows, and what a task holds is bounded by the block. Each block reads the corpus once.
+every document of the corpus, by word bucket. The items are dealt by hash to blocks of about `block` passages, and the
+blocks are decomposed side by side on the executors: a randomised SVD (random projection, range finder, singular values
+of the projected passages) gives each block its latent space, cut where `energy` of the squared singular values is
+reached. So what a task holds is bounded by a block, a copy's cosine does not sink as the benchmark grows, and neither
+texts nor sketches of the benchmark are put together on the driver; it hands out the finished models, `blocks_per_scan`
+at a time. Corpus passages (every `window` words, half overlapping) are folded in and scored by their cosine with the
+items' passages, their norm taken over all of their words. Candidates are then checked: the longest common subsequence
+of the item's words and the words around the passage, and whether the item's answer (what follows its last question mark
+or line feed, else its last words) stands there. Paraphrases keep order and answer; unrelated texts of one language do
+not. The corpus is read once for the frequencies and once for every `blocks_per_scan` blocks.
 
 Defined results: null text is empty and never contaminated; items without words match nothing; a null doc_id is never
-reported; repeated rows are reported once by doc_id; an empty table gives no row; other columns are not looked at.
+reported; repeated rows are reported once by doc_id; ties between a document's items fall to the larger cosine, then the
+larger item_id; a text of any length is searched whole; bytes that are not UTF-8 are ordinary word characters; an empty
+table gives no row; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import pick, small_batches, table
+from rankloom.llm.common import drop_rows, materialize, pick, small_batches, table
 
 _BITS = 17
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -89,41 +93,56 @@ def tfidf(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (v / np.linalg.norm(v)).astype(np.float32)
 
 
-def random_rows(buckets: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """Rows of a Gaussian matrix, each from its bucket number alone, so every task draws the same."""
-    return np.stack([np.random.default_rng((seed, int(b))).standard_normal(size) for b in buckets]).astype(np.float32)
+def randomised_svd(rows: np.ndarray, rank: int, energy: float, seed: int = 23) -> tuple[np.ndarray, np.ndarray]:
+    """(singular values, right singular vectors as columns) of a matrix, cut at `rank` or where `energy` is reached."""
+    draws = np.random.default_rng(seed).standard_normal((rows.shape[1], min(rank, *rows.shape)))
+    q, _ = np.linalg.qr(rows.T.astype(np.float64) @ (rows @ draws))
+    _, sigma, turn = np.linalg.svd(rows @ q, full_matrices=False)
+    held = np.cumsum(sigma**2)
+    k = int(np.searchsorted(held, energy * held[-1] * (1 - 1e-12))) + 1
+    return sigma[:k], (q @ turn[:k].T).astype(np.float32)
+
+
+_MODEL = pa.schema([("block", pa.int64()), ("model", pa.binary())])
+
+
+def _decompose(shared, block: int, settings: dict):
+    """The items (block, doc_id, text) of a block -> its models: one for every 2 * block passages, so that long items are parted too."""
+
+    def run(key, group):
+        idf, out = shared.value, []
+        items = sorted({(i, t) for i, t in zip(group.column("doc_id").to_pylist(), group.column("text").cast(pa.binary()).to_pylist())})
+        words = [words_of(t) for _, t in items]
+        spans = [(k, a, b) for k, w in enumerate(words) for a, b in passages_of(len(w), settings["window"])]
+        for s in range(0, len(spans), 2 * block):
+            own = spans[s : s + 2 * block]
+            passages = [tfidf(bucket_ids(words[k][a:b]), idf) for k, a, b in own]
+            buckets, at = np.unique(np.concatenate([b for b, _ in passages]), return_inverse=True)
+            matrix = np.zeros((len(passages), len(buckets)), np.float32)
+            matrix[np.repeat(np.arange(len(passages)), [len(b) for b, _ in passages]), at] = np.concatenate([v for _, v in passages])
+            spectrum, basis = randomised_svd(matrix, len(passages), settings["energy"])
+            used = sorted({k for k, _, _ in own})
+            number = {k: n for n, k in enumerate(used)}
+            spots = [(number[k], a, b) for k, a, b in own]
+            model = settings | {"buckets": buckets, "basis": basis, "spectrum": spectrum, "spans": spots, "item_ids": [items[k][0] for k in used], "texts": [items[k][1] for k in used], "words": [words[k] for k in used]}
+            out.append((key[0].as_py() + (s << 32), pickle.dumps(model, protocol=5)))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _MODEL)], schema=_MODEL)
 
+    return run
 
-def _sketch(shared, window: int, size: int, seed: int):
-    def run(batches):
-        idf, sums = shared.value, {}
-        for batch in batches:
-            for _, texts in small_batches(batch):
-                for t in texts:
-                    ids = bucket_ids(words_of(t))
-                    for a, b in passages_of(len(ids), window):
-                        at, v = tfidf(ids[a:b], idf)
-                        y = v @ random_rows(at, size, seed)
-                        for k, x in zip(at.tolist(), v):
-                            sums[k] = sums.get(k, 0) + x * y
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.astype(np.float64) for s in sums.values()], pa.list_(pa.float64()))], names=["b", "z"])
 
-    return run
+def latent_models(items: DataFrame, shared_idf, block: int, **settings) -> DataFrame:
+    """(block, model): the items (doc_id, text) in blocks of about `block` passages, each decomposed by itself."""
 
+    def count(batches):
+        for batch in batches:
+            n = [len(passages_of(len(words_of(t or b"")), settings["window"])) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=["doc_id", "text", "n"])
 
-def latent_basis(items: DataFrame, idf, window: int, rank: int, seed: int = 23) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, Q): orthonormal basis of the leading right singular vectors of the items' TF-IDF passages."""
-    parts = items.mapInArrow(_sketch(idf, window, rank, seed), "b long, z array<double>")
-    total = parts.select("b", F.posexplode("z").alias("k", "v")).groupBy("b", "k").agg(F.sum("v").alias("v")).toArrow()
-    if not total.num_rows:
-        return np.zeros(0, np.int64), np.zeros((0, rank), np.float32)
-    b, k, v = (total.column(c).to_numpy() for c in ("b", "k", "v"))
-    buckets, row = np.unique(b, return_inverse=True)
-    z = np.zeros((len(buckets), rank))
-    z[row, k] = v
-    q, _ = np.linalg.qr(z)
-    return buckets, q.astype(np.float32)
+    counted = items.mapInArrow(count, "doc_id long, text string, n long").filter("n > 0")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    dealt = counted.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, round(total / block)))))
+    return dealt.select("block", "doc_id", "text").groupBy("block").applyInArrow(_decompose(shared_idf, block, settings), "block long, model binary")
 
 
 def common_subsequence(a: list, b: list) -> int:
@@ -149,19 +168,17 @@ def answer_of(text: bytes, words: list[bytes], tail: int = 6) -> list[bytes]:
 class Retriever:
     """Finds a block of items in texts; built once a worker from the broadcast model."""
 
-    def __init__(self, model: dict):
+    def __init__(self, model: dict, idf: np.ndarray):
         self.__dict__.update(model)
+        self.idf = idf
         self.row = np.full(1 << _BITS, len(self.buckets), np.int32)
         self.row[self.buckets] = np.arange(len(self.buckets))
-        self.table = np.vstack([self.basis * self.idf[self.buckets][:, None], np.zeros((1, self.basis.shape[1]), np.float32)]).astype(np.float32)
         self.square = self.idf**2
         vectors, owner = [], []
-        for k, words in enumerate(self.words):
-            ids = bucket_ids(words)
-            for a, b in passages_of(len(ids), self.window):
-                at, v = tfidf(ids[a:b], self.idf)
-                vectors.append(v @ self.basis[self.row[at]])
-                owner.append(k)
+        for k, a, b in self.spans:
+            at, v = tfidf(bucket_ids(self.words[k][a:b]), self.idf)
+            vectors.append(v @ self.basis[self.row[at]])
+            owner.append(k)
         queries, self.owner = np.array(vectors, np.float32).T, np.array(owner)
         folded = self.basis * self.idf[self.buckets][:, None]
         # a word's part of its passage's product with each item passage: as wide as the basis, so nothing is folded in twice
@@ -192,13 +209,9 @@ class Retriever:
                 out.setdefault(k, []).append((c, a * half))
         return out
 
-    def find(self, text: bytes) -> list[tuple[int, float, float, bool]]:
-        """(item, cosine, share of its words in common order, answer found) of the items that the text holds."""
-        words = words_of(text)
-        if not words or not len(self.owner):
-            return []
-        found = []
-        for k, spots in self.candidates(bucket_ids(words)).items():
+    def find(self, words: list[bytes], ids: np.ndarray) -> Iterator[tuple[int, float, float, bool]]:
+        """(item, cosine, share of its words in common order, answer found) of the items that the words hold."""
+        for k, spots in self.candidates(ids).items():
             item, answer, tried = self.words[k], self.answers[k], set()
             for cosine, at in sorted(spots, reverse=True):
                 near = at // self.window
@@ -211,53 +224,58 @@ class Retriever:
                     continue
                 hit = common_subsequence(answer, around) >= 0.8 * len(answer)
                 if share >= self.strong or hit:
-                    found.append((self.item_ids[k], cosine, share, hit))
+                    yield self.item_ids[k], cosine, share, hit
                     break
-        return found
+
+
+def _searcher(shared, shared_idf):
+    """Function from a text to what the models of one scan find in it, one by one."""
+    idf = shared_idf.value
+    blocks = [Retriever(pickle.loads(m), idf) for m in shared.value]
+
+    def search(text: bytes) -> Iterator[tuple[int, float, float, bool]]:
+        words = words_of(text)
+        if words:
+            ids = bucket_ids(words)
+            for b in blocks:
+                yield from b.find(words, ids)
+
+    return search
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()), ("answer_found", pa.bool_())])
 
 
-def _find(shared):
+def _find(shared, shared_idf):
     def run(batches):
-        searcher = Retriever(shared.value)
+        search = _searcher(shared, shared_idf)
         for batch in batches:
             for ids, texts in small_batches(batch):
-                out = [(i, *f) for i, t in zip(ids, texts) if i is not None for f in searcher.find(t)]
+                out = [(i, *f) for i, t in zip(ids, texts) if i is not None for f in search(t)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _OUT)], schema=_OUT)
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 24, cosine: float = 0.4, strong: float = 0.7, weak: float = 0.55, block: int = 512) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs_share, answer_found) for each benchmark item that a document holds."""
-    spark = docs.sparkSession
+def _scans(picked: DataFrame, benchmark: DataFrame, window: int = 24, cosine: float = 0.4, strong: float = 0.7, weak: float = 0.55, block: int = 512, blocks_per_scan: int = 8, energy: float = 0.999):
+    """(models, idf), both broadcast, for each scan of the corpus; the models of one scan are all that the driver holds at a time."""
+    context = picked.sparkSession.sparkContext
+    items = pick(benchmark, "item_id", "text").filter("doc_id is not null and text is not null")
+    shared_idf = context.broadcast(inverse_frequencies(picked))  # bounded: 2^17 numbers
+    models = materialize(latent_models(items, shared_idf, block, window=window, cosine=cosine, strong=strong, weak=weak, energy=energy), "latent")
+    numbers = sorted(r["block"] for r in models.select("block").collect()) or [-1]
+    for k in range(0, len(numbers), blocks_per_scan):
+        some = models.filter(F.col("block").isin(numbers[k : k + blocks_per_scan])).orderBy("block").collect()
+        yield context.broadcast([bytes(r["model"]) for r in some]), shared_idf  # bounded by blocks_per_scan blocks of passages and words
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs_share, answer_found) for each benchmark item that a document holds; settings: those of _scans."""
     picked = pick(docs, id_col, text_col)
-    items = benchmark.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    idf = inverse_frequencies(picked)
-    shared_idf = spark.sparkContext.broadcast(idf)  # bounded: 2^17 numbers
-    blocks: list[list] = [[]]
-    sizes = [0]
-    for r in items.dropDuplicates().orderBy("doc_id").toLocalIterator():
-        raw = r["text"].encode("utf-8", "replace")
-        n = len(passages_of(len(words_of(raw)), window))
-        if n and sizes[-1] and sizes[-1] + n > block:
-            blocks.append([])
-            sizes.append(0)
-        if n:
-            blocks[-1].append((r["doc_id"], raw))
-            sizes[-1] += n
-    out = None
-    for part, size in zip(blocks, sizes):
-        own = spark.createDataFrame([(i, t.decode("utf-8", "replace")) for i, t in part], "doc_id long, text string")
-        buckets, basis = latent_basis(own, shared_idf, window, size)
-        model = {"idf": idf, "buckets": buckets, "basis": basis, "window": window, "cosine": cosine, "strong": strong, "weak": weak, "item_ids": [i for i, _ in part], "texts": [t for _, t in part], "words": [words_of(t) for _, t in part]}
-        shared = spark.sparkContext.broadcast(model)  # bounded by the block's passages and their words
-        found = picked.mapInArrow(_find(shared), "doc_id long, item_id long, cosine double, lcs_share double, answer_found boolean")
-        out = found if out is None else out.union(found)
-    return out
+    flat = "doc_id long, item_id long, cosine double, lcs_share double, answer_found boolean"
+    found = [picked.mapInArrow(_find(*scan), flat) for scan in _scans(picked, benchmark, **settings)]
+    return reduce(DataFrame.union, found)
 
 
 def op7_decontaminate(spark, sf_dir):
@@ -269,6 +287,15 @@ def op7_decontaminate(spark, sf_dir):
 
 
 def decontaminate_stage(spark, docs, sf_dir):
-    """Pipeline stage: documents that hold a benchmark item go; columns unchanged."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    """Pipeline stage: rows that hold a benchmark item go, each by its own text, null doc_id or not; columns unchanged."""
+
+    def judge_by(scan):
+        def judge():
+            search = _searcher(*scan)
+            return lambda texts: [next(search(t), None) is None for t in texts]
+
+        return judge
+
+    for scan in _scans(pick(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark")):
+        docs = drop_rows(docs, "text", judge_by(scan))
+    return docs

@@ -6,11 +6,13 @@ pairs). A node's distances to block-structured references are its bits by block,
 exactly on all but `radius` of the blocks: each choice of agreeing blocks is a bucket key. Inside a bucket a table of
 Hamming distances to many reference fingerprints is computed once; a pair is discarded when any coordinate differs by
 more than the radius, and what survives is verified by its own distance. A bucket hands on a spanning forest of its
-links (at most its size), and alternating large-star and small-star joins turn the links into components.
+links (at most its size; a bucket holds distinct fingerprints that share three of five blocks, 2^26 at most),
+and alternating large-star and small-star joins turn the links into components.
 
 Defined results: null text counts as empty; fewer than 3 words: the whole sequence is the shingle; none: fingerprint 0,
 which links like any other; repeated rows each get their row; a null doc_id gets a row and never names a component
-unless its component has no other id; an empty table gives no row; other columns are not looked at.
+unless its component has no other id; a text of any length is one fingerprint; bytes that are not UTF-8 are ordinary
+word characters; an empty table gives no row; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -145,12 +147,11 @@ def links_in_bucket(fps: np.ndarray, refs: np.ndarray, radius: int, free: int, b
 def _links(masks: list[int], radius: int, count: int):
     def run(batches):
         refs = pivots(count)
-        held: list[np.ndarray] = []
 
-        def flush(c, key, fps, roots):
+        def flush(c, fps, roots):
             if len(fps) < 2:
                 return None
-            free = ~masks[c] & (1 << 64) - 1
+            free = ~masks[c] & ((1 << 64) - 1)
             found = links_in_bucket(fps.view(np.uint64), refs, radius, free)
             if not found:
                 return None
@@ -158,26 +159,34 @@ def _links(masks: list[int], radius: int, count: int):
             a, b = np.minimum(roots[i], roots[j]), np.maximum(roots[i], roots[j])
             return pa.RecordBatch.from_arrays([pa.array(b), pa.array(a)], schema=_EDGE)
 
-        tail = None
+        held: list[tuple] = []  # the pieces of the last bucket, put together once it is whole
+
+        def whole():
+            c, key, fp, root = (np.concatenate(x) for x in zip(*held))
+            return flush(int(c[0]), fp, root)
+
         for batch in batches:
-            c, key, fp, root = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            if tail is not None:
-                c, key, fp, root = (np.concatenate((p, q)) for p, q in zip(tail, (c, key, fp, root)))
+            cols = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            c, key, fp, root = cols
             if not len(c):
                 continue
-            cut = np.flatnonzero((np.diff(c) != 0) | (np.diff(key) != 0)) + 1
-            bounds = np.concatenate(([0], cut))
-            for k in np.flatnonzero(np.diff(bounds) > 1):
-                s, e = bounds[k], bounds[k + 1]
-                out = flush(int(c[s]), key[s], fp[s:e], root[s:e])
-                if out is not None:
+            bounds = [0, *(np.flatnonzero((np.diff(c) != 0) | (np.diff(key) != 0)) + 1).tolist(), len(c)]
+            if held and (held[-1][0][-1], held[-1][1][-1]) != (c[0], key[0]):
+                if (out := whole()) is not None:
                     yield out
-            s = bounds[-1]
-            tail = (c[s:], key[s:], fp[s:], root[s:])
-        if tail is not None:
-            out = flush(int(tail[0][0]), tail[1][0], tail[2], tail[3])
-            if out is not None:
-                yield out
+                held = []
+            for s, e in zip(bounds, bounds[1:]):
+                if s and held:
+                    if (out := whole()) is not None:
+                        yield out
+                    held = []
+                if e < len(c) and not held:
+                    if e - s > 1 and (out := flush(int(c[s]), fp[s:e], root[s:e])) is not None:
+                        yield out
+                else:
+                    held.append(tuple(x[s:e] for x in cols))
+        if held and (out := whole()) is not None:
+            yield out
 
     return run
 
@@ -205,12 +214,15 @@ def op9_simhash_neardup(spark, sf_dir):
 
 
 def neardup_stage(spark, docs, sf_dir):
-    """Pipeline stage: one document of each component stays, the one that names it; a null doc_id stays; columns unchanged.
+    """Pipeline stage: of each component the rows of its smallest doc_id's texts stay, the others go; a null doc_id stays; columns unchanged.
 
-    Documents are linked by a Jaccard similarity of 0.8 or more of their five-word shingles; the fingerprints' radius is operator 9's alone.
+    Documents are linked by a Jaccard similarity of 0.8 or more of their five-word shingles; the fingerprints' radius is
+    operator 9's alone. Rows are judged by doc_id and text together, so rows that share an id do not judge each other.
     """
-    from rankloom.llm.jaccard import jaccard_components
+    from rankloom.llm.jaccard import jaccard_components, text_mark
 
-    each = jaccard_components(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"))
-    gone = each.filter("NOT names").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    each = jaccard_components(docs).filter("doc_id IS NOT NULL")
+    gone = each.filter("doc_id <> component_id").select(F.col("doc_id").alias("_rankloom_id"), F.col("mark").alias("_rankloom_mark")).distinct()
+    tagged = docs.withColumn("_rankloom_text", text_mark("text"))
+    out = tagged.join(gone, (tagged["doc_id"].cast("long") == gone["_rankloom_id"]) & (tagged["_rankloom_text"] == gone["_rankloom_mark"]), "left_anti")
+    return out.select(*docs.columns)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from rankloom.llm import jaccard, simhash
@@ -62,3 +63,12 @@ def test_stage_drops_near_copies(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     left = simhash.neardup_stage(spark, docs, sf_dir)
     assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "4", "None"]
+
+
+def test_parity_bits_bound_the_difference():
+    rng = random.Random(2)
+    for _ in range(50):
+        a = {rng.getrandbits(63) for _ in range(rng.randrange(0, 900))}
+        b = set(list(a)[: rng.randrange(0, len(a) + 1)]) | {rng.getrandbits(63) for _ in range(rng.randrange(0, 300))}
+        x, y = (jaccard.parity_bits(np.array(sorted(s), np.int64)) for s in (a, b))
+        assert sum(int(v & (1 << 64) - 1).bit_count() for v in (x ^ y).tolist()) <= len(a ^ b)

@@ -1,17 +1,23 @@
 """Chat formatting by multi-party perspective rotation.
 
-For every participant of a dialogue the dialogue is rendered once with that speaker as the assistant, all others as
-named users and system turns as they are; the loss mask covers what the assistant says, end marker included. A dialogue
-is rendered in episodes of `episode_turns` turn numbers, so a conversation of any length is never gathered into one
-row: no turn is dropped, long ones give several examples. Repeated rows of one turn are parted the same way.
+For every participant of a dialogue the whole dialogue is rendered once with that speaker as the assistant, all others
+as named users and system turns as they are; the loss mask covers what the assistant says, end marker included. A
+dialogue that no row could hold comes in several chunks: an episode of `chunk_rows` turn numbers is one chunk, or, where
+it holds over four times as many rows, each turn of it in runs of `chunk_rows` rows. A rendering's chunks put together
+in order are exactly the rendering of the whole dialogue, every participant has all of them, and `n_chunks` tells how
+many there are, so nothing is cut off and no conversation is gathered into one task.
 
 Defined results: null role becomes `unknown`, null text is empty, null conv_id and null turn are values of their own
-(null turns come first, in an episode of their own); ties in a turn follow role, then text; markers inside a text are
-broken up so that no text can forge a turn; an empty table gives no row; other columns are not looked at.
+(null turns come first, as chunks of their own); ties in a turn follow role, then text; repeated rows are turns of their
+own; a text of any length is one turn; bytes that are not UTF-8 stay as they are, each counted as the engine counts it;
+markers inside a text are broken up so that no text can forge a turn; an empty table gives no row; other columns are not
+looked at.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,22 +27,30 @@ TURN_OPEN, TURN_CLOSE = "<|", "|>\n"
 END = "<|end|>\n"
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", episode_turns: int = 64, repeats: int = 16, system_role: str = "system") -> DataFrame:
-    """One row per conversation, episode, part and speaker: conv_id, episode, part, perspective, n_turns, text, loss_spans, loss_chars.
+def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk_rows: int = 1024, system_role: str = "system") -> DataFrame:
+    """One row per conversation, speaker and chunk: conv_id, perspective, chunk, n_chunks, n_turns, text, loss_spans, loss_chars.
 
-    loss_spans: "start-end" character spans of text under the loss, joined by ";" (end exclusive).
+    loss_spans: "start-end" character spans of text under the loss, joined by ";" (end exclusive; empty in a chunk in which the speaker is silent).
     """
     base = turns.select(
         F.col(conv_col).cast("long").alias("conv_id"),
         F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"),
         F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
-    )
+    ).withColumn("episode", F.floor(F.col("turn") / chunk_rows).cast("long"))
+    same = lambda a, b, names: reduce(lambda x, y: x & y, (a[n].eqNullSafe(b[n]) for n in names))
+    dense = base.groupBy("conv_id", "episode").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 4 * chunk_rows)
     again = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    parts = base.withColumn("part", F.floor((again - 1) / repeats).cast("long")).withColumn("episode", F.floor(F.col("turn") / episode_turns).cast("long"))
-    told = parts.groupBy("conv_id", "episode", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    speakers = F.array_distinct(F.filter(F.transform("t", lambda x: x["role"]), lambda r: r != system_role))
-    each = told.select("conv_id", "episode", "part", "t", F.explode(speakers).alias("perspective"))
+    whole = base.join(dense, same(base, dense, ["conv_id", "episode"]), "left_anti").select("*", F.lit(None).cast("long").alias("t"), F.lit(0).cast("long").alias("part"))
+    cut = base.join(dense, same(base, dense, ["conv_id", "episode"]), "left_semi").select("*", F.col("turn").alias("t"), F.floor((again - 1) / chunk_rows).cast("long").alias("part"))
+    rows = whole.union(cut)
+    key = ["conv_id", "episode", "t", "part"]
+    told = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    own = base.filter(F.col("role") != system_role).groupBy("conv_id").agg(F.collect_set("role").alias("speakers"))
+    order = W.partitionBy("conv_id").orderBy("episode", "t", "part")
+    keys = rows.select(*key).distinct().select("*", (F.row_number().over(order) - 1).cast("long").alias("chunk"), F.count(F.lit(1)).over(W.partitionBy("conv_id")).alias("n_chunks"))
+    info = keys.join(own, same(keys, own, ["conv_id"])).select(*(keys[c] for c in [*key, "chunk", "n_chunks"]), "speakers")
+    each = told.join(info, same(told, info, key)).select(told["conv_id"], "chunk", "n_chunks", F.col("turns").alias("t"), F.explode("speakers").alias("perspective"))
 
     def head(x):
         name = F.when(x["role"] == F.col("perspective"), "assistant").when(x["role"] == system_role, "system").otherwise(F.concat(F.lit("user name="), x["role"]))
@@ -58,7 +72,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     measured = with_pieces.withColumn("m", F.aggregate("p", zero, step))
     return measured.select(
-        "conv_id", "episode", "part", "perspective",
+        "conv_id", "perspective", "chunk", "n_chunks",
         F.size("t").cast("long").alias("n_turns"),
         F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"])), "").alias("text"),
         F.array_join("m.spans", ";").alias("loss_spans"),
@@ -71,16 +85,19 @@ def op8_chat_format(spark, sf_dir):
 
 
 OP8_SQL = """
-WITH b AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
-r AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, body) - 1) // 16 AS part, turn // 64 AS episode FROM b),
-s AS (SELECT DISTINCT conv_id, episode, part, role AS perspective FROM r WHERE role <> 'system'),
-p AS (SELECT s.*, r.turn, r.role, r.body || '<|end|>' || chr(10) AS body, r.role = s.perspective AS own,
+WITH b AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS body, turn // 1024 AS episode FROM conversations),
+c AS (SELECT *, count(*) OVER (PARTITION BY conv_id, episode) > 4096 AS dense, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, body) - 1) // 1024 AS run FROM b),
+k AS (SELECT *, CASE WHEN dense THEN turn END AS t, CASE WHEN dense THEN run ELSE 0 END AS part FROM c),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY episode NULLS FIRST, t NULLS FIRST, part) - 1 AS chunk FROM k),
+n AS (SELECT conv_id, max(chunk) + 1 AS n_chunks FROM r GROUP BY conv_id),
+s AS (SELECT DISTINCT conv_id, role AS perspective FROM r WHERE role <> 'system'),
+p AS (SELECT s.perspective, n.n_chunks, r.conv_id, r.chunk, r.turn, r.role, r.body || '<|end|>' || chr(10) AS body, r.role = s.perspective AS own,
         '<|' || CASE WHEN r.role = s.perspective THEN 'assistant' WHEN r.role = 'system' THEN 'system' ELSE 'user name=' || r.role END || '|>' || chr(10) AS head
-      FROM s JOIN r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND s.episode IS NOT DISTINCT FROM r.episode AND s.part = r.part),
+      FROM s JOIN r ON s.conv_id IS NOT DISTINCT FROM r.conv_id JOIN n ON n.conv_id IS NOT DISTINCT FROM r.conv_id),
 o AS (SELECT *, row_number() OVER w AS k, sum(length(head) + length(body)) OVER w AS stop FROM p
-      WINDOW w AS (PARTITION BY conv_id, episode, part, perspective ORDER BY turn NULLS FIRST, role, body ROWS UNBOUNDED PRECEDING))
-SELECT conv_id, episode, part::BIGINT AS part, perspective, count(*) AS n_turns, string_agg(head || body, '' ORDER BY k) AS text,
-  string_agg(CASE WHEN own THEN (stop - length(body))::BIGINT || '-' || stop::BIGINT END, ';' ORDER BY k) AS loss_spans,
+      WINDOW w AS (PARTITION BY conv_id, perspective, chunk ORDER BY turn NULLS FIRST, role, body ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, chunk::BIGINT AS chunk, n_chunks::BIGINT AS n_chunks, count(*) AS n_turns, string_agg(head || body, '' ORDER BY k) AS text,
+  coalesce(string_agg(CASE WHEN own THEN (stop - length(body))::BIGINT || '-' || stop::BIGINT END, ';' ORDER BY k), '') AS loss_spans,
   sum(CASE WHEN own THEN length(body) ELSE 0 END)::BIGINT AS loss_chars
-FROM o GROUP BY conv_id, episode, part, perspective
+FROM o GROUP BY conv_id, perspective, chunk, n_chunks
 """

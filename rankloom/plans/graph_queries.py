@@ -8,37 +8,46 @@ from rankloom.operators.components import connected_components as components
 from rankloom.operators.ranks import top_n
 from rankloom.plans.base import query, r6
 
-_COS = "v AS (SELECT vec_id, label, vec_id % 4 AS cohort, vec_id // 40 AS block, embedding AS e FROM embeddings), pr AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e::DOUBLE[], b.e::DOUBLE[]) / sqrt(list_dot_product(a.e::DOUBLE[], a.e::DOUBLE[]) * list_dot_product(b.e::DOUBLE[], b.e::DOUBLE[])), 6) AS w FROM v a JOIN v b ON a.block = b.block AND a.vec_id <> b.vec_id)"
+_V = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings)"
+_COS = f"{_V}, pr AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e) / (a.l * b.l), 6) AS w FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)"
 
 
-def _pairs(t):
-    """Cosines within blocks of 40 vectors: candidates are bounded by the block, never all pairs."""
-    d = F.transform("embedding", lambda x: x.cast("double"))
+def _vectors(t):
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = t.embeddings.select("vec_id", F.floor(F.col("vec_id") / 40).alias("block"), d.alias("e")).withColumn("nn", dot("e", "e"))
-    a = v.select(F.col("vec_id").alias("i"), "block", F.col("e").alias("ea"), F.col("nn").alias("na"))
-    b = v.select(F.col("vec_id").alias("j"), "block", F.col("e").alias("eb"), F.col("nn").alias("nb"))
-    return a.join(b, "block").filter("i <> j").select("i", "j", r6(dot("ea", "eb") / F.sqrt(F.col("na") * F.col("nb")), "w"))
+    v = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    return v.withColumn("l", F.sqrt(dot("e", "e"))), dot
+
+
+def _pairs(t, queries=None):
+    """Cosines of the query vectors with all others; the queries are those with an id divisible by 50, or the ids given."""
+    v, dot = _vectors(t)
+    q = v.filter("vec_id % 50 = 0") if queries is None else v.join(queries, "vec_id", "left_semi")
+    a = q.select(F.col("vec_id").alias("i"), F.col("e").alias("ea"), F.col("l").alias("la"))
+    b = v.select(F.col("vec_id").alias("j"), F.col("e").alias("eb"), F.col("l").alias("lb"))
+    return a.join(b, F.col("i") != F.col("j")).select("i", "j", r6(dot("ea", "eb") / (F.col("la") * F.col("lb")), "w"))
 
 
 @query(f"WITH {_COS}, k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j) AS k FROM pr) SELECT i, j, w FROM k WHERE k <= 5")
 def knn_edges(t):
+    """The five nearest of all vectors to each query vector, exactly."""
     return top_n(_pairs(t), "i", [F.desc("w"), F.col("j")], 5)
 
 
-@query(f"WITH {_COS}, b AS (SELECT i, j, w FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j) AS k FROM pr) WHERE k = 1) SELECT x.i, x.j, x.w FROM b x JOIN b y ON x.i = y.j AND x.j = y.i WHERE x.i < x.j")
+@query(f"WITH {_COS}, b AS (SELECT i, j, w FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j) AS k FROM pr) WHERE k = 1), back AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e) / (a.l * b.l), 6) AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id IN (SELECT j FROM b)), bb AS (SELECT i, j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j) AS k FROM back) WHERE k = 1) SELECT b.i, b.j, b.w FROM b JOIN bb ON b.i = bb.j AND b.j = bb.i")
 def mutual_best_pairs(t):
-    b = top_n(_pairs(t), "i", [F.desc("w"), F.col("j")], 1)
-    return b.join(b.select(F.col("j").alias("i"), F.col("i").alias("j")), ["i", "j"]).filter("i < j")
+    """Queries whose best match has them as its own best match; the matches search all vectors in turn."""
+    best = lambda p: top_n(p, "i", [F.desc("w"), F.col("j")], 1)
+    b = best(_pairs(t))
+    back = best(_pairs(t, b.select(F.col("j").alias("vec_id")).distinct()))
+    return b.join(back.select(F.col("j").alias("i"), F.col("i").alias("j")), ["i", "j"])
 
 
 @query(f"WITH {_COS}, k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j) AS k, w - lead(w) OVER (PARTITION BY i ORDER BY w DESC, j) AS gap FROM pr) SELECT i, j, CASE WHEN w >= 0.5 THEN 'same' WHEN w >= 0.35 AND gap >= 0.02 THEN 'likely' ELSE 'no' END AS call FROM k WHERE k = 1")
 def duplicate_calls(t):
-    from pyspark.sql import Window as W
-
-    gap = F.col("w") - F.lead("w").over(W.partitionBy("i").orderBy(F.desc("w"), "j"))
-    best = top_n(_pairs(t).withColumn("gap", gap), "i", [F.desc("w"), F.col("j")], 1)
-    return best.select("i", "j", F.when(F.col("w") >= 0.5, "same").when((F.col("w") >= 0.35) & (F.col("gap") >= 0.02), "likely").otherwise("no").alias("call"))
+    """Each query's best match of all vectors, and whether it is clear enough to be the same specimen."""
+    two = top_n(_pairs(t), "i", [F.desc("w"), F.col("j")], 2).groupBy("i").agg(F.max_by("j", F.struct("w", -F.col("j"))).alias("j"), F.max("w").alias("w"), F.min("w").alias("next"), F.count(F.lit(1)).alias("n"))
+    gap = F.when(F.col("n") > 1, F.col("w") - F.col("next"))
+    return two.select("i", "j", F.when(F.col("w") >= 0.5, "same").when((F.col("w") >= 0.35) & (gap >= 0.02), "likely").otherwise("no").alias("call"))
 
 
 _LINKS = "SELECT DISTINCT least(d1.doc_id, d2.doc_id) AS a, greatest(d1.doc_id, d2.doc_id) AS b FROM (SELECT min(doc_id) AS doc_id, md5(text) AS h FROM documents GROUP BY 2) d1 JOIN (SELECT doc_id, md5(text) AS h FROM documents) d2 ON d1.h = d2.h AND d1.doc_id <> d2.doc_id"
@@ -129,8 +138,8 @@ def unique_value_per_group(t):
     return t.orders.groupBy("o_orderkey").agg(F.min("o_custkey").alias("lo"), F.max("o_custkey").alias("hi")).filter("lo <> hi").select("o_orderkey")
 
 
-@query("SELECT lang, count(*) AS n, md5(string_agg(md5(text), ',' ORDER BY md5(text), doc_id)) AS digest FROM documents GROUP BY lang")
+@query("SELECT lang, count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', doc_id, text)), 1, 15))::HUGEINT)::VARCHAR AS digest FROM documents GROUP BY lang")
 def content_digest(t):
-    """Order-free content hash of each group, for provenance and frozen-input checks."""
-    d = t.documents.select("lang", "doc_id", F.md5("text").alias("h"))
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "doc_id"))), lambda x: x["h"]), ",")).alias("digest"))
+    """Order-free content hash of each group, for provenance and frozen-input checks: a sum, so nothing is gathered or sorted."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "text")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(h).cast("string").alias("digest"))

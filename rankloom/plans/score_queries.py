@@ -164,8 +164,8 @@ def gene_class_decision(t):
     return d.select("feature", F.when(F.col("lo") > 0, "both_up").when(F.col("hi") < 0, "both_down").when(F.col("m") > 0.05, "mostly_up").when(F.col("m") < -0.05, "mostly_down").otherwise("unresolved").alias("class"))
 
 
-@query("WITH s AS (SELECT doc_id, string_split(text, ' ')[1:6] AS g, string_split(lang || ';' || source, ';') AS d FROM documents WHERE doc_id % 25 = 0) SELECT doc_id, i AS pos, g[i] AS gene, CASE WHEN i <= len(d) THEN d[i] ELSE 'NA' END AS direction FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM s)")
+@query("WITH s AS (SELECT doc_id, string_split(text, ' ') AS g, string_split(lang || ';' || source, ';') AS d FROM documents) SELECT doc_id, i AS pos, g[i] AS gene, CASE WHEN i <= len(d) THEN d[i] ELSE 'NA' END AS direction FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM s)")
 def signature_direction_parse(t):
-    s = t.documents.filter("doc_id % 25 = 0").select("doc_id", F.slice(F.split("text", " "), 1, 6).alias("g"), F.split(F.concat_ws(";", "lang", "source"), ";").alias("d"))
+    s = t.documents.select("doc_id", F.split("text", " ").alias("g"), F.split(F.concat_ws(";", "lang", "source"), ";").alias("d"))
     e = s.select("doc_id", "d", F.posexplode("g").alias("p", "gene"))
     return e.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "gene", F.coalesce(F.get("d", F.col("p")), F.lit("NA")).alias("direction"))

@@ -12,27 +12,50 @@ from rankloom.operators.ranks import average_rank
 from rankloom.plans.base import query
 
 
-def _cohort_block(t, most_blocks: int = 8):
-    """Samples in blocks of bounded size within a cohort (a block is the unit of the eigen step)."""
-    return t.assay.withColumn("block", F.floor(F.col("sample") / 400))
-
-
 @query()
-def pca_residual_correlation(t):
-    """Leading components removed in sample space (Gram eigenvectors), then each sample's best residual partner."""
-
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        x = linalg.wide(g, "sample", "feature", "value").to_numpy()
-        ids = np.sort(g["sample"].unique())
-        x = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9)
-        _, v = linalg.symmetric_eigen(x @ x.T)
-        r = x - v[:, :2] @ (v[:, :2].T @ x)
-        r = (r - r.mean(axis=1, keepdims=True)) / (r.std(axis=1, keepdims=True) + 1e-9)
-        c = r @ r.T / r.shape[1]
-        np.fill_diagonal(c, -2)
-        return pd.DataFrame({"sample": ids, "partner": ids[c.argmax(axis=1)], "r": c.max(axis=1).round(6)})
-
-    return _cohort_block(t).groupBy("cohort", "block").applyInPandas(solve, "sample long, partner long, r double")
+def pca_residual_correlation(t, components: int = 2):
+    """Leading components of each cohort removed, then the best residual partner of every sample with an id divisible by 50 among all of its cohort.
+
+    The components come from the cohort's features-by-features Gram matrix, a sum over its rows, so a cohort of any size
+    needs no task of its own.
+    """
+    e = t.embeddings.select(F.col("vec_id").alias("sample"), (F.col("vec_id") % 4).alias("cohort"), "embedding")
+    m = t.assay.groupBy("cohort", "feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).orderBy("cohort", "feature").toPandas()  # cohorts times features: fixed size
+    scale = {c: (g["m"].to_numpy(), g["s"].to_numpy() + 1e-9) for c, g in m.groupby("cohort")}
+
+    def gram(batches):
+        total = {}
+        for b in batches:
+            for c, g in b.groupby("cohort"):
+                x = (np.stack(g["embedding"].to_numpy()).astype(float) - scale[c][0]) / scale[c][1]
+                total[c] = total.get(c, 0) + x.T @ x
+        yield pd.DataFrame({"cohort": list(total), "g": [x.ravel() for x in total.values()]})
+
+    parts = e.mapInPandas(gram, "cohort long, g array<double>").select("cohort", F.posexplode("g").alias("k", "v")).groupBy("cohort", "k").agg(F.sum("v").alias("v")).orderBy("cohort", "k").toPandas()
+    lead = {}
+    for c, g in parts.groupby("cohort"):
+        size = int(len(g) ** 0.5)
+        lead[c] = linalg.symmetric_eigen(g["v"].to_numpy().reshape(size, size))[1][:, :components]
+
+    def residual(batches):
+        for b in batches:
+            out = []
+            for c, v in zip(b["cohort"], b["embedding"]):
+                x = (np.asarray(v, float) - scale[c][0]) / scale[c][1]
+                r = x - lead[c] @ (lead[c].T @ x)
+                out.append((r - r.mean()) / (r.std() + 1e-9) / len(r) ** 0.5)
+            yield pd.DataFrame({"sample": b["sample"], "cohort": b["cohort"], "r": out})
+
+    r = e.mapInPandas(residual, "sample long, cohort long, r array<double>")
+    a, b = r.filter("sample % 50 = 0"), r.select("cohort", F.col("sample").alias("partner"), F.col("r").alias("q"))
+    dot = F.aggregate(F.zip_with("r", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    met = a.join(b, "cohort").filter("sample <> partner").select("sample", "partner", F.round(dot, 6).alias("c"))
+    return met.groupBy("sample").agg(F.max_by("partner", F.struct("c", -F.col("partner"))).alias("partner"), F.max("c").alias("r"))
+
+
+def _cohort_block(t):
+    """Samples in blocks of 400 ids within a cohort: the polish is defined on a block, as on a batch of arrays."""
+    return t.assay.withColumn("block", F.floor(F.col("sample") / 400))
 
 
 @query()
@@ -65,35 +88,39 @@ def nnls_proportions(t):
 
 
 @query()
-def logistic_cv(t):
-    """Leave-one-cohort-out ridge logistic: a cohort is a task, trained on a bounded hash sample of the others."""
+def logistic_cv(t, most_rows: int = 4000):
+    """Leave-one-cohort-out ridge logistic, trained on about most_rows hashed rows at most; every row of the left-out cohort is scored."""
     e = t.embeddings.select("vec_id", F.when(F.col("label") <= 4, 1).otherwise(0).alias("y"), (F.col("vec_id") % 4).alias("cohort"), "embedding")
-    sample = e.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(1 << 20)).orderBy(F.xxhash64("vec_id")).limit(4000)
-    each = sample.withColumn("fold", F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)])))
+    share = min(1.0, most_rows / max(1, e.count()))
+    sample = e.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * share)))
+    each = sample.withColumn("fold", F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)]))).filter("fold <> cohort")
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(g["embedding"].to_numpy()).astype(float), g["y"].to_numpy(float)
-        test = (g["cohort"] == g["fold"]).to_numpy()
-        w = linalg.logistic(x[~test], y[~test])
-        return pd.DataFrame({"fold": g["fold"][test], "sample": g["vec_id"][test], "y": y[test].astype(int), "logit": (w[0] + x[test] @ w[1:]).round(6)})
+        w = linalg.logistic(np.stack(g["embedding"].to_numpy()).astype(float), g["y"].to_numpy(float))
+        return pd.DataFrame({"fold": [int(g["fold"].iloc[0])], "w": [w.tolist()]})
 
-    scored = each.groupBy("fold").applyInPandas(solve, "fold long, sample long, y int, logit double")
+    fitted = each.groupBy("fold").applyInPandas(solve, "fold long, w array<double>")  # one row of weights a fold
+    dot = F.aggregate(F.zip_with(F.slice("w", 2, 1 << 20), "embedding", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    scored = e.withColumnRenamed("cohort", "fold").join(F.broadcast(fitted), "fold").select("fold", "y", F.round(F.get("w", F.lit(0)) + dot, 6).alias("logit"))
     return T.auroc(scored, "fold", score="logit")
 
 
-@query()
+_CV = "d AS (SELECT p_brand, p_retailprice AS y, p_size::DOUBLE AS x, ('0x' || substr(md5('cv|' || p_partkey), 1, 8))::BIGINT % 5 AS k FROM part), s AS (SELECT p_brand, k, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM d GROUP BY 1, 2), r AS (SELECT p_brand, k, sum(n) OVER w - n AS n, sum(sx) OVER w - sx AS sx, sum(sy) OVER w - sy AS sy, sum(sxx) OVER w - sxx AS sxx, sum(sxy) OVER w - sxy AS sxy FROM s WINDOW w AS (PARTITION BY p_brand)), f AS (SELECT p_brand, k, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) AS b, sy / n AS m, sx / n AS mx FROM r)"
+
+
+@query(f"WITH {_CV} SELECT d.p_brand, round(1 - sum((y - (m - b * mx) - b * x) * (y - (m - b * mx) - b * x)) / sum((y - m) * (y - m)), 5) AS cv_r2 FROM d JOIN f ON d.p_brand = f.p_brand AND d.k = f.k GROUP BY 1")
 def cv_r2(t):
     """Five-fold cross-validated R squared of one predictor per brand, folds by hash."""
     from pyspark.sql import Window as W
 
-    d = t.part.select("p_brand", F.col("p_retailprice").alias("y"), F.col("p_size").cast("double").alias("x"), F.pmod(F.xxhash64("p_partkey"), F.lit(5)).alias("k"))
+    d = t.part.select("p_brand", F.col("p_retailprice").alias("y"), F.col("p_size").cast("double").alias("x"), (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("cv"), F.col("p_partkey").cast("string"))), 1, 8), 16, 10).cast("long") % 5).alias("k"))
     s = d.groupBy("p_brand", "k").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
     rest = s.select("p_brand", "k", *((F.sum(c).over(W.partitionBy("p_brand")) - F.col(c)).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")))
     slope = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.lit(0.0))
     fit = rest.select("p_brand", "k", slope.alias("b"), ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("a"), (F.col("sy") / F.col("n")).alias("m"))
     e = d.join(fit, ["p_brand", "k"])
     err, tot = F.col("y") - F.col("a") - F.col("b") * F.col("x"), F.col("y") - F.col("m")
-    return e.groupBy("p_brand").agg((1 - F.sum(err * err) / F.sum(tot * tot)).alias("cv_r2"))
+    return e.groupBy("p_brand").agg(F.round(1 - F.sum(err * err) / F.sum(tot * tot), 5).alias("cv_r2"))
 
 
 @query()

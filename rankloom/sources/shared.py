@@ -12,9 +12,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, a temporary one only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session; where it is unset, a temporary one in local mode (tests) and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='rankloom-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where

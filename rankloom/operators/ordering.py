@@ -20,3 +20,22 @@ def global_rank(df: DataFrame, order: str, out: str, parts: int = 0) -> DataFram
     shift = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n")).select("_bin", before.alias("_shift"))
     local = F.row_number().over(W.partitionBy("_bin").orderBy(order)) - 1
     return binned.withColumn("_local", local).join(F.broadcast(shift), "_bin").withColumn(out, (F.col("_local") + F.col("_shift")).cast("long")).drop("_bin", "_local", "_shift")
+
+
+def binned_prefix(values: DataFrame, keys: list[str], order: str, weights: list[str], parts: int = 1024) -> DataFrame:
+    """values with before_<w>: the sum of each weight over the key's rows of smaller order; one row per (keys, order).
+
+    For a few keys with very many values: rows fall in equal-width bins of their key's range, sums run within bins, and
+    a window over the bins' totals alone shifts them, so no task holds a key.
+    """
+    lo, hi = F.col("_lo"), F.col("_hi")
+    span = values.groupBy(*keys).agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))
+    place = F.coalesce(F.floor((F.col(order).cast("double") - lo) / F.nullif(hi - lo, F.lit(0.0)) * parts), F.lit(0)).cast("int")
+    binned = values.join(span, keys).withColumn("_bin", place).drop("_lo", "_hi")
+    totals = binned.groupBy(*keys, "_bin").agg(*(F.sum(w).alias(f"_t_{w}") for w in weights))
+    bins = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    shift = totals.select(*keys, "_bin", *(F.coalesce(F.sum(f"_t_{w}").over(bins), F.lit(0.0)).alias(f"_s_{w}") for w in weights))
+    inside = W.partitionBy(*keys, "_bin").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    local = binned.select("*", *(F.coalesce(F.sum(w).over(inside), F.lit(0.0)).alias(f"_l_{w}") for w in weights))
+    out = local.join(shift, [*keys, "_bin"])
+    return out.select(*values.columns, *((F.col(f"_l_{w}") + F.col(f"_s_{w}")).alias(f"before_{w}") for w in weights))

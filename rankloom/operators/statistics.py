@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom.operators.ordering import binned_prefix
 from rankloom.operators.ranks import _cols, average_rank
 
 
@@ -36,16 +37,21 @@ def welch_t(stats: DataFrame) -> DataFrame:
     return stats.withColumn("t", (F.col("m1") - F.col("m0")) / F.sqrt(a + b)).withColumn("df", (a + b) * (a + b) / (a * a / (F.col("n1") - 1) + b * b / (F.col("n0") - 1)))
 
 
-def auroc(df: DataFrame, keys, y: str = "y", score: str = "score", out: str = "auroc") -> DataFrame:
+def auroc(df: DataFrame, keys, y: str = "y", score: str = "score", out: str = "auroc", many_keys: bool = False) -> DataFrame:
     """Rank-sum AUROC per key, null for one class.
 
-    Scores are counted per distinct value first, so the window runs over value counts and not over rows.
+    Scores are counted per distinct value first. Few keys take prefix sums over bins of their range, so a key's values
+    are spread over tasks; with many_keys (replicates, samples) one window per key does.
     """
     keys = _cols(keys)
-    values = df.groupBy(*keys, score).agg(F.sum(y).cast("double").alias("_p"), F.count(F.lit(1)).cast("double").alias("_n"))
-    below = F.sum(F.col("_n") - F.col("_p")).over(W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1))
-    wins = values.withColumn("_w", F.col("_p") * (F.coalesce(below, F.lit(0.0)) + (F.col("_n") - F.col("_p")) / 2))
-    total = wins.groupBy(*keys).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("n_pos"), F.sum(F.col("_n") - F.col("_p")).alias("n_neg"))
+    values = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(y).cast("double").alias("_p"), (F.count(F.lit(1)) - F.sum(y)).cast("double").alias("_q"))
+    if many_keys:
+        below = F.sum("_q").over(W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1))
+        ranked = values.withColumn("before__q", F.coalesce(below, F.lit(0.0)))
+    else:
+        ranked = binned_prefix(values, keys, score, ["_q"])
+    wins = F.col("_p") * (F.col("before__q") + F.col("_q") / 2)
+    total = ranked.groupBy(*keys).agg(F.sum(wins).alias("_w"), F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg"))
     return total.select(*keys, F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"), F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_w") / (F.col("n_pos") * F.col("n_neg"))).alias(out))
 
 
@@ -56,9 +62,18 @@ def residual_on_negatives(df: DataFrame, keys, y: str = "y", score: str = "score
     return df.join(fit, keys).withColumn(out, F.col(score) - F.col("_a") - F.col("_b") * F.col(covariate)).drop("_a", "_b")
 
 
-def spearman(df: DataFrame, keys, a: str, b: str, out: str = "rho") -> DataFrame:
+def spread_rank(df: DataFrame, keys, value: str, out: str) -> DataFrame:
+    """Average rank for few keys with many rows: counts by distinct value, prefix sums over bins, joined back by value."""
     keys = _cols(keys)
-    ranked = average_rank(average_rank(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), keys, a, "_ra"), keys, b, "_rb")
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    ranks = binned_prefix(counts, keys, value, ["_n"]).select(*keys, value, (F.col("before__n") + (F.col("_n") + 1) / 2).alias(out))
+    return df.join(ranks, [*keys, value])
+
+
+def spearman(df: DataFrame, keys, a: str, b: str, out: str = "rho", many_keys: bool = False) -> DataFrame:
+    keys = _cols(keys)
+    rank = average_rank if many_keys else spread_rank
+    ranked = rank(rank(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), keys, a, "_ra"), keys, b, "_rb")
     return ranked.groupBy(*keys).agg(F.corr("_ra", "_rb").alias(out), F.count(F.lit(1)).alias("n"))
 
 

@@ -35,7 +35,7 @@ def _null_aurocs(t):
     sets = drawn.select("rep", "feature", F.when(F.col("k") <= 6, 1).otherwise(-1).alias("sign"))
     side = lambda s: F.avg(F.when(F.col("sign") == s, F.col("r")))
     scores = ranks.join(F.broadcast(sets), "feature").groupBy("rep", "sample", "cohort", "label").agg((F.round(side(1) - side(-1), 9) + F.lit(0.0)).alias("score"))
-    return T.auroc(scores, ["rep", "cohort"], y="label")
+    return T.auroc(scores, ["rep", "cohort"], y="label", many_keys=True)
 
 
 @query(f"WITH {_SETS} SELECT rep, cohort, round(auroc, 6) AS auroc FROM na")
@@ -80,7 +80,7 @@ def permutation_spearman(t):
     d = ordinal_rank(_reps(s), "rep", [T.unit_random("sp", F.col("rep"), F.col("id")), F.col("id")], "k")
     d = ordinal_rank(d, "rep", [F.col("id")], "i")
     m = d.select("rep", "k", "a").join(d.select("rep", F.col("i").alias("k"), "b"), ["rep", "k"])
-    return T.spearman(m, "rep", "a", "b").select("rep", r6("rho"))
+    return T.spearman(m, "rep", "a", "b", many_keys=True).select("rep", r6("rho"))
 
 
 _CLB = f"{CASES}, c AS (SELECT cohort, cluster, sum(score) AS s, count(*) AS n, row_number() OVER (PARTITION BY cohort ORDER BY cluster) - 1 AS i, count(*) OVER (PARTITION BY cohort) AS m FROM cases GROUP BY 1, 2), b AS (SELECT cohort, rep, floor({_u('boot', 'rep', 'cohort', 'i')} * m)::BIGINT AS pick FROM c, (SELECT unnest(range(1, {REPS + 1})) AS rep)), r AS (SELECT b.cohort, rep, sum(s) / sum(n) AS mean FROM b JOIN c ON b.cohort = c.cohort AND pick = i GROUP BY 1, 2)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import ranks as R
 from rankloom.operators import statistics as T
+from rankloom.operators.ordering import binned_prefix
 from rankloom.plans.base import query, r6
 from rankloom.sources.relations import ASSAY, CASES
 
@@ -92,12 +93,18 @@ def logit_auc_variance(t):
     return T.auroc(t.cases, "cohort").filter("auroc > 0 AND auroc < 1").select("cohort", r6(F.ln(a / (1 - a)), "logit"), r6(v / (a * (1 - a) * a * (1 - a)), "v_logit"))
 
 
+def _from_top(t):
+    """Positives and negatives at or over each distinct score, and in all; prefix sums run over bins, so no task holds a cohort."""
+    v = t.cases.groupBy("cohort", "score").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("q"))
+    tot = v.groupBy("cohort").agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    c = binned_prefix(v, ["cohort"], "score", ["p", "q"]).join(tot, "cohort")
+    return c.withColumn("tp", F.col("all_p") - F.col("before_p")).withColumn("fp", F.col("all_q") - F.col("before_q"))
+
+
 @query(f"WITH {CASES}, v AS (SELECT cohort, score, sum(y) AS p, count(*) AS n FROM cases GROUP BY 1, 2), c AS (SELECT cohort, p, sum(p) OVER w AS tp, sum(n) OVER w AS np, sum(p) OVER (PARTITION BY cohort) AS tot FROM v WINDOW w AS (PARTITION BY cohort ORDER BY score DESC)) SELECT cohort, round(sum(p * tp / np) / max(tot), 6) AS ap FROM c GROUP BY 1")
 def avg_precision(t):
-    v = t.cases.groupBy("cohort", "score").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy("cohort").orderBy(F.desc("score"))
-    c = v.select("cohort", "p", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("np"))
-    return c.groupBy("cohort").agg(r6(F.sum(F.col("p") * F.col("tp") / F.col("np")) / F.sum("p"), "ap"))
+    c = _from_top(t)
+    return c.groupBy("cohort").agg(r6(F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("p"), "ap"))
 
 
 @query(f"WITH {CASES}, p AS (SELECT cohort, y, 1 / (1 + exp(-(score - 150000) / 100000)) AS p FROM cases) SELECT cohort, round(avg((p - y) * (p - y)), 6) AS brier FROM p GROUP BY 1")
@@ -108,10 +115,8 @@ def brier(t):
 
 @query(f"WITH {CASES}, v AS (SELECT cohort, score, sum(y) AS p, count(*) - sum(y) AS q FROM cases GROUP BY 1, 2), c AS (SELECT cohort, score, sum(p) OVER w / sum(p) OVER (PARTITION BY cohort) - sum(q) OVER w / sum(q) OVER (PARTITION BY cohort) AS j FROM v WINDOW w AS (PARTITION BY cohort ORDER BY score DESC)) SELECT cohort, score AS threshold, round(j, 6) AS j FROM (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY round(j, 12) DESC, score DESC) AS k FROM c) WHERE k = 1")
 def youden(t):
-    v = t.cases.groupBy("cohort", "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    own, w = W.partitionBy("cohort"), W.partitionBy("cohort").orderBy(F.desc("score"))
-    j = F.sum("p").over(w) / F.sum("p").over(own) - F.sum("q").over(w) / F.sum("q").over(own)
-    best = v.select("cohort", "score", j.alias("j")).groupBy("cohort").agg(F.max(F.struct(F.round("j", 12).alias("r"), "score", "j")).alias("b"))
+    j = F.col("tp") / F.col("all_p") - F.col("fp") / F.col("all_q")
+    best = _from_top(t).select("cohort", "score", j.alias("j")).groupBy("cohort").agg(F.max(F.struct(F.round("j", 12).alias("r"), "score", "j")).alias("b"))
     return best.select("cohort", F.col("b.score").alias("threshold"), r6("b.j", "j"))
 
 
@@ -128,7 +133,7 @@ def spearman_partial(t):
     """Rank correlation with the third variable's ranks held constant."""
     d = t.lineitem.select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("a"), F.col("l_discount").alias("b"), F.col("l_quantity").alias("c"))
     for c in "abc":
-        d = R.average_rank(d, "g", c, f"r{c}")
+        d = T.spread_rank(d, "g", c, f"r{c}")
     r = d.groupBy("g").agg(F.corr("ra", "rb").alias("ab"), F.corr("ra", "rc").alias("ac"), F.corr("rb", "rc").alias("bc"))
     ab, ac, bc = F.col("ab"), F.col("ac"), F.col("bc")
     return r.select("g", r6((ab - ac * bc) / F.sqrt((1 - ac * ac) * (1 - bc * bc)), "rho"))

@@ -22,6 +22,7 @@ empty table gives no row; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -168,7 +169,7 @@ def deep_nodes(docs: np.ndarray, n: np.ndarray, bodies: list[bytes], window: int
     numbers = _Vocabulary().__getitem__
     split = [b.split(b" ") for b in bodies]
     lengths = np.fromiter(map(len, split), np.int64, len(split))
-    tokens = np.fromiter((numbers(w) for words in split for w in words), np.int64, int(lengths.sum()))
+    tokens = np.fromiter(map(numbers, chain.from_iterable(split)), np.int64, int(lengths.sum()))
     rank = head_ranks(tokens, window)
     first = np.cumsum(lengths) - lengths
     segment = np.repeat(np.arange(len(n)), n)

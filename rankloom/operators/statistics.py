@@ -62,18 +62,24 @@ def residual_on_negatives(df: DataFrame, keys, y: str = "y", score: str = "score
     return df.join(fit, keys).withColumn(out, F.col(score) - F.col("_a") - F.col("_b") * F.col(covariate)).drop("_a", "_b")
 
 
-def spread_rank(df: DataFrame, keys, value: str, out: str) -> DataFrame:
-    """Average rank for few keys with many rows: counts by distinct value, prefix sums over bins, joined back by value."""
+def spread_rank(df: DataFrame, keys, value: str, out: str, base: DataFrame | None = None) -> DataFrame:
+    """Average rank for few keys with many rows: counts by distinct value, prefix sums over bins, joined back by value.
+
+    base: the same rows with a shorter plan to count, where df already carries other ranks.
+    """
     keys = _cols(keys)
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    counts = (df if base is None else base).groupBy(*keys, value).agg(F.count(F.lit(1)).cast("double").alias("_n"))
     ranks = binned_prefix(counts, keys, value, ["_n"]).select(*keys, value, (F.col("before__n") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, [*keys, value])
 
 
 def spearman(df: DataFrame, keys, a: str, b: str, out: str = "rho", many_keys: bool = False) -> DataFrame:
     keys = _cols(keys)
-    rank = average_rank if many_keys else spread_rank
-    ranked = rank(rank(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), keys, a, "_ra"), keys, b, "_rb")
+    base = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    if many_keys:
+        ranked = average_rank(average_rank(base, keys, a, "_ra"), keys, b, "_rb")
+    else:
+        ranked = spread_rank(spread_rank(base, keys, a, "_ra"), keys, b, "_rb", base)
     return ranked.groupBy(*keys).agg(F.corr("_ra", "_rb").alias(out), F.count(F.lit(1)).alias("n"))
 
 

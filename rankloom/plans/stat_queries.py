@@ -132,8 +132,9 @@ def spearman_grouped(t):
 def spearman_partial(t):
     """Rank correlation with the third variable's ranks held constant."""
     d = t.lineitem.select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("a"), F.col("l_discount").alias("b"), F.col("l_quantity").alias("c"))
+    base = d
     for c in "abc":
-        d = T.spread_rank(d, "g", c, f"r{c}")
+        d = T.spread_rank(d, "g", c, f"r{c}", base)
     r = d.groupBy("g").agg(F.corr("ra", "rb").alias("ab"), F.corr("ra", "rc").alias("ac"), F.corr("rb", "rc").alias("bc"))
     ab, ac, bc = F.col("ab"), F.col("ac"), F.col("bc")
     return r.select("g", r6((ab - ac * bc) / F.sqrt((1 - ac * ac) * (1 - bc * bc)), "rho"))

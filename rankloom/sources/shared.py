@@ -28,7 +28,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/rankloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no later plan reads; the exchanges of finished plans go with the driver's garbage, which is collected here."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        _delete(spark, t._written_at)
+    gone = {t._written_at for t in tables}
+    _written[:] = [(s, path) for s, path in _written if path not in gone]
+    spark.sparkContext._jvm.System.gc()
 
 
 def release(spark: SparkSession | None = None) -> None:
@@ -39,9 +57,7 @@ def release(spark: SparkSession | None = None) -> None:
             keep.append((s, path))
             continue
         try:
-            jvm, conf = s.sparkContext._jvm, s.sparkContext._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            _delete(s, path)
         except Exception:  # noqa: BLE001  the session may be gone at exit
             pass
     _written[:] = keep

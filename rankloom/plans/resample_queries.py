@@ -11,6 +11,8 @@ from rankloom.plans.base import query, r6
 from rankloom.sources.relations import ASSAY, CASES, RANKED
 
 REPS = 20
+#: Replicates of draws over the features alone, whose number does not grow with the rows.
+FEATURE_REPS = 1000
 
 
 def _u(seed: str, *keys: str) -> str:
@@ -129,13 +131,13 @@ def split_half_reliability(t):
     return h.groupBy("rep").agg(r6(c, "r"), r6(2 * c / (1 + c), "corrected"))
 
 
-@query(f"WITH {ASSAY}, s AS (SELECT feature, avg(value) AS x FROM assay GROUP BY 1), b AS (SELECT feature, x, ntile(8) OVER (ORDER BY x, feature) AS bin FROM s), want AS (SELECT bin, count(*) AS n FROM b WHERE feature % 5 = 0 GROUP BY 1), d AS (SELECT rep, feature, x, bin, row_number() OVER (PARTITION BY rep, bin ORDER BY {_u('match', 'rep', 'feature')}, feature) AS k FROM b, (SELECT unnest(range(1, {REPS + 1})) AS rep)) SELECT rep, count(*) AS size, round(avg(x), 6) AS mean FROM d JOIN want ON d.bin = want.bin WHERE k <= n GROUP BY rep")
+@query(f"WITH {ASSAY}, s AS (SELECT feature, avg(value) AS x FROM assay GROUP BY 1), b AS (SELECT feature, x, ntile(8) OVER (ORDER BY x, feature) AS bin FROM s), want AS (SELECT bin, count(*) AS n FROM b WHERE feature % 5 = 0 GROUP BY 1), d AS (SELECT rep, feature, x, bin, row_number() OVER (PARTITION BY rep, bin ORDER BY {_u('match', 'rep', 'feature')}, feature) AS k FROM b, (SELECT unnest(range(1, {FEATURE_REPS + 1})) AS rep)) SELECT rep, count(*) AS size, round(avg(x), 6) AS mean FROM d JOIN want ON d.bin = want.bin WHERE k <= n GROUP BY rep")
 def expression_matched_null(t):
     """Random sets with as many members in each expression bin as the observed set; bins over the few thousand features."""
     s = t.assay.groupBy("feature").agg(F.avg("value").alias("x")).withColumn("all", F.lit(1))
     b = s.withColumn("bin", F.ntile(8).over(W.partitionBy("all").orderBy("x", "feature")))
     want = b.filter("feature % 5 = 0").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    d = ordinal_rank(_reps(b), ["rep", "bin"], [T.unit_random("match", F.col("rep"), F.col("feature")), F.col("feature")], "k")
+    d = ordinal_rank(_reps(b, FEATURE_REPS), ["rep", "bin"], [T.unit_random("match", F.col("rep"), F.col("feature")), F.col("feature")], "k")
     return d.join(F.broadcast(want), "bin").filter("k <= n").groupBy("rep").agg(F.count(F.lit(1)).alias("size"), r6(F.avg("x"), "mean"))
 
 

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+#: Spark's own setting to remove the exchanges of a query once it has ended.
+_REMOVE_EXCHANGES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,10 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, and later readers see one fixed result."""
+    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, and later readers see one fixed result.
+
+    The exchanges of the write are removed when the table is whole; other queries of the session keep their setting.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rankloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_REMOVE_EXCHANGES, "false")
+    spark.conf.set(_REMOVE_EXCHANGES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_REMOVE_EXCHANGES, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
@@ -40,13 +50,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialize() that no later plan reads; the exchanges of finished plans go with the driver's garbage, which is collected here."""
-    spark = tables[0].sparkSession
+    """Delete tables of materialize() that no later plan reads."""
     for t in tables:
-        _delete(spark, t._written_at)
+        _delete(t.sparkSession, t._written_at)
     gone = {t._written_at for t in tables}
     _written[:] = [(s, path) for s, path in _written if path not in gone]
-    spark.sparkContext._jvm.System.gc()
 
 
 def release(spark: SparkSession | None = None) -> None:

@@ -12,6 +12,7 @@ from rankloom.llm import pii as _10
 from rankloom.llm import simhash as _9
 from rankloom.llm import substring_dedup as _4
 from rankloom.llm import toxicity as _6
+from rankloom.llm import turn_repair as _11
 
 
 def queries() -> dict:
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op8_chat_format": _8.op8_chat_format,
         "op9_simhash_neardup": _9.op9_simhash_neardup,
         "op10_pii": _10.op10_pii,
+        "op11_turn_repair": _11.op11_turn_repair,
     }
 
 
@@ -34,4 +36,5 @@ def oracle_sql() -> dict:
         "op1_exact_dedup": _1.OP1_SQL,
         "op4_substring_dedup": _4.OP4_SQL,
         "op8_chat_format": _8.OP8_SQL,
+        "op11_turn_repair": _11.OP11_SQL,
     }

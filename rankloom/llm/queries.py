@@ -9,6 +9,7 @@ from rankloom.llm import html_extract as _5
 from rankloom.llm import language_id as _3
 from rankloom.llm import packing as _2
 from rankloom.llm import pii as _10
+from rankloom.llm import prefix_trie as _12
 from rankloom.llm import simhash as _9
 from rankloom.llm import substring_dedup as _4
 from rankloom.llm import toxicity as _6
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op9_simhash_neardup": _9.op9_simhash_neardup,
         "op10_pii": _10.op10_pii,
         "op11_turn_repair": _11.op11_turn_repair,
+        "op12_prefix_trie": _12.op12_prefix_trie,
     }
 
 
@@ -37,4 +39,5 @@ def oracle_sql() -> dict:
         "op4_substring_dedup": _4.OP4_SQL,
         "op8_chat_format": _8.OP8_SQL,
         "op11_turn_repair": _11.OP11_SQL,
+        "op12_prefix_trie": _12.OP12_SQL,
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rankloom.llm import bin_completion as _13
 from rankloom.llm import chat_format as _8
 from rankloom.llm import decontaminate as _7
 from rankloom.llm import exact_dedup as _1
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op10_pii": _10.op10_pii,
         "op11_turn_repair": _11.op11_turn_repair,
         "op12_prefix_trie": _12.op12_prefix_trie,
+        "op13_best_fit_packing": _13.op13_best_fit_packing,
     }
 
 

@@ -4,9 +4,10 @@ Documents become token ids; only those of more than `length` ids are cut, every
 texts or ids, are dealt to randomised groups of about `group_pieces` pieces, and each group is packed by branch and
 bound: best-fit decreasing gives the first incumbent; a node takes the largest piece left and branches over the
 undominated fillings of the room around it, least waste first; a branch ends when the waste so far leaves no better
-packing than the incumbent; the search ends when the incumbent meets a lower bound. The search looks at `nodes_per_bin`
-nodes for each sequence of the incumbent and at `steps` partial fillings and `width` fillings a node; beyond that the
-best packing found so far stands, with every piece placed. With steps, width and nodes unbounded it is exact.
+packing than the incumbent; the search ends when the incumbent meets a lower bound. Sequences that the first incumbent
+fills to the last id stay as they are; the search repacks the others, looks at `nodes_per_bin` nodes for each of them
+and at `steps` partial fillings and `width` fillings a node, and beyond that the best packing found so far stands, with
+every piece placed. With steps, width and nodes unbounded it searches all sequences and is exact.
 
 Ids are put together from cached words: the pre-tokens of this tokenizer never hold white space, so the ids of a text
 are those of its words, one after the other.
@@ -217,6 +218,12 @@ def bin_completion(counts: list[int], capacity: int, nodes_per_bin: int | None =
     best, bound = best_fit_decreasing(counts, capacity), lower_bound(counts, capacity)
     if len(best) <= bound:
         return best
+    if nodes_per_bin is not None and (full := [f for f in best if sum(f) == capacity]):
+        rest = list(counts)
+        for f in full:
+            for s in f:
+                rest[s] -= 1
+        return full + bin_completion(rest, capacity, nodes_per_bin, steps, width)
     counts, total = list(counts), sum(s * n for s, n in enumerate(counts))
     sizes = sum(1 << s for s, n in enumerate(counts) if n and s)
     nodes = None if nodes_per_bin is None else nodes_per_bin * len(best)

@@ -13,23 +13,24 @@ def symmetric_eigen(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w, v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
 
 
-def median_polish(x: np.ndarray, rounds: int = 10, eps: float = 1e-6) -> tuple[float, np.ndarray, np.ndarray]:
-    """Overall, row and column effects of a table by sweeping medians until the residuals settle."""
-    r, overall, rows, cols, old = x.astype(float).copy(), 0.0, np.zeros(x.shape[0]), np.zeros(x.shape[1]), np.inf
-    for _ in range(rounds):
-        m = np.nanmedian(r, axis=1)
-        r, rows = r - m[:, None], rows + m
-        shift = np.nanmedian(cols)
-        overall, cols = overall + shift, cols - shift
-        m = np.nanmedian(r, axis=0)
-        r, cols = r - m[None, :], cols + m
-        shift = np.nanmedian(rows)
-        overall, rows = overall + shift, rows - shift
-        size = np.nansum(np.abs(r))
-        if size == 0 or abs(old - size) < eps * size:
+def swept(residual: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """(what is left, medians taken out) after one sweep along an axis; a line without values gives 0."""
+    seen = ~np.isnan(residual).all(axis=axis, keepdims=True)
+    middle = np.nanmedian(np.where(seen, residual, 0.0), axis=axis, keepdims=True)
+    return residual - middle, middle
+
+
+def median_polish(table: np.ndarray, most_sweeps: int = 20, still: float = 1e-9) -> tuple[float, np.ndarray, np.ndarray]:
+    """Overall, row and column effects: sweeps in turn until no median moves by more than `still` of the table's spread."""
+    left, effects = np.array(table, dtype=float), [np.zeros((table.shape[0], 1)), np.zeros((1, table.shape[1]))]
+    limit = still * (np.nanmax(left) - np.nanmin(left) + 1e-300)
+    for k in range(2 * most_sweeps):
+        left, moved = swept(left, axis=1 - k % 2)
+        effects[k % 2] = effects[k % 2] + moved
+        if k and np.abs(moved).max() <= limit:
             break
-        old = size
-    return overall, rows, cols
+    level = [float(np.median(e)) for e in effects]
+    return sum(level), effects[0].ravel() - level[0], effects[1].ravel() - level[1]
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:

@@ -33,10 +33,10 @@ def select_ranks(values: DataFrame, keys: list[str], value: str, targets: DataFr
     far = hits.filter("_least < _most")
     large = far.filter(F.col("_n") > most).select(*keys, "_bin").distinct()
     small = far.filter(F.col("_n") <= most)
-    inner = binned.join(small.select(*keys, "_bin").distinct(), [*keys, "_bin"]).groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(W.partitionBy(*keys, "_bin").orderBy("_v"))
+    inner = binned.join(small.select(*keys, "_bin").distinct(), [*keys, "_bin"]).groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_copies"))
+    upto = F.sum("_copies").over(W.partitionBy(*keys, "_bin").orderBy("_v"))
     ranked = inner.withColumn("_upto", upto)
-    found = small.join(ranked, [*keys, "_bin"]).filter((F.col("rank") - F.col("_before") < F.col("_upto")) & (F.col("rank") - F.col("_before") >= F.col("_upto") - F.col("_c")))
+    found = small.join(ranked, [*keys, "_bin"]).filter((F.col("rank") - F.col("_before") < F.col("_upto")) & (F.col("rank") - F.col("_before") >= F.col("_upto") - F.col("_copies")))
     out = done.union(found.select(*keys, "rank", F.col("_v").alias(value)))
     if not large.isEmpty():
         deep = f"_bin_{len(keys)}"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import linalg, tails
 from rankloom.operators import statistics as T
+from rankloom.operators.polish import polished_levels
 from rankloom.operators.ranks import average_rank
 from rankloom.plans.base import query
 
@@ -53,22 +54,14 @@ def pca_residual_correlation(t, components: int = 2):
     return met.groupBy("sample").agg(F.max_by("partner", F.struct("c", -F.col("partner"))).alias("partner"), F.max("c").alias("r"))
 
 
-def _cohort_block(t):
-    """Samples in blocks of 400 ids within a cohort: the polish is defined on a block, as on a batch of arrays."""
-    return t.assay.withColumn("block", F.floor(F.col("sample") / 400))
-
-
 @query()
 def median_polish(t):
-    """Probe-set summary: sample effects of each set of eight features."""
-
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        w = linalg.wide(g, "sample", "feature", "value")
-        overall, rows, _ = linalg.median_polish(w.to_numpy())
-        return pd.DataFrame({"probe_set": int(g["probe_set"].iloc[0]), "sample": w.index, "level": (overall + rows).round(6)})
-
-    g = _cohort_block(t).withColumn("probe_set", F.floor((F.col("feature") - 1) / 8))
-    return g.groupBy("probe_set", "cohort", "block").applyInPandas(solve, "probe_set long, sample long, level double")
+    """Probe-set summary: sample effects of each set of eight features, over all samples of a cohort."""
+    e = t.embeddings.select(F.col("vec_id").alias("sample"), (F.col("vec_id") % 4).alias("cohort"), F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    sets = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("e") - 1) / 8).cast("int")), lambda k: F.slice("e", k * 8 + 1, 8)))
+    each = e.select("sample", "cohort", sets.alias("probe_set", "x")).select((F.col("probe_set") * 10 + F.col("cohort")).cast("long").alias("key"), "sample", "x")
+    levels = polished_levels(each, "key", "sample")
+    return levels.select(F.floor(F.col("key") / 10).cast("long").alias("probe_set"), "sample", F.round("level", 6).alias("level"))
 
 
 @query()

@@ -8,6 +8,10 @@ alone, so equal values stay linked across documents, and whoever has the key can
 under the key. What fails validation stays, as does what has no pattern here: bank account numbers, IPv6 addresses,
 phone numbers outside the ten-digit plan, names and street addresses.
 
+A slash date is read month first where that is a date, else day first; its image is read the same way, so one value has one
+pseudonym in every form and no two values share one. E-mail addresses are equal whatever their letter case and come out in
+lower case. A permutation can leave a value as it is: about one value does in each domain, so one in 36 one-letter names.
+
 Defined results: null text stays null with no match; a text of any length is searched whole; bytes that are not UTF-8
 become U+FFFD in a text with a match and stay in one without; repeated rows give equal results; an empty table gives no
 row; other columns are kept out of the result. The default key is for tests: production passes its own.
@@ -156,20 +160,51 @@ def _ip(key, m):
     return _let(octets, image)
 
 
-#: Days in the Gregorian cycle of 400 years, as a product, and the first day of the cycle that is permuted.
-CYCLE_A, CYCLE_B, CYCLE_START = 189, 773, "1800-01-01"
+#: The Gregorian cycle of 400 years that is permuted, from its first year on: days up to the 12th and days from the 13th on, each as a product.
+CYCLE_START = 1800
+EARLY_A, EARLY_B = 240, 240
+LATE_A, LATE_B = 9, 9833
+
+
+def _early(year, month, day) -> Column:
+    """Number of a day up to the 12th among those since the cycle's start."""
+    return ((year - CYCLE_START) * 12 + month - 1) * 12 + day - 1
+
+
+def _late_before(year, month) -> Column:
+    """Days from the 13th on between the cycle's start and a month's first."""
+    whole = F.datediff(F.make_date(year, month, F.lit(1)), F.lit(f"{CYCLE_START}-01-01").cast("date"))
+    return (whole - 12 * ((year - CYCLE_START) * 12 + month - 1)).cast("long")
+
+
+def _late_date(rank: Column, base: Column) -> Column:
+    """Date of a rank among the days from the 13th on of one cycle that starts `base` years after CYCLE_START."""
+    at = lambda y: _late_before(y, F.lit(1))
+
+    def of_year(y):
+        left = rank - at(y)
+        month = F.size(F.filter(F.sequence(F.lit(1), F.lit(12)), lambda k: _late_before(y, k) - at(y) <= left))
+        return _let(month, lambda k: F.make_date((y + base).cast("int"), k, (rank - _late_before(y, k) + 13).cast("int")))
+
+    guess = (CYCLE_START + F.floor(rank * 400 / (LATE_A * LATE_B))).cast("int")
+    year = _let(guess, lambda y: (y - 1 + (at(y) <= rank).cast("int") + (at(y + 1) <= rank).cast("int")).cast("int"))
+    return _let(year, of_year)
 
 
 def _date(key, m):
+    """Days up to the 12th stay so, and later days too: a slash date that can be read both ways keeps being one, so no two of any form get one pseudonym."""
     iso, us = m.rlike("^[0-9]{4}-"), m.contains("/")
+    month_first = F.try_to_date(m, "MM/dd/yyyy").isNotNull()
     day = F.coalesce(F.try_to_date(m, "yyyy-MM-dd"), F.try_to_date(m, "MM/dd/yyyy"), F.try_to_date(m, "dd/MM/yyyy"), F.try_to_date(m, "dd.MM.yyyy"))
 
     def image(d):
-        n = F.datediff(d, F.lit(CYCLE_START).cast("date")).cast("long")
-        cycle = F.floor(n / (CYCLE_A * CYCLE_B))
-        inside = F.pmod(n, F.lit(CYCLE_A * CYCLE_B))
-        new = _let(permute(key, "date", F.floor(inside / CYCLE_B), inside % CYCLE_B, CYCLE_A, CYCLE_B), lambda s: F.date_add(F.lit(CYCLE_START).cast("date"), (cycle * CYCLE_A * CYCLE_B + s["a"] * CYCLE_B + s["b"]).cast("int")))
-        month_first = F.try_to_date(m, "MM/dd/yyyy").isNotNull()
+        cycle = F.floor((F.year(d) - CYCLE_START) / 400)
+        base = cycle * 400
+        early = (_early(F.year(d), F.month(d), F.dayofmonth(d)) - base * 144).cast("long")
+        late = (_late_before((F.year(d) - base).cast("int"), F.month(d)) + F.dayofmonth(d) - 13).cast("long")
+        low = lambda s: _let(s["a"] * EARLY_B + s["b"], lambda v: F.make_date((CYCLE_START + base + F.floor(v / 144)).cast("int"), (F.floor(v / 12) % 12 + 1).cast("int"), (v % 12 + 1).cast("int")))
+        high = lambda s: _let((s["a"] * LATE_B + s["b"]).cast("long"), lambda v: _late_date(v, base))
+        new = F.when(F.dayofmonth(d) <= 12, _let(permute(key, "date", F.floor(early / EARLY_B), early % EARLY_B, EARLY_A, EARLY_B), low)).otherwise(_let(permute(key, "late date", F.floor(late / LATE_B), late % LATE_B, LATE_A, LATE_B), high))
         form = _let(new, lambda v: F.when(iso, F.date_format(v, "yyyy-MM-dd")).when(us & month_first, F.date_format(v, "MM/dd/yyyy")).when(us, F.date_format(v, "dd/MM/yyyy")).otherwise(F.date_format(v, "dd.MM.yyyy")))
         return F.when(d.isNotNull() & (cycle >= -4) & (cycle <= 19), form).otherwise(m)
 

@@ -105,6 +105,13 @@ class _Open:
                 self.at[self.stack.pop()[0]].pop()
 
 
+def marks_of(attributes: str) -> tuple[str, ...]:
+    """Words of class, id and role names of one or two words; a longer name describes its element, and no one word of it tells a part of a page."""
+    names = (name for g in _MARKS.findall(attributes) for name in "".join(g).lower().split())
+    words = (_WORD.findall(name) for name in names)
+    return tuple(w for found in words if len(found) <= 2 for w in found)
+
+
 def parse(page: str, mark: re.Pattern | None = None) -> tuple[list[Element], list[tuple[int, int, str]]]:
     """(elements in document order, texts as (element, block number, characters)); the root is element 0.
 
@@ -152,7 +159,7 @@ def parse(page: str, mark: re.Pattern | None = None) -> tuple[list[Element], lis
             block += 1
         elif tag == "br":
             texts.append((open_.top(), block, " "))
-        marks = tuple(w for g in _MARKS.findall(given) for w in _WORD.findall("".join(g).lower())) if given else ()
+        marks = marks_of(given) if given else ()
         nodes.append(Element(tag, open_.top(), marks))
         if mark is not None and (found := mark.search(given)):
             nodes[-1].mark = found.group(1)
@@ -213,8 +220,8 @@ def train(pages: list[tuple[str, str]]) -> dict:
     }
 
 
-def marginals(nodes: list[Element], model: dict) -> np.ndarray:
-    """P(content) of each element by one upward and one downward pass of messages."""
+def marginals(nodes: list[Element], model: dict, given: int = 0) -> np.ndarray:
+    """P(content) of each element by one upward and one downward pass of messages; given: an element that is known to be content, with what holds it."""
     n, total = len(nodes), _totals(nodes)
     phi = np.zeros((n, 2))
     for k, x in enumerate(nodes):
@@ -223,6 +230,9 @@ def marginals(nodes: list[Element], model: dict) -> np.ndarray:
             if value is not None:
                 phi[k] += value
     phi[0] = [0.0, -8.0]
+    while given > 0:
+        phi[given] = [-40.0, 0.0]
+        given = nodes[given].parent
     flat = np.log(np.full((2, 2), 0.5))
     edges = [model["edge"].get(kind(x.tag), flat) for x in nodes]
     belief, up = phi.tolist(), [(0.0, 0.0)] * n
@@ -254,6 +264,10 @@ def extract(page: str, model: dict) -> str:
     if not texts:
         return ""
     p = marginals(nodes, model)
+    if p.max() <= 0.5:  # no frame in sight: what is likely to be content if the page's body is
+        body = next((k for k, x in enumerate(nodes) if x.tag == "body"), 0) or next((k for k, x in enumerate(nodes) if x.parent == 0 and k), 0)
+        p = marginals(nodes, model, body)
+        p[0] = p[body]
     blocks: dict[int, list[str]] = {}
     for node, block, value in texts:
         if p[node] > 0.5:
@@ -263,7 +277,7 @@ def extract(page: str, model: dict) -> str:
 
 
 def labelled_pages(count: int = 1500, seed: int = 3) -> list[tuple[str, str]]:
-    """Labelled training pages by rule: an article in a semantic or class-named frame, with the furniture of web pages around and inside it."""
+    """Labelled training pages by rule: an article in a semantic or class-named frame, with the furniture of web pages around and inside it, and a fifth of pages with no such frame."""
     rng = random.Random(seed)
 
     def words(a, b):
@@ -288,6 +302,8 @@ def labelled_pages(count: int = 1500, seed: int = 3) -> list[tuple[str, str]]:
             parts.append(paragraph() if r < 0.75 else f"<h2>{words(1, 6)}</h2>" if r < 0.85 else f"<ul><li>{sentence(3, 9)}</li><li>{sentence(2, 9)}</li></ul>" if r < 0.93 else f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>" if r < 0.97 else f"<figure><img src=x><figcaption>{sentence(3, 9)}</figcaption></figure>")
         for _ in range(rng.choice([0, 0, 0, 1, 2])):
             parts.insert(rng.randint(0, len(parts)), junk())
+        if rng.random() < 0.2:
+            parts.insert(rng.randint(0, len(parts)), named(paragraph(), True))
         return "".join(parts)
 
     def junk():
@@ -296,7 +312,25 @@ def labelled_pages(count: int = 1500, seed: int = 3) -> list[tuple[str, str]]:
         tag = rng.choice(["div", "div", "div", "section", "aside", "p", "ul", "form"])
         return f'<{tag} data-y="0" {rng.choice(["class", "id", "class"])}="{name}">{body}</{tag}>'
 
+    def named(body, content):
+        """A part whose name has several words, junk words among them."""
+        some = "social proof ad free related work share study comment notice header menu page login search tag".split()
+        return f'<div data-y="{int(content)}" class="{"-".join(rng.sample(some, 3))}">{body}</div>'
+
+    def plain(share):
+        """A page without a frame that names itself: bare body, unnamed divs, or a table for layout."""
+        top, bottom = f'<ul data-y="0">{links(rng.randint(2, 6))}</ul>', f'<div data-y="0">&copy; {words(1, 3)} <a href="/i">{words(1, 1)}</a></div>'
+        text = "".join(paragraph() for _ in range(rng.randint(2, 7)))
+        row = " ".join(f'<a href="/{words(1, 1)}">{words(1, 2)}</a>' for _ in range(rng.randint(2, 6)))
+        if share < 0.35:
+            return f'<body data-y="1">{top if rng.random() < 0.4 else ""}{content() if rng.random() < 0.5 else text}{bottom if rng.random() < 0.4 else ""}</body>'
+        if share < 0.7:
+            return f'<body><div data-y="0">{top}</div><div data-y="1">{content()}{text}</div>{bottom}</body>'
+        return f'<body><table><tr><td data-y="0">{row if rng.random() < 0.5 else top}</td><td data-y="1">{content() if rng.random() < 0.4 else ""}{text}</td></tr></table>{bottom}</body>'
+
     out = []
+    for k in range(count // 4):
+        out.append((f"<html><head><title>{words(2, 6)}</title></head>{plain(k % 20 / 20)}</html>", "data-y"))
     for _ in range(count):
         frame = rng.choice(["article", "article", "article", "main", "div class='content'", "div id='main-content'", "div class='post entry'", "div class='article body'", "section class='story'"])
         before = [f"<nav><ul>{links(rng.randint(2, 8))}</ul></nav>", f"<header><a href='/'>{words(1, 2)}</a><p>{sentence(2, 6)}</p></header>", f"<div class='nav menu'><ul>{links(4)}</ul></div>", junk(), junk()]

@@ -4,10 +4,13 @@ Benchmark items are cut into passages of `window` words and become TF-IDF rows;
 every document of the corpus, by word bucket. The items are dealt by hash to blocks of about `block` passages, and the
 blocks are decomposed side by side on the executors: a randomised SVD (random projection, range finder, singular values
 of the projected passages) gives each block its latent space, cut where `energy` of the squared singular values is
-reached. So what a task holds is bounded by a block, a copy's cosine does not sink as the benchmark grows, and neither
+reached. At the default energy nearly all directions stay (a low rank loses exact copies), so the latent cosine is close
+to the plain one and meaning beyond shared words is not found. What a task holds is bounded by a block, a copy's cosine does not sink as the benchmark grows, and neither
 texts nor sketches of the benchmark are put together on the driver; it hands out the finished models, `blocks_per_scan`
 at a time. Corpus passages (every `window` words, half overlapping) are folded in and scored by their cosine with the
-items' passages, their norm taken over all of their words. Candidates are then checked: the longest common subsequence
+items' passages, their norm taken over all of their words; a passage that holds at least `own` of the weight of an item's
+passage is a candidate too, so that a short item is found whatever stands around it and however its words' weights
+differ. Items of fewer than `shortest` words are found by cosine alone. Candidates are then checked: the longest common subsequence
 of the item's words and the words around the passage, and whether the item's answer (what follows its last question mark
 or line feed, else its last words) stands there. Paraphrases keep order and answer; unrelated texts of one language do
 not. The corpus is read once for the frequencies and once for every `blocks_per_scan` blocks.
@@ -174,37 +177,42 @@ class Retriever:
         self.row = np.full(1 << _BITS, len(self.buckets), np.int32)
         self.row[self.buckets] = np.arange(len(self.buckets))
         self.square = self.idf**2
-        vectors, owner = [], []
+        vectors, owner, size = [], [], []
         for k, a, b in self.spans:
             at, v = tfidf(bucket_ids(self.words[k][a:b]), self.idf)
             vectors.append(v @ self.basis[self.row[at]])
             owner.append(k)
+            count = np.bincount(np.searchsorted(at, bucket_ids(self.words[k][a:b])), minlength=len(at))
+            size.append(np.linalg.norm(count * self.idf[at]) if len(self.words[k]) >= self.shortest else np.inf)
+        self.size = np.array(size, np.float32)
         queries, self.owner = np.array(vectors, np.float32).T, np.array(owner)
         folded = self.basis * self.idf[self.buckets][:, None]
         # a word's part of its passage's product with each item passage: as wide as the basis, so nothing is folded in twice
         self.table = np.vstack([folded @ queries, np.zeros((1, len(owner)), np.float32)]).astype(np.float32) if vectors else np.zeros((len(self.buckets) + 1, 0), np.float32)
         self.most = np.maximum(self.table.max(axis=1, initial=0), 0)
+        self.most_own = np.maximum((self.table / self.size).max(axis=1, initial=0), 0)
         del self.basis
         self.answers = [answer_of(t, w) for t, w in zip(self.texts, self.words)]
 
     def candidates(self, ids: np.ndarray) -> dict[int, list[tuple[float, int]]]:
-        """Item -> (cosine, first word) of the passages over the cosine threshold."""
+        """Item -> (cosine, first word) of the passages over the cosine threshold, or that hold `own` of an item passage's weight whatever stands around it."""
         half, rows = self.window // 2, self.row[ids]
         starts = np.arange(0, len(ids), half)
         square = self.square[ids]
-        norm, bound = np.add.reduceat(square, starts), np.add.reduceat(self.most[rows], starts)
+        norm, bound, held = (np.add.reduceat(v, starts) for v in (square, self.most[rows], self.most_own[rows]))
         if len(starts) > 1:
-            norm, bound = norm[:-1] + norm[1:], bound[:-1] + bound[1:]
+            norm, bound, held = (v[:-1] + v[1:] for v in (norm, bound, held))
         norm = np.sqrt(np.maximum(norm, 1e-9))
-        able = np.flatnonzero(bound >= self.cosine * norm)  # no item scores more than what its words give at most
+        able = np.flatnonzero((bound >= self.cosine * norm) | (held >= self.own))  # no item scores more than what its words give at most
         out: dict[int, list[tuple[float, int]]] = {}
         for s in range(0, len(able), 512):
             at = able[s : s + 512]
             need, where = np.unique(np.concatenate((at, at + 1)), return_inverse=True)  # half windows: each is folded in once
             spots = (need * half)[:, None] + np.arange(half)
             folded = self.table[np.where(spots < len(ids), rows[np.minimum(spots, len(ids) - 1)], len(self.buckets))].sum(axis=1)
-            score = (folded[where[: len(at)]] + folded[where[len(at) :]]) / norm[at][:, None]
-            i, j = np.nonzero(score >= self.cosine)
+            product = folded[where[: len(at)]] + folded[where[len(at) :]]
+            score = product / norm[at][:, None]
+            i, j = np.nonzero((score >= self.cosine) | (product >= self.own * self.size))
             for a, k, c in zip(at[i].tolist(), self.owner[j].tolist(), score[i, j].tolist()):
                 out.setdefault(k, []).append((c, a * half))
         return out
@@ -219,8 +227,10 @@ class Retriever:
                     continue
                 tried.add(near)
                 around = words[max(0, at - len(item)) : at + self.window + len(item)]
+                if len(item) < self.window // 2:  # a short item stands close together, or its words are there by chance
+                    around = self.closest(item, around)
                 share = common_subsequence(item, around) / len(item)
-                if share < self.weak:
+                if share < (self.weak if len(item) >= self.window // 2 else self.brief):
                     continue
                 hit = common_subsequence(answer, around) >= 0.8 * len(answer)
                 if share >= self.strong or hit:
@@ -228,6 +238,13 @@ class Retriever:
                     break
 
 
+    @staticmethod
+    def closest(item: list[bytes], words: list[bytes]) -> list[bytes]:
+        """The run of words, half as long again as the item, that has most of it in order."""
+        size = len(item) + max(1, len(item) // 2)
+        return max((words[k : k + size] for k in range(max(1, len(words) - size + 1))), key=lambda run: common_subsequence(item, run))
+
+
 def _searcher(shared, shared_idf):
     """Function from a text to what the models of one scan find in it, one by one."""
     idf = shared_idf.value
@@ -258,12 +275,16 @@ def _find(shared, shared_idf):
     return run
 
 
-def _scans(picked: DataFrame, benchmark: DataFrame, window: int = 24, cosine: float = 0.4, strong: float = 0.7, weak: float = 0.55, block: int = 512, blocks_per_scan: int = 8, energy: float = 0.999):
-    """(models, idf), both broadcast, for each scan of the corpus; the models of one scan are all that the driver holds at a time."""
+def _scans(picked: DataFrame, benchmark: DataFrame, window: int = 24, cosine: float = 0.4, own: float = 0.5, strong: float = 0.7, weak: float = 0.55, brief: float = 0.8, shortest: int = 4, block: int = 512, blocks_per_scan: int = 8, energy: float = 0.999):
+    """(models, idf), both broadcast, for each scan of the corpus; the models of one scan are all that the driver holds at a time.
+
+    A passage is a candidate by `cosine`, or by holding `own` of the weight of an item's passage (items of `shortest`
+    words and more). Checks: `strong` of the item in order, or `weak` and its answer; `brief` for items under half a window.
+    """
     context = picked.sparkSession.sparkContext
     items = pick(benchmark, "item_id", "text").filter("doc_id is not null and text is not null")
     shared_idf = context.broadcast(inverse_frequencies(picked))  # bounded: 2^17 numbers
-    models = materialize(latent_models(items, shared_idf, block, window=window, cosine=cosine, strong=strong, weak=weak, energy=energy), "latent")
+    models = materialize(latent_models(items, shared_idf, block, window=window, cosine=cosine, own=own, strong=strong, weak=weak, brief=brief, shortest=shortest, energy=energy), "latent")
     numbers = sorted(r["block"] for r in models.select("block").collect()) or [-1]
     for k in range(0, len(numbers), blocks_per_scan):
         some = models.filter(F.col("block").isin(numbers[k : k + blocks_per_scan])).orderBy("block").collect()

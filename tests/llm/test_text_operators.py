@@ -344,3 +344,28 @@ def test_randomised_svd_matches_the_full_one():
     assert np.allclose(sigma, full, rtol=1e-4) and np.allclose(np.abs(np.sum(basis * right.T, axis=0)), 1, atol=1e-3)
     kept, _ = decontaminate.randomised_svd(rows, 40, 0.5)
     assert (kept[:-1] ** 2).sum() < 0.5 * (full**2).sum() <= (kept**2).sum() * 1.001
+
+
+@pytest.mark.parametrize("size", [4, 6, 10, 16, 24])
+def test_verbatim_items_of_uneven_weights_are_found(spark, size):
+    """Items pasted whole among words of other frequencies: drawn from all words, from the commonest, and common ones among rare ones; clean documents stay clean."""
+    rng = random.Random(size)
+    vocabulary = ["".join(rng.choice("abcdeilmnorstu") for _ in range(7)) for _ in range(6000)]
+    weights = [1 / (k + 3) for k in range(len(vocabulary))]
+    draw = lambda pool, n: rng.choices(pool, weights[: len(pool)], k=n)
+    rare, common = vocabulary[3000:], vocabulary[:1000]
+    kinds = {"all": lambda: draw(vocabulary, size), "common": lambda: rng.choices(common, k=size)}
+    items, docs, want = [], [[i, " ".join(draw(vocabulary, 150))] for i in range(600)], set()
+    for name in ("all", "common", "common among rare"):
+        for _ in range(40):
+            item, doc = kinds.get(name, kinds["common"])(), len(items)
+            items.append((doc, " ".join(item)))
+            around = rng.choices(rare, k=120) if name.endswith("rare") else draw(vocabulary, 120)
+            at = rng.randint(0, 120)
+            docs.append([1000 + doc, " ".join(around[:at] + item + around[at:])])
+            want.add((1000 + doc, doc))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert len(want & found) >= 0.95 * len(want)
+    if size >= 6:
+        assert len({d for d, _ in found if d < 1000}) <= 6

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom.operators.quantiles import exact_quantiles
+
 
 def _cols(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -51,10 +53,9 @@ def center_on(df: DataFrame, keys, value: str, reference: Column, out: str = "c"
 
 
 def quantile_strata(df: DataFrame, value: str, parts: int, keys=(), out: str = "stratum") -> DataFrame:
-    """Stratum by exact quantile edges per group; equal edges merge. One aggregation, joined back."""
+    """Stratum by exact quantile edges per group; equal edges merge. No task holds a group's values."""
     keys = _cols(keys)
-    inner = [k / parts for k in range(1, parts)]
-    edges = df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(q) for q in inner])).alias("_e"))
+    edges = exact_quantiles(df, keys, value, [k / parts for k in range(1, parts)]).select(*keys, F.col("q").alias("_e"))
     joined = df.join(edges, keys) if keys else df.join(F.broadcast(edges))  # without keys: one row of edges
     return joined.withColumn(out, F.size(F.filter(F.array_distinct("_e"), lambda e: e < F.col(value))).cast("long")).drop("_e")
 

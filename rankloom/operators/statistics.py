@@ -83,14 +83,24 @@ def spearman(df: DataFrame, keys, a: str, b: str, out: str = "rho", many_keys: b
     return ranked.groupBy(*keys).agg(F.corr("_ra", "_rb").alias(out), F.count(F.lit(1)).alias("n"))
 
 
-def bh(df: DataFrame, p: str, keys=(), out: str = "q") -> DataFrame:
-    """Benjamini-Hochberg q values per key."""
+def bh(df: DataFrame, p: str, keys=(), out: str = "q", parts: int = 1024) -> DataFrame:
+    """Benjamini-Hochberg q values per key; a null p has a null q.
+
+    Distinct values take their rank by prefix sums over bins, then fall in bins of equal rank: the least raised value is
+    taken inside a bin and over the later bins' minima, so no task holds a key.
+    """
     keys = _cols(keys)
-    n = F.count(F.lit(1)).over(W.partitionBy(*keys))
-    i = F.row_number().over(W.partitionBy(*keys).orderBy(p))
-    raised = df.withColumn("_x", F.col(p) * n / i)
-    tail = W.partitionBy(*keys).orderBy(F.desc(p)).rangeBetween(W.unboundedPreceding, W.currentRow)
-    return raised.withColumn(out, F.least(F.lit(1.0), F.min("_x").over(tail))).drop("_x")
+    one = df if keys else df.withColumn("_all", F.lit(1))
+    names = keys or ["_all"]
+    counts = one.filter(F.col(p).isNotNull()).groupBy(*names, p).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    ranked = binned_prefix(counts, names, p, ["_n"]).join(counts.groupBy(*names).agg(F.sum("_n").alias("_m")), names)
+    upto = F.col("before__n") + F.col("_n")
+    raised = ranked.select(*names, p, (F.col(p) * F.col("_m") / upto).alias("_x"), F.floor((upto - 1) / F.col("_m") * parts).alias("_bin"))
+    later = W.partitionBy(*names).orderBy(F.desc("_bin")).rowsBetween(W.unboundedPreceding, -1)
+    rest = raised.groupBy(*names, "_bin").agg(F.min("_x").alias("_least")).select(*names, "_bin", F.min("_least").over(later).alias("_later"))
+    inside = W.partitionBy(*names, "_bin").orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    q = raised.withColumn("_own", F.min("_x").over(inside)).join(rest, [*names, "_bin"]).select(*names, p, F.least(F.lit(1.0), F.col("_own"), F.coalesce("_later", F.lit(1.0))).alias(out))
+    return one.join(q, [*names, p], "left").select(*df.columns, out)
 
 
 def random_effects(df: DataFrame, keys, g: str = "g", v: str = "var_g") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.operators.quantiles import exact_quantiles
 from rankloom.plans.base import query, r6
 from rankloom.sources.relations import ASSAY, COUNTS
 
@@ -44,8 +45,8 @@ def conditional_counts(t):
 
 @query("SELECT c_mktsegment, quantile_cont(c_acctbal, 0.5) AS med, round(quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25), 6) AS iqr, round(stddev_pop(c_acctbal), 6) AS sd0, round(stddev_samp(c_acctbal), 6) AS sd1 FROM customer GROUP BY 1")
 def quantile_iqr(t):
-    q = F.percentile("c_acctbal", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    a = t.customer.groupBy("c_mktsegment").agg(q.alias("q"), F.stddev_pop("c_acctbal").alias("s0"), F.stddev_samp("c_acctbal").alias("s1"))
+    q = exact_quantiles(t.customer, ["c_mktsegment"], "c_acctbal", [0.25, 0.5, 0.75]).drop("n")
+    a = t.customer.groupBy("c_mktsegment").agg(F.stddev_pop("c_acctbal").alias("s0"), F.stddev_samp("c_acctbal").alias("s1")).join(q, "c_mktsegment")
     return a.select("c_mktsegment", F.col("q")[1].alias("med"), r6(F.col("q")[2] - F.col("q")[0], "iqr"), r6("s0", "sd0"), r6("s1", "sd1"))
 
 

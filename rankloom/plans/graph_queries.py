@@ -5,47 +5,39 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.operators.components import connected_components as components
-from rankloom.operators.ranks import top_n
+from rankloom.operators.nearest import nearest
 from rankloom.plans.base import query, r6
+from rankloom.sources.shared import materialize
 
 _V = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings)"
 _COS = f"{_V}, pr AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e) / (a.l * b.l), 6) AS w FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)"
 
 
-def _vectors(t):
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    return v.withColumn("l", F.sqrt(dot("e", "e"))), dot
-
-
-def _pairs(t, queries=None):
-    """Cosines of the query vectors with all others; the queries are those with an id divisible by 50, or the ids given."""
-    v, dot = _vectors(t)
-    q = v.filter("vec_id % 50 = 0") if queries is None else v.join(queries, "vec_id", "left_semi")
-    a = q.select(F.col("vec_id").alias("i"), F.col("e").alias("ea"), F.col("l").alias("la"))
-    b = v.select(F.col("vec_id").alias("j"), F.col("e").alias("eb"), F.col("l").alias("lb"))
-    return a.join(b, F.col("i") != F.col("j")).select("i", "j", r6(dot("ea", "eb") / (F.col("la") * F.col("lb")), "w"))
+def _nearest(t, k, queries=None):
+    """The k nearest of all vectors to the query vectors; the queries are those with an id divisible by 50, or the ids given."""
+    v = t.embeddings.select(F.col("vec_id").alias("sample"), F.col("embedding").alias("x"))
+    q = v.filter("sample % 50 = 0") if queries is None else v.join(queries, "sample", "left_semi")
+    return nearest(v, q, k)
 
 
 @query(f"WITH {_COS}, k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j) AS k FROM pr) SELECT i, j, w FROM k WHERE k <= 5")
 def knn_edges(t):
     """The five nearest of all vectors to each query vector, exactly."""
-    return top_n(_pairs(t), "i", [F.desc("w"), F.col("j")], 5)
+    return _nearest(t, 5)
 
 
 @query(f"WITH {_COS}, b AS (SELECT i, j, w FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j) AS k FROM pr) WHERE k = 1), back AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e) / (a.l * b.l), 6) AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id IN (SELECT j FROM b)), bb AS (SELECT i, j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j) AS k FROM back) WHERE k = 1) SELECT b.i, b.j, b.w FROM b JOIN bb ON b.i = bb.j AND b.j = bb.i")
 def mutual_best_pairs(t):
     """Queries whose best match has them as its own best match; the matches search all vectors in turn."""
-    best = lambda p: top_n(p, "i", [F.desc("w"), F.col("j")], 1)
-    b = best(_pairs(t))
-    back = best(_pairs(t, b.select(F.col("j").alias("vec_id")).distinct()))
+    b = materialize(_nearest(t, 1), "best-matches")
+    back = _nearest(t, 1, b.select(F.col("j").alias("sample")).distinct())
     return b.join(back.select(F.col("j").alias("i"), F.col("i").alias("j")), ["i", "j"])
 
 
 @query(f"WITH {_COS}, k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j) AS k, w - lead(w) OVER (PARTITION BY i ORDER BY w DESC, j) AS gap FROM pr) SELECT i, j, CASE WHEN w >= 0.5 THEN 'same' WHEN w >= 0.35 AND gap >= 0.02 THEN 'likely' ELSE 'no' END AS call FROM k WHERE k = 1")
 def duplicate_calls(t):
     """Each query's best match of all vectors, and whether it is clear enough to be the same specimen."""
-    two = top_n(_pairs(t), "i", [F.desc("w"), F.col("j")], 2).groupBy("i").agg(F.max_by("j", F.struct("w", -F.col("j"))).alias("j"), F.max("w").alias("w"), F.min("w").alias("next"), F.count(F.lit(1)).alias("n"))
+    two = _nearest(t, 2).groupBy("i").agg(F.max_by("j", F.struct("w", -F.col("j"))).alias("j"), F.max("w").alias("w"), F.min("w").alias("next"), F.count(F.lit(1)).alias("n"))
     gap = F.when(F.col("n") > 1, F.col("w") - F.col("next"))
     return two.select("i", "j", F.when(F.col("w") >= 0.5, "same").when((F.col("w") >= 0.35) & (gap >= 0.02), "likely").otherwise("no").alias("call"))
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from rankloom.operators.quantiles import exact_quantiles
 from rankloom.plans.base import query, r6
 from rankloom.sources.relations import ASSAY
 
@@ -89,7 +90,9 @@ _AUDIT = f"{ASSAY}, a AS (SELECT cohort, count(*) AS n, min(value) AS lo, max(va
 
 def _audit(t):
     v = F.col("value")
-    return t.assay.groupBy("cohort").agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("med"), F.percentile(v, F.lit(0.99)).alias("p99"), F.avg((v < 0).cast("double")).alias("neg"), F.avg((v == F.floor(v)).cast("double")).alias("whole"))
+    plain = t.assay.groupBy("cohort").agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.avg((v < 0).cast("double")).alias("neg"), F.avg((v == F.floor(v)).cast("double")).alias("whole"))
+    q = exact_quantiles(t.assay, ["cohort"], "value", [0.5, 0.99]).select("cohort", F.col("q")[0].alias("med"), F.col("q")[1].alias("p99"))
+    return plain.join(q, "cohort")
 
 
 @query(f"WITH {_AUDIT} SELECT cohort, n, round(lo, 6) AS lo, round(hi, 6) AS hi, round(mean, 6) AS mean, round(med, 6) AS med, round(p99, 6) AS p99, round(neg, 6) AS neg, round(whole, 6) AS whole FROM a")

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import statistics as T
 from rankloom.operators.ranks import ordinal_rank, top_n
+from rankloom.operators.replicates import cutoffs, weighted_sums, word_sql
 from rankloom.plans.base import query, r6
-from rankloom.plans.resample_queries import REPS, _reps, _u
+from rankloom.plans.resample_queries import N_BOOT, N_PERM, _reps, _u
 from rankloom.plans.stat_queries import _AUC, _DL, _g
 from rankloom.sources.relations import ASSAY, CASES
 
-#: Replicates of tests over a few dozen donors: permutations and bootstraps.
-N_PERM, N_BOOT = 1000, 2000
 #: 97.5 % points of Student's t for 1 to 10 degrees of freedom.
 T975 = [12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139]
 
@@ -62,23 +61,23 @@ def mann_whitney_p(t):
     return a.select("cohort", F.round(F.col("auroc") * p * q, 1).alias("u"), z.alias("z")).select("cohort", "u", F.round(_tail(F.col("z")), 5).alias("p"), r6("z"))
 
 
-_LFC = f"{ASSAY}, a AS (SELECT sample, feature, label, value FROM assay WHERE label IN (0, 1)), s AS (SELECT DISTINCT sample, label FROM a), n AS (SELECT sum(label) AS n1 FROM s), d AS (SELECT rep, sample, row_number() OVER (PARTITION BY rep ORDER BY {_u('lfc', 'rep', 'sample')}, sample) <= (SELECT n1 FROM n) AS pos FROM s, (SELECT unnest(range(1, {REPS + 1})) AS rep) UNION ALL SELECT 0, sample, label = 1 FROM s), l AS (SELECT rep, feature, round(avg(value) FILTER (WHERE pos) - avg(value) FILTER (WHERE NOT pos), 9) AS d FROM a JOIN d ON a.sample = d.sample GROUP BY 1, 2)"
+_LFC = f"{ASSAY}, a AS (SELECT sample, feature, label, value FROM assay WHERE label IN (0, 1)), s AS (SELECT DISTINCT sample, label FROM a), n AS (SELECT sum(label) AS n1 FROM s), d AS (SELECT rep + 1 AS rep, sample, row_number() OVER (PARTITION BY rep ORDER BY {word_sql('lfc', 'rep', 'sample')}, sample) <= (SELECT n1 FROM n) AS pos FROM s, (SELECT unnest(range(0, {N_PERM})) AS rep) UNION ALL SELECT 0, sample, label = 1 FROM s), l AS (SELECT rep, feature, round(avg(value) FILTER (WHERE pos) - avg(value) FILTER (WHERE NOT pos), 9) AS d FROM a JOIN d ON a.sample = d.sample GROUP BY 1, 2)"
 _BULK = "b0 AS (SELECT feature, avg(value) FILTER (WHERE label = 2) - avg(value) FILTER (WHERE label = 0) AS g FROM assay GROUP BY 1), b AS (SELECT feature, sign(g) AS s, row_number() OVER (ORDER BY abs(g) DESC, feature) <= 16 AS top FROM b0)"
 
 
 def _lfc(t):
-    """(rep, feature, d): mean difference of every feature under each assignment of labels; rep 0 is the observed one.
+    """(rep, feature, d): mean difference of every feature under each of 1,000 assignments of labels; rep 0 is the observed one.
 
-    An assignment is a column of signs over the samples, so the product with the value matrix is one join on sample and
-    one sum; the assignments are drawn over the samples alone.
+    The assignments are a matrix of signs over the samples, whose product with the value matrix is summed block by block.
     """
-    s = t.embeddings.filter("label IN (0, 1)").select(F.col("vec_id").alias("sample"), F.col("label").cast("long").alias("label"))
-    n = s.agg(F.sum("label").alias("n1"))
-    d = ordinal_rank(_reps(s), "rep", [T.unit_random("lfc", F.col("rep"), F.col("sample")), F.col("sample")], "k").join(F.broadcast(n)).select("rep", "sample", (F.col("k") <= F.col("n1")).alias("pos"))
-    d = d.union(s.select(F.lit(0).cast("long"), "sample", F.col("label") == 1))
-    side = lambda c: F.avg(F.when(c, F.col("value")))
-    a = t.assay.filter("label IN (0, 1)").select("sample", "feature", "value")
-    return a.join(d, "sample").groupBy("rep", "feature").agg(F.round(side(F.col("pos")) - side(~F.col("pos")), 9).alias("d"))
+    e = t.embeddings.filter("label IN (0, 1)").select(F.lit(0).alias("all"), F.col("vec_id").alias("sample"), F.col("label").cast("long").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    n1 = e.agg(F.coalesce(F.sum("label"), F.lit(0))).first()[0]
+    null = weighted_sums(e, "all", "sample", "x", "lfc", N_PERM, cutoffs(e, "sample", n1, "lfc", N_PERM))
+    shift = F.transform(F.arrays_zip("s", "all_s"), lambda v: v["s"] / F.col("n") - (v["all_s"] - v["s"]) / (F.col("all_n") - F.col("n")))
+    drawn = null.select((F.col("rep") + 1).alias("rep"), F.posexplode(shift).alias("p", "d")).select("rep", (F.col("p") + 1).cast("long").alias("feature"), F.round("d", 9).alias("d"))
+    side = lambda k: F.avg(F.when(F.col("label") == k, F.col("value")))
+    seen = t.assay.filter("label IN (0, 1)").groupBy("feature").agg(F.round(side(1) - side(0), 9).alias("d")).select(F.lit(0).cast("long").alias("rep"), "feature", "d")
+    return drawn.union(seen)
 
 
 @query(f"WITH {_LFC} SELECT o.feature, round(o.d, 6) AS delta, round((1 + sum((abs(l.d) >= abs(o.d))::INT)) / (1 + count(*)), 6) AS p FROM l o JOIN l ON o.feature = l.feature AND l.rep > 0 WHERE o.rep = 0 GROUP BY o.feature, o.d")

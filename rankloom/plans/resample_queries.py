@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import statistics as T
 from rankloom.operators.ranks import ordinal_rank
+from rankloom.operators.replicates import cutoffs, poisson_sql, weighted_sums, word_sql
 from rankloom.plans.base import query, r6
 from rankloom.sources.relations import ASSAY, CASES, RANKED
 
-REPS = 20
+#: Replicates of permutations and bootstraps over all rows, drawn and summed in one pass.
+N_PERM, N_BOOT = 1000, 2000
 #: Replicates of draws over the features alone, whose number does not grow with the rows.
 FEATURE_REPS = 1000
 
@@ -20,12 +22,12 @@ def _u(seed: str, *keys: str) -> str:
     return f"(('0x' || substr(md5('{seed}|' || {' || chr(124) || '.join(keys)}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-def _reps(df, n=REPS):
+def _reps(df, n=N_PERM):
     """Each row once a replicate: the replicate is a column, so observed and null share one shuffle."""
     return df.withColumn("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
 
 
-_SETS = f"{ASSAY}, {RANKED}, fr AS (SELECT DISTINCT feature FROM assay), rs AS (SELECT rep, feature, row_number() OVER (PARTITION BY rep ORDER BY {_u('set', 'rep', 'feature')}, feature) AS k FROM fr, (SELECT unnest(range(1, {REPS + 1})) AS rep)), sets AS (SELECT rep, feature, CASE WHEN k <= 6 THEN 1 ELSE -1 END AS sign FROM rs WHERE k <= 12), sc AS (SELECT rep, sample, cohort, label, round(avg(CASE WHEN sign = 1 THEN r END) - avg(CASE WHEN sign = -1 THEN r END), 9) + 0 AS score FROM ranks JOIN sets ON ranks.feature = sets.feature WHERE label IN (0, 1) GROUP BY 1, 2, 3, 4), k2 AS (SELECT rep, cohort, label, rank() OVER (PARTITION BY rep, cohort ORDER BY score) + (count(*) OVER (PARTITION BY rep, cohort, score) - 1) / 2 AS rk FROM sc), na AS (SELECT rep, cohort, (sum(rk * label) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))) AS auroc FROM k2 GROUP BY 1, 2)"
+_SETS = f"{ASSAY}, {RANKED}, fr AS (SELECT DISTINCT feature FROM assay), rs AS (SELECT rep, feature, row_number() OVER (PARTITION BY rep ORDER BY {_u('set', 'rep', 'feature')}, feature) AS k FROM fr, (SELECT unnest(range(1, {N_PERM + 1})) AS rep)), sets AS (SELECT rep, feature, CASE WHEN k <= 6 THEN 1 ELSE -1 END AS sign FROM rs WHERE k <= 12), sc AS (SELECT rep, sample, cohort, label, round(avg(CASE WHEN sign = 1 THEN r END) - avg(CASE WHEN sign = -1 THEN r END), 9) + 0 AS score FROM ranks JOIN sets ON ranks.feature = sets.feature WHERE label IN (0, 1) GROUP BY 1, 2, 3, 4), k2 AS (SELECT rep, cohort, label, rank() OVER (PARTITION BY rep, cohort ORDER BY score) + (count(*) OVER (PARTITION BY rep, cohort, score) - 1) / 2 AS rk FROM sc), na AS (SELECT rep, cohort, (sum(rk * label) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))) AS auroc FROM k2 GROUP BY 1, 2)"
 
 
 def _null_aurocs(t):
@@ -53,27 +55,22 @@ def pct_vs_random_half_ties(t):
     return j.groupBy("cohort").agg(r6((F.sum((F.col("a") < F.col("obs")).cast("int")) + 0.5 * F.sum((F.col("a") == F.col("obs")).cast("int"))) / F.count(F.lit(1)), "pct"))
 
 
-_PERM = f"{ASSAY}, p AS (SELECT label, sample, avg(value) AS v FROM assay WHERE label IN (0, 1) AND feature <= 8 GROUP BY 1, 2), n AS (SELECT count(*) FILTER (WHERE label = 1) AS n1 FROM p), d AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY {_u('perm', 'rep', 'sample')}, sample) AS k FROM p, (SELECT unnest(range(1, {REPS + 1})) AS rep)), nul AS (SELECT rep, avg(CASE WHEN k <= n1 THEN v END) - avg(CASE WHEN k > n1 THEN v END) AS delta FROM d, n GROUP BY rep)"
+_PERM = f"{ASSAY}, p AS (SELECT label, sample, avg(value) AS v FROM assay WHERE label IN (0, 1) GROUP BY 1, 2), n AS (SELECT count(*) FILTER (WHERE label = 1) AS n1 FROM p), d AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY {word_sql('perm', 'rep', 'sample')}, sample) AS k FROM p, (SELECT unnest(range(0, {N_PERM})) AS rep)), nul AS (SELECT rep, avg(CASE WHEN k <= n1 THEN v END) - avg(CASE WHEN k > n1 THEN v END) AS delta FROM d, n GROUP BY rep)"
 
 
-def _permuted(t):
-    p = t.assay.filter("label IN (0, 1) AND feature <= 8").groupBy("label", "sample").agg(F.avg("value").alias("v"))
-    n = p.agg(F.count(F.when(F.col("label") == 1, 1)).alias("n1"))
-    d = ordinal_rank(_reps(p), "rep", [T.unit_random("perm", F.col("rep"), F.col("sample")), F.col("sample")], "k").join(F.broadcast(n))
-    return p, d.groupBy("rep").agg((F.avg(F.when(F.col("k") <= F.col("n1"), F.col("v"))) - F.avg(F.when(F.col("k") > F.col("n1"), F.col("v")))).alias("delta"))
-
-
-@query(f"WITH {_PERM}, o AS (SELECT avg(CASE WHEN label = 1 THEN v END) - avg(CASE WHEN label = 0 THEN v END) AS obs FROM p) SELECT round(any_value(obs), 6) AS delta, round((1 + sum((abs(delta) >= abs(obs))::INT)) / (1 + count(*)), 6) AS p FROM nul, o")
+@query(f"WITH {_PERM}, o AS (SELECT avg(CASE WHEN label = 1 THEN v END) - avg(CASE WHEN label = 0 THEN v END) AS obs FROM p) SELECT round(any_value(obs), 6) AS delta, round((1 + sum((abs(delta) >= abs(obs) - 1e-12)::INT)) / (1 + count(*)), 6) AS p FROM nul, o")
 def label_permutation_delta(t):
-    """p = (1 + hits) / (1 + permutations)."""
-    p, null = _permuted(t)
-    side = lambda k: F.avg(F.when(F.col("label") == k, F.col("v")))
-    o = p.agg((side(1) - side(0)).alias("obs"))
-    j = null.join(F.broadcast(o))
-    return j.agg(r6(F.max("obs"), "delta"), r6((1 + F.sum((F.abs("delta") >= F.abs("obs")).cast("int"))) / (1 + F.count(F.lit(1))), "p"))
+    """Difference of the samples' means over all features; p = (1 + hits) / (1 + permutations), 1,000 of them in one pass."""
+    p = t.embeddings.filter("label IN (0, 1)").select(F.lit(0).alias("all"), F.col("vec_id").alias("sample"), F.col("label").cast("long").alias("label"), F.array(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v) / F.size("embedding")).alias("x"))
+    side = lambda k: F.avg(F.when(F.col("label") == k, F.col("x")[0]))
+    seen = p.agg(F.count_if(F.col("label") == 1).alias("n1"), (side(1) - side(0)).alias("obs")).first()
+    null = weighted_sums(p, "all", "sample", "x", "perm", N_PERM, cutoffs(p, "sample", seen["n1"], "perm", N_PERM))
+    d = F.col("s")[0] / F.col("n") - (F.col("all_s")[0] - F.col("s")[0]) / (F.col("all_n") - F.col("n"))
+    hit = F.abs(d) >= F.lit(abs(seen["obs"]) - 1e-12)
+    return null.agg(F.round(F.lit(seen["obs"]), 6).alias("delta"), r6((1 + F.count_if(hit)) / (1 + F.count(F.lit(1))), "p"))
 
 
-_SPP = f"{CASES}, s AS (SELECT cluster AS id, avg(score) AS a, avg(covariate) AS b FROM cases GROUP BY 1), d AS (SELECT rep, id, a, b, row_number() OVER (PARTITION BY rep ORDER BY {_u('sp', 'rep', 'id')}, id) AS k, row_number() OVER (PARTITION BY rep ORDER BY id) AS i FROM s, (SELECT unnest(range(1, {REPS + 1})) AS rep)), m AS (SELECT x.rep, x.a, y.b FROM d x JOIN d y ON x.rep = y.rep AND x.k = y.i), r AS (SELECT rep, rank() OVER (PARTITION BY rep ORDER BY a) + (count(*) OVER (PARTITION BY rep, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY rep ORDER BY b) + (count(*) OVER (PARTITION BY rep, b) - 1) / 2 AS rb FROM m)"
+_SPP = f"{CASES}, s AS (SELECT cluster AS id, avg(score) AS a, avg(covariate) AS b FROM cases GROUP BY 1), d AS (SELECT rep, id, a, b, row_number() OVER (PARTITION BY rep ORDER BY {_u('sp', 'rep', 'id')}, id) AS k, row_number() OVER (PARTITION BY rep ORDER BY id) AS i FROM s, (SELECT unnest(range(1, {N_PERM + 1})) AS rep)), m AS (SELECT x.rep, x.a, y.b FROM d x JOIN d y ON x.rep = y.rep AND x.k = y.i), r AS (SELECT rep, rank() OVER (PARTITION BY rep ORDER BY a) + (count(*) OVER (PARTITION BY rep, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY rep ORDER BY b) + (count(*) OVER (PARTITION BY rep, b) - 1) / 2 AS rb FROM m)"
 
 
 @query(f"WITH {_SPP} SELECT rep, round(corr(ra, rb), 6) AS rho FROM r GROUP BY rep")
@@ -85,29 +82,25 @@ def permutation_spearman(t):
     return T.spearman(m, "rep", "a", "b", many_keys=True).select("rep", r6("rho"))
 
 
-_CLB = f"{CASES}, c AS (SELECT cohort, cluster, sum(score) AS s, count(*) AS n, row_number() OVER (PARTITION BY cohort ORDER BY cluster) - 1 AS i, count(*) OVER (PARTITION BY cohort) AS m FROM cases GROUP BY 1, 2), b AS (SELECT cohort, rep, floor({_u('boot', 'rep', 'cohort', 'i')} * m)::BIGINT AS pick FROM c, (SELECT unnest(range(1, {REPS + 1})) AS rep)), r AS (SELECT b.cohort, rep, sum(s) / sum(n) AS mean FROM b JOIN c ON b.cohort = c.cohort AND pick = i GROUP BY 1, 2)"
+_CLB = f"{CASES}, c AS (SELECT cohort, cluster, sum(score) AS s, count(*) AS n FROM cases GROUP BY 1, 2), b AS (SELECT cohort, rep, s, n, {word_sql('boot', 'rep', 'cluster')} AS u FROM c, (SELECT unnest(range(0, {N_BOOT})) AS rep)), w AS (SELECT cohort, rep, s, n, {poisson_sql('u')} AS w FROM b), r AS (SELECT cohort, rep, sum(w * s) / sum(w * n) AS mean FROM w GROUP BY 1, 2)"
 
 
-@query(f"WITH {_CLB} SELECT cohort, round(quantile_cont(mean, 0.025), 4) AS lo, round(quantile_cont(mean, 0.975), 4) AS hi FROM r GROUP BY 1")
+@query(f"WITH {_CLB} SELECT cohort, round(quantile_cont(mean, 0.025), 3) AS lo, round(quantile_cont(mean, 0.975), 3) AS hi FROM r GROUP BY 1")
 def cluster_bootstrap_ci(t):
-    """Clusters are drawn with replacement by a hashed index and keep all their members (as sums)."""
-    c = t.cases.groupBy("cohort", "cluster").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"))
-    c = c.withColumn("i", (F.row_number().over(W.partitionBy("cohort").orderBy("cluster")) - 1).cast("long")).withColumn("m", F.count(F.lit(1)).over(W.partitionBy("cohort")))
-    pick = F.floor(T.unit_random("boot", F.col("rep"), F.col("cohort"), F.col("i")) * F.col("m")).cast("long")
-    drawn = _reps(c.select("cohort", "i", "m")).select("cohort", "rep", pick.alias("i"))
-    r = drawn.join(c.select("cohort", "i", "s", "n"), ["cohort", "i"]).groupBy("cohort", "rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    return r.groupBy("cohort").agg(F.round(F.percentile("mean", F.lit(0.025)), 4).alias("lo"), F.round(F.percentile("mean", F.lit(0.975)), 4).alias("hi"))
+    """2,000 replicates: every cluster takes a Poisson weight and keeps all its members (as sums), so no cluster is looked up or moved."""
+    c = t.cases.groupBy("cohort", "cluster").agg(F.array(F.sum("score"), F.count(F.lit(1)).cast("double")).alias("x"))
+    r = weighted_sums(c, "cohort", "cluster", "x", "boot", N_BOOT).select("cohort", (F.col("s")[0] / F.col("s")[1]).alias("mean"))
+    return r.groupBy("cohort").agg(F.round(F.percentile("mean", F.lit(0.025)), 3).alias("lo"), F.round(F.percentile("mean", F.lit(0.975)), 3).alias("hi"))
 
 
-_STB = f"e AS (SELECT vec_id, label::BIGINT AS label, embedding[1]::DOUBLE AS v FROM embeddings WHERE label < 4), c AS (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS m FROM e), b AS (SELECT label, rep, floor({_u('strat', 'rep', 'label', 'i')} * m)::BIGINT AS pick FROM c, (SELECT unnest(range(1, {REPS + 1})) AS rep)), r AS (SELECT b.label, rep, avg(v) AS mean FROM b JOIN c ON b.label = c.label AND pick = i GROUP BY 1, 2)"
+_STB = f"e AS (SELECT vec_id, label::BIGINT AS label, list_sum(embedding::DOUBLE[]) / len(embedding) AS v FROM embeddings), b AS (SELECT label, rep, v, {word_sql('strat', 'rep', 'vec_id')} AS u FROM e, (SELECT unnest(range(0, {N_BOOT})) AS rep)), w AS (SELECT label, rep, v, {poisson_sql('u')} AS w FROM b), r AS (SELECT label, rep, sum(w * v) / sum(w) AS mean FROM w GROUP BY 1, 2 HAVING sum(w) > 0)"
 
 
 def _stratified(t):
-    e = t.embeddings.filter("label < 4").select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding")[0].cast("double").alias("v"))
-    c = e.withColumn("i", (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).cast("long")).withColumn("m", F.count(F.lit(1)).over(W.partitionBy("label")))
-    pick = F.floor(T.unit_random("strat", F.col("rep"), F.col("label"), F.col("i")) * F.col("m")).cast("long")
-    drawn = _reps(c.select("label", "i", "m")).select("label", "rep", pick.alias("i"))
-    return drawn.join(c.select("label", "i", "v"), ["label", "i"]).groupBy("label", "rep").agg(F.avg("v").alias("mean"))
+    """Bootstrap means of every label's samples over all their features, 2,000 replicates by Poisson weights."""
+    e = t.embeddings.select("vec_id", F.col("label").cast("long").alias("label"), F.array(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v) / F.size("embedding")).alias("x"))
+    r = weighted_sums(e, "label", "vec_id", "x", "strat", N_BOOT).filter("n > 0")
+    return r.select("label", "rep", (F.col("s")[0] / F.col("n")).alias("mean"))
 
 
 @query(f"WITH {_STB} SELECT label, round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM r GROUP BY 1")
@@ -115,11 +108,12 @@ def stratified_bootstrap_ci(t):
     return _stratified(t).groupBy("label").agg(r6(F.avg("mean"), "mean"), r6(F.percentile("mean", F.lit(0.025)), "lo"), r6(F.percentile("mean", F.lit(0.975)), "hi"))
 
 
-@query(f"WITH {_STB}, d AS (SELECT x.rep, x.mean - y.mean AS d FROM r x JOIN r y ON x.rep = y.rep AND x.label = 1 AND y.label = 0) SELECT round(avg(d), 6) AS delta, round(greatest(1 / count(*), 2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT))), 6) AS p FROM d")
+@query(f"WITH {_STB}, d AS (SELECT x.rep, x.label, x.mean - y.mean AS d FROM r x JOIN r y ON x.rep = y.rep AND x.label > 0 AND y.label = 0) SELECT label, round(avg(d), 6) AS delta, round(greatest(1 / count(*), 2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT))), 6) AS p FROM d GROUP BY label")
 def paired_bootstrap_delta(t):
+    """Every label against label 0 on the same replicates; two-sided p with the floor of one replicate."""
     r = _stratified(t)
-    d = r.groupBy("rep").agg((F.max(F.when(F.col("label") == 1, F.col("mean"))) - F.max(F.when(F.col("label") == 0, F.col("mean")))).alias("d"))
-    return d.agg(r6(F.avg("d"), "delta"), r6(F.greatest(1 / F.count(F.lit(1)), 2 * F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))), "p"))
+    d = r.filter("label > 0").join(r.filter("label = 0").select("rep", F.col("mean").alias("base")), "rep").withColumn("d", F.col("mean") - F.col("base"))
+    return d.groupBy("label").agg(r6(F.avg("d"), "delta"), r6(F.greatest(1 / F.count(F.lit(1)), 2 * F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))), "p"))
 
 
 @query(f"WITH {ASSAY}, h AS (SELECT rep, feature, avg(CASE WHEN {_u('half', 'rep', 'sample')} < 0.5 THEN value END) AS a, avg(CASE WHEN {_u('half', 'rep', 'sample')} >= 0.5 THEN value END) AS b FROM assay, (SELECT unnest(range(1, 6)) AS rep) WHERE label = 0 GROUP BY 1, 2) SELECT rep, round(corr(a, b), 6) AS r, round(2 * corr(a, b) / (1 + corr(a, b)), 6) AS corrected FROM h GROUP BY rep")

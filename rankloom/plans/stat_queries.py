@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom.operators import matrix as M
 from rankloom.operators import ranks as R
 from rankloom.operators import statistics as T
 from rankloom.operators.ordering import binned_prefix
@@ -142,10 +143,17 @@ def spearman_partial(t):
 
 @query(f"WITH {ASSAY} SELECT a.feature AS f, b.feature AS g, round(corr(a.value, b.value), 6) AS r FROM assay a JOIN assay b ON a.sample = b.sample AND a.feature < b.feature GROUP BY 1, 2")
 def pearson_matrix(t):
-    """Feature by feature: pairs come from each sample's own array of fixed length, summed on the map side; no self-join."""
-    pair = F.explode(F.expr("flatten(transform(sequence(0, size(embedding) - 2), i -> transform(sequence(i + 1, size(embedding) - 1), j -> struct(i + 1 AS f, j + 1 AS g, CAST(embedding[i] AS double) AS x, CAST(embedding[j] AS double) AS y))))"))
-    p = t.embeddings.select(pair.alias("p"))
-    return p.groupBy(F.col("p.f").cast("long").alias("f"), F.col("p.g").cast("long").alias("g")).agg(r6(F.corr("p.x", "p.y"), "r"))
+    """Feature by feature, from the blocks of one product of the whole matrix with itself; 0 stands for the column of ones."""
+    rows = t.embeddings.select(F.lit(0).alias("all"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    wide = M.width_of(rows)
+    e = M.entries(M.products(rows, ["all"], wide), ["all"], wide)
+    n = e.filter("i = 0 AND j = 0").select("all", F.col("v").alias("n"))
+    sums = e.filter("i = 0 AND j > 0").select(F.col("j").alias("k"), F.col("v").alias("s"))
+    one = e.filter("i = j AND i > 0").select(F.col("i").alias("k"), F.col("v").alias("ss")).join(sums, "k")
+    f, g = (one.toDF(c, f"ss_{c}", f"s_{c}") for c in "fg")
+    each = e.filter("0 < i AND i < j").select("all", F.col("i").alias("f"), F.col("j").alias("g"), "v").join(f, "f").join(g, "g").join(n, "all")
+    spread = lambda c: F.sqrt(F.col("n") * F.col(f"ss_{c}") - F.col(f"s_{c}") * F.col(f"s_{c}"))
+    return each.select("f", "g", r6((F.col("n") * F.col("v") - F.col("s_f") * F.col("s_g")) / (spread("f") * spread("g")), "r"))
 
 
 @query("WITH f AS (SELECT p_brand, regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a, regr_r2(p_retailprice, p_size) AS r2 FROM part GROUP BY 1) SELECT p_partkey, round(p_retailprice - a - b * p_size, 4) AS resid, round(r2, 6) AS r2 FROM part JOIN f ON part.p_brand = f.p_brand")

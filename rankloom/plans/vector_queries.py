@@ -1,4 +1,4 @@
-"""Grouped linear algebra and distribution tails; rows-only where SQL has no equal, held to properties in the tests."""
+"""Grouped linear algebra and distribution tails; rows-only where SQL has no equal, the helpers held to plain versions in the tests."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from rankloom.operators import linalg, tails
 from rankloom.operators import statistics as T
 from rankloom.operators.polish import polished_levels
-from rankloom.operators.ranks import average_rank
 from rankloom.plans.base import query
+from rankloom.plans.inference_queries import _TAIL
 
 
 @query()
@@ -125,7 +125,16 @@ def welch_t_p(t):
     return T.bh(w, "p", "cohort").select("cohort", "feature", "t", "p", "q")
 
 
-@query()
+_CHOOSE = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)"
+_ORA = (
+    "u AS (SELECT p_brand AS lib, p_type AS set_id, (p_size <= 10)::INT AS hit FROM part), a AS (SELECT lib, count(*) AS n, sum(hit) AS k FROM u GROUP BY 1), s AS (SELECT lib, set_id, count(*) AS m, sum(hit) AS x FROM u GROUP BY 1, 2), "
+    "j AS (SELECT s.lib, set_id, m, x, n, k, x * n / (m * k) AS fold, unnest(range(greatest(x, k - n + m)::BIGINT, least(m, k)::BIGINT + 1)) AS i FROM s JOIN a ON s.lib = a.lib WHERE m >= 2 AND k > 0), "
+    f"p AS (SELECT lib, set_id, any_value(fold) AS fold, least(1, sum(exp({_CHOOSE.format('m', 'i')} + {_CHOOSE.format('(n - m)', '(k - i)')} - ({_CHOOSE.format('n', 'k')})))) AS p FROM j GROUP BY 1, 2), "
+    "r AS (SELECT *, p * count(*) OVER (PARTITION BY lib) / row_number() OVER (PARTITION BY lib ORDER BY p) AS x FROM p)"
+)
+
+
+@query(f"WITH {_ORA} SELECT lib, set_id, round(fold, 6) AS fold, round(p, 7) AS p, round(least(1, min(x) OVER (PARTITION BY lib ORDER BY round(p, 10) DESC)), 6) AS q FROM r")
 def ora_hypergeometric(t):
     """Over-representation with the hypergeometric tail and q values within a library."""
     from rankloom.plans.stat_queries import ora_counts_fold as counts
@@ -133,23 +142,26 @@ def ora_hypergeometric(t):
     c = counts(t)
     u = t.part.groupBy(F.col("p_brand").alias("lib")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("p_size") <= 10).cast("long")).alias("k"))
     p = c.join(u, "lib").withColumn("p", tails.hypergeometric_p("x", "m", "k", "n"))
-    return T.bh(p, "p", "lib").select("lib", "set_id", "fold", "p", "q")
+    return T.bh(p, "p", "lib").select("lib", "set_id", "fold", F.round("p", 7).alias("p"), F.round("q", 6).alias("q"))
 
 
-@query()
+_SIDES = "d AS (SELECT l_suppkey, avg(l_extendedprice) FILTER (WHERE l_returnflag = 'A') - avg(l_extendedprice) FILTER (WHERE l_returnflag = 'R') AS d FROM lineitem GROUP BY 1)"
+
+
+@query(f"WITH {_SIDES}, s AS (SELECT count(*) FILTER (WHERE d > 0) AS up, count(*) FILTER (WHERE d <> 0) AS n FROM d), e AS (SELECT up, n, unnest(range(0, least(up, n - up) + 1)) AS i FROM s) SELECT up, n, round(least(1, 2 * sum(exp({_CHOOSE.format('n', 'i')} - n * ln(2.0::DOUBLE)))), 8) AS p FROM e GROUP BY 1, 2")
 def sign_test(t):
     """Two-sided sign test of agreement between paired return flags."""
     side = lambda f: F.avg(F.when(F.col("l_returnflag") == f, F.col("l_extendedprice")))
     p = t.lineitem.groupBy("l_suppkey").agg((side("A") - side("R")).alias("d"))
     s = p.agg(F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") != 0).alias("n"))
-    return s.select("up", "n", tails.binomial_p("up", "n").alias("p"))
+    return s.select("up", "n", F.round(tails.binomial_p("up", "n"), 8).alias("p"))
 
 
-@query()
+@query(f"WITH {_SIDES}, k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS rk FROM d WHERE d <> 0), s AS (SELECT sum(CASE WHEN d > 0 THEN rk ELSE 0 END)::DOUBLE AS w, count(*) AS n FROM k), z AS (SELECT w, n, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24) AS z FROM s) SELECT w, n, round(z, 6) AS z, round({_TAIL.format('(abs(z) / sqrt(2.0::DOUBLE))')}, 5) AS p FROM z")
 def wilcoxon_signed_rank(t):
-    """Signed-rank statistic and its normal p value over suppliers."""
+    """Signed-rank statistic and its normal p value over suppliers, ranks by prefix sums over bins."""
     side = lambda f: F.avg(F.when(F.col("l_returnflag") == f, F.col("l_extendedprice")))
     p = t.lineitem.groupBy("l_suppkey").agg((side("A") - side("R")).alias("d")).filter("d <> 0").select(F.lit(1).alias("all"), "d", F.abs("d").alias("m"))
-    s = average_rank(p, "all", "m").agg(F.sum(F.when(F.col("d") > 0, F.col("rk")).otherwise(0.0)).alias("w"), F.count(F.lit(1)).alias("n"))
+    s = T.spread_rank(p, "all", "m", "rk").agg(F.sum(F.when(F.col("d") > 0, F.col("rk")).otherwise(0.0)).alias("w"), F.count(F.lit(1)).alias("n"))
     z = (F.col("w") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24)
-    return s.select("w", "n", z.alias("z")).withColumn("p", tails.normal_p("z"))
+    return s.select("w", "n", z.alias("z")).select("w", "n", F.round(tails.normal_p("z"), 5).alias("p"), F.round("z", 6).alias("z"))

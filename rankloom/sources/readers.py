@@ -1,7 +1,7 @@
 """Readers and sinks of the formats that cohort studies come in, as text scans with explicit schemas.
 
-Whole-file formats with sections (series matrices, platform files) are read one file a row and unnested in the JVM:
-a file is the unit of such archives, and line order is only defined inside it.
+Formats with sections (series matrices, platform files, coordinate matrices) are read line by line, so a file of any
+size is split over tasks; the order of lines inside a file is kept as (start of the split, place in it).
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 
 def _lines(spark: SparkSession, paths) -> DataFrame:
-    """(path, n, line) with 0-based line numbers within each file."""
-    text = spark.read.text(paths, wholetext=True).withColumn("path", F.input_file_name())
-    return text.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    """(path, n, line); n orders the lines of a file whatever the split that read them."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), place.alias("n"), F.col("value").alias("line"))
 
 
 def _between(lines: DataFrame, begin: str, end: str) -> DataFrame:
@@ -101,7 +101,35 @@ def overwrite_parts(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def write_table(df: DataFrame, path: str, sep: str = "\t", compress: bool = False) -> None:
+def printed_table(spark: SparkSession, paths, pattern: str, columns: list[str], page_break: str = "\f") -> DataFrame:
+    """path, rank (1-based, in line order) and the pattern's groups as columns, for tables printed as text (a PDF's layout, say).
+
+    A Python UDTF reads a line and gives a row where the whole line matches; page breaks before a line are cut off. Lines
+    are read by splits, and ranks are taken over the matching ones alone.
+    """
+    import re
+
+    from pyspark.sql import Window as W
+
+    @F.udtf(returnType="cells array<string>")
+    class Cells:
+        def __init__(self):
+            self.match = re.compile(pattern).fullmatch
+
+        def eval(self, line: str):
+            found = self.match((line or "").lstrip(page_break))
+            if found:
+                yield ([x.strip() if x is not None else None for x in found.groups()],)
+
+    rows = _lines(spark, paths).lateralJoin(Cells(F.col("line").outer()))
+    rank = F.row_number().over(W.partitionBy("path").orderBy("n")).cast("long")
+    return rows.select("path", rank.alias("rank"), *(F.get("cells", F.lit(k)).alias(c) for k, c in enumerate(columns)))
+
+
+def write_table(df: DataFrame, path: str, sep: str = "\t", compress: bool | None = None, most_plain: int = 20_000) -> None:
+    """Delimited table with a header; without a choice it is compressed when it has over most_plain rows."""
+    if compress is None:
+        compress = df.limit(most_plain + 1).count() > most_plain
     df.write.mode("overwrite").option("sep", sep).option("header", True).option("compression", "gzip" if compress else "none").csv(path)
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rankloom.sources import readers
-from rankloom.streaming import windows
+from rankloom.streaming import pseudobulk, windows
 
 
 def test_series_matrix(spark, tmp_path):
@@ -63,3 +63,59 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     assert key(spark.table("daily")) == key(windows.daily_counts(batch))
     users = batch.select("user_id").distinct().withColumn("tag", F.lit("u"))
     assert windows.enriched(batch, users).filter("tag IS NULL").count() == 0
+
+
+def test_files_are_read_by_splits(spark, tmp_path):
+    """Small splits: the size line, the header and the order of lines are found whichever task reads them."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        m = tmp_path / "m.mtx"
+        m.write_text("%%MatrixMarket\n%\n300 1 300\n" + "".join(f"{k} 1 {k}\n" for k in range(1, 301)))
+        assert readers.matrix_market(spark, str(m)).rdd.getNumPartitions() > 2
+        assert sorted(r.i for r in readers.matrix_market(spark, str(m)).collect()) == list(range(1, 301))
+        p = tmp_path / "a.txt"
+        p.write_text("!Sample_title\t1\t2\n!series_matrix_table_begin\nID_REF\tS1\tS2\n" + "".join(f"p{k}\t{k}\t{-k}\n" for k in range(200)) + "!series_matrix_table_end\nafter\t1\t2\n")
+        values, notes = readers.series_matrix(spark, str(p))
+        assert sorted((r.sample, r.value) for r in values.collect()) == sorted([("S1", float(k)) for k in range(200)] + [("S2", float(-k)) for k in range(200)]) and notes.count() == 2
+        t = tmp_path / "t.txt"
+        t.write_text("Table 1. Probes\n\n" + "".join(f"{chr(12) if k % 50 == 0 else ''}{k}_at   1.{k}  1e-3  SYM{k}   some title\nfooter {k}\n" for k in range(200)))
+        got = readers.printed_table(spark, str(t), r"(\S+_at)\s+([\d.]+)\s+([\d.Ee-]+)\s+(\S+)\s*(.*)", ["probe", "fc", "p", "symbol", "title"]).orderBy("rank").collect()
+        assert [(r["rank"], r.probe, r.symbol, r.title) for r in got] == [(k + 1, f"{k}_at", f"SYM{k}", "some title") for k in range(200)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_table_is_compressed_by_its_rows(spark, tmp_path):
+    for rows, kind in ((5, ".csv"), (50, ".csv.gz")):
+        readers.write_table(spark.range(rows).coalesce(1), str(tmp_path / kind), most_plain=20)
+        assert [f.name.endswith(kind) for f in (tmp_path / kind).glob("part-*")] == [True]
+
+
+def test_running_pseudobulk_is_idempotent(spark, tmp_path):
+    rows = [(k % 3, f"b{k % 2}", k % 4, k) for k in range(60)]
+    schema = "donor long, kind string, feature long, n long"
+    all_rows = spark.createDataFrame(rows, schema)
+    want = sorted(tuple(r) for r in all_rows.groupBy("donor", "kind", "feature").agg(F.sum("n").alias("n")).collect())
+    path, read = str(tmp_path / "sums"), lambda: sorted(tuple(r) for r in pseudobulk.totals(spark, path).collect())
+    assert pseudobulk.totals(spark, path) is None and pseudobulk.compact(spark, path) is None
+    for k in range(3):
+        spark.createDataFrame(rows[k * 20 : k * 20 + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        pseudobulk.run(stream, path, str(tmp_path / "c"))
+        if k == 1:
+            assert pseudobulk.compact(spark, path) == 1 == pseudobulk.compact(spark, path)
+    assert read() == want
+    pseudobulk.merge_batch(path)(spark.createDataFrame(rows[40:], schema), 2)  # the last batch comes again
+    pseudobulk.merge_batch(path)(spark.createDataFrame(rows[:20], schema), 0)  # and one that the base already holds
+    assert read() == want and pseudobulk.compact(spark, path) == 2 and read() == want
+
+
+def test_stream_static_join_on_a_stream(spark, sf_dir, tmp_path):
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet")
+    batch.repartition(3).write.parquet(str(tmp_path / "in"))
+    users = batch.filter("user_id % 2 = 0").select("user_id").distinct().withColumn("tag", F.lit("even"))
+    stream = windows.read_events(spark, str(tmp_path / "in"), batch.schema, 1)
+    windows.drain(windows.enriched(stream, users).select("event_id", "tag"), str(tmp_path / "out"), str(tmp_path / "c"))
+    got, want = spark.read.parquet(str(tmp_path / "out")), windows.enriched(batch, users).select("event_id", "tag")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.filter("tag IS NULL").count() > 0

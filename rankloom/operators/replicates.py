@@ -40,21 +40,29 @@ def _spark_word(seed: str, rep, row):
     return F.conv(F.substr(text, (1 + 8 * (rep % 4)).cast("int"), F.lit(8)), 16, 10).cast("double") / 4294967296.0
 
 
-def cutoffs(rows: DataFrame, row: str, take: int, seed: str, reps: int) -> np.ndarray:
-    """For each replicate the draw of rank `take` (1-based) among all rows: those up to it are a random subset of that size (equal draws at the cutoff, one in four billion, all count)."""
-    each = rows.select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), row).select("rep", _spark_word(seed, F.col("rep"), F.col(row)).alias("u"))
-    targets = rows.sparkSession.range(reps).select(F.col("id").cast("int").alias("rep"), F.lit(take - 1).cast("long").alias("rank"))
-    found = select_ranks(each, ["rep"], "u", targets).collect()  # one number a replicate
-    out = np.full(reps, -1.0)
-    for r in found:
-        out[r["rep"]] = r["u"]
-    return out
-
-
-def weighted_sums(rows: DataFrame, key: str, row: str, x: str, seed: str, reps: int, cut: np.ndarray | None = None, block: int = 256) -> DataFrame:
+def cutoffs(rows: DataFrame, row: str, take, seed: str, reps: int, key: str | None = None):
+    """For each replicate the draw of rank `take` (1-based) among all rows: those up to it are a random subset of that size (equal draws at the cutoff, one in four billion, all count).
+
+    With key, take is a dict and so is the result.
+    """
+    keys = [key] if key else []
+    each = rows.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), row).select(*keys, "rep", _spark_word(seed, F.col("rep"), F.col(row)).alias("u"))
+    targets = rows.sparkSession.range(reps).select(F.col("id").cast("int").alias("rep"))
+    if key:
+        wanted = rows.sparkSession.createDataFrame([(k, n - 1) for k, n in take.items()], f"{key} {rows.schema[key].dataType.simpleString()}, rank long")
+        targets = targets.crossJoin(F.broadcast(wanted))  # replicates times keys
+    else:
+        targets = targets.withColumn("rank", F.lit(take - 1).cast("long"))
+    out: dict = {k: np.full(reps, -1.0) for k in (take if key else [None])}
+    for r in select_ranks(each, [*keys, "rep"], "u", targets).collect():  # one number a replicate
+        out[r[key] if key else None][r["rep"]] = r["u"]
+    return out if key else out[None]
+
+
+def weighted_sums(rows: DataFrame, key: str, row: str, x: str, seed: str, reps: int, cut=None, block: int = 256) -> DataFrame:
     """key, rep, n (sum of weights), s (array: weighted sums of x), all_n, all_s (unweighted).
 
-    Weights are 1 up to the replicate's cutoff and 0 above it, or without cutoffs Poisson numbers of mean one.
+    Weights are 1 up to the replicate's cutoff (by key where cut is a dict) and 0 above it, or without cutoffs Poisson numbers of mean one.
     """
     kind = rows.schema[key].dataType.simpleString()
 
@@ -65,7 +73,7 @@ def weighted_sums(rows: DataFrame, key: str, row: str, x: str, seed: str, reps:
                 for a in range(0, len(g), block):
                     part = g.iloc[a : a + block]
                     u = words(seed, part[row], reps)
-                    w = np.searchsorted(POISSON, u, side="right").astype(float) if cut is None else (u <= cut).astype(float)
+                    w = np.searchsorted(POISSON, u, side="right").astype(float) if cut is None else (u <= (cut[k] if isinstance(cut, dict) else cut)).astype(float)
                     y = np.hstack([np.ones((len(part), 1)), M.stacked(part[x])])
                     total[k] = total.get(k, 0) + np.vstack([y.sum(axis=0), w.T @ y])
         yield pd.DataFrame([(k, v.ravel()) for k, v in total.items()], columns=[key, "v"])

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from rankloom.operators import matrix as M
 from rankloom.operators import statistics as T
 from rankloom.operators.replicates import cutoffs, weighted_sums, word_sql
+from rankloom.operators.signatures import full_ranks
 from rankloom.plans import stat_queries as S
 from rankloom.plans.base import ORACLES, query, r6
 from rankloom.plans.resample_queries import N_PERM
-from rankloom.sources.relations import ASSAY
+from rankloom.sources.relations import ASSAY, RANKED
 
 
 @query(f"SELECT a.cohort, n_pos, n_neg, a.auroc, b.auroc AS adj_auroc, c.auroc AS auroc_ws FROM ({ORACLES['auroc']}) a JOIN ({ORACLES['auroc_adjusted']}) b ON a.cohort = b.cohort JOIN ({ORACLES['auroc_stratified']}) c ON a.cohort = c.cohort")
@@ -107,3 +108,35 @@ def region_contrast(t):
     regions = t.region.select(F.col("r_regionkey").alias("grp"))
     each = own.crossJoin(F.broadcast(regions)).withColumn("arm", (F.col("n_regionkey") == F.col("grp")).cast("int"))  # five regions
     return group_contrast(each, "grp", "id", "arm", "v").select("grp", F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"), F.round("delta", 4).alias("delta"), r6("auroc"), r6("p_perm"))
+
+
+_SETS = {"response_signed": "avg(r) FILTER (WHERE feature <= 6) - avg(r) FILTER (WHERE feature BETWEEN 7 AND 12)", "response_up_only": "avg(r) FILTER (WHERE feature <= 6)", "set_a": "avg(r) FILTER (WHERE feature BETWEEN 13 AND 22)", "set_b": "avg(r) FILTER (WHERE feature BETWEEN 23 AND 30)", "set_a_minus_b": "avg(r) FILTER (WHERE feature BETWEEN 13 AND 22) - avg(r) FILTER (WHERE feature BETWEEN 23 AND 30)"}
+_LONG = f"{ASSAY}, {RANKED}, sc AS (SELECT sample, cohort, label, {', '.join(f'round({v}, 9) AS {k}' for k, v in _SETS.items())} FROM ranks GROUP BY 1, 2, 3), long AS (SELECT sample, cohort, label, unnest({list(_SETS)}) AS score, unnest([{', '.join(_SETS)}]) AS v, response_signed AS resp FROM sc)"
+_RANK2 = "rank() OVER (PARTITION BY cohort, score ORDER BY {0}) + (count(*) OVER (PARTITION BY cohort, score, {0}) - 1) / 2"
+_AUC2 = "(SELECT cohort, score, (sum(rk * label) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))) AS {0} FROM (SELECT cohort, score, label, " + _RANK2.format("{1}") + " AS rk FROM {2}) GROUP BY 1, 2)"
+
+
+@query(
+    f"WITH {_LONG}, two AS (SELECT * FROM long WHERE label IN (0, 1)), f AS (SELECT cohort, score, regr_slope(resp, v) AS b1, regr_intercept(resp, v) AS a1, regr_slope(v, resp) AS b2, regr_intercept(v, resp) AS a2 FROM two WHERE label = 0 AND score IN ('set_a', 'set_b') GROUP BY 1, 2), "
+    "res AS (SELECT two.cohort, two.score, label, round(resp - a1 - b1 * v, 6) AS r1, round(v - a2 - b2 * resp, 6) AS r2 FROM two JOIN f ON two.cohort = f.cohort AND two.score = f.score), "
+    f"u AS {_AUC2.format('auroc', 'v', 'two')}, x AS {_AUC2.format('response_adjusted', 'r1', 'res')}, y AS {_AUC2.format('this_adjusted', 'r2', 'res')}, "
+    f"s AS (SELECT cohort, score, corr(rv, rr) AS rho FROM (SELECT cohort, score, {_RANK2.format('v')} AS rv, {_RANK2.format('resp')} AS rr FROM long) GROUP BY 1, 2), n AS (SELECT cohort, score, sum(label)::BIGINT AS n_pos, count(*) - sum(label)::BIGINT AS n_ctrl FROM two GROUP BY 1, 2) "
+    "SELECT n.cohort, n.score, n_pos, n_ctrl, round(auroc, 6) AS auroc, round(rho, 6) AS rho, round(response_adjusted, 5) AS response_adjusted, round(this_adjusted, 5) AS this_adjusted FROM n JOIN u ON n.cohort = u.cohort AND n.score = u.score JOIN s ON n.cohort = s.cohort AND n.score = s.score LEFT JOIN x ON n.cohort = x.cohort AND n.score = x.score LEFT JOIN y ON n.cohort = y.cohort AND n.score = y.score"
+)
+def transplanted_scores(t):
+    """Sets taken over from elsewhere, scored on ranks in every cohort: AUROC, correlation with the response score, and each adjusted for the other."""
+    ranks = full_ranks(t.assay)
+    side = lambda a, b: F.avg(F.when(F.col("feature").between(a, b), F.col("r")))
+    defs = {"response_signed": side(1, 6) - side(7, 12), "response_up_only": side(1, 6), "set_a": side(13, 22), "set_b": side(23, 30), "set_a_minus_b": side(13, 22) - side(23, 30)}
+    sc = ranks.groupBy("sample", "cohort", "label").agg(*(F.round(v, 9).alias(k) for k, v in defs.items()))
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("score"), F.col(k).alias("v")) for k in defs))).alias("p")
+    long = sc.select("cohort", "label", F.col("response_signed").alias("resp"), pairs).select("cohort", "label", "resp", "p.*")
+    keys, two = ["cohort", "score"], long.filter("label IN (0, 1)")
+    mutual = two.filter(F.col("score").isin("set_a", "set_b"))
+    auc = T.auroc(two, keys, "label", "v").select(*keys, "n_pos", F.col("n_neg").alias("n_ctrl"), r6("auroc"))
+    rho = T.spearman(long, keys, "v", "resp").select(*keys, r6("rho"))
+    out = auc.join(rho, keys)
+    for name, score, covariate in (("response_adjusted", "resp", "v"), ("this_adjusted", "v", "resp")):
+        res = T.residual_on_negatives(mutual, keys, "label", score, covariate).withColumn("resid", F.round("resid", 6))
+        out = out.join(T.auroc(res, keys, "label", "resid").select(*keys, F.round("auroc", 5).alias(name)), keys, "left")
+    return out

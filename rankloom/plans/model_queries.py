@@ -103,16 +103,17 @@ def contrastive_components(t, alphas: tuple = (0.5, 1.0, 2.0), components: int =
     return t.spark.createDataFrame(out, "alpha double, component long, feature long, eigenvalue double, loading double")
 
 
-def nested_cv(rows, grid=C_GRID, penalties=("l1", "l2"), passes: int = 200):
+def nested_cv(rows, grid=C_GRID, penalties=("l1", "l2"), passes: int = 200, folds: dict | None = None):
     """(blocks, models, chosen): leave-one-cohort-out with an inner leave-one-cohort-out that picks the strength.
 
-    rows: cohort, y, x. All models of all outer and inner folds train at once on all their rows; chosen has penalty,
+    rows: cohort, y, x. folds: outer cohort -> the cohorts of its fold, itself among them; all cohorts without it. All models of all outer and inner folds train at once on all their rows; chosen has penalty,
     outer, c, inner_auc and the threshold of best Youden index on the inner held-out scores.
     """
     blocks = L.packed(rows, "cohort", "y", "x")
     moments = L.moments_by_class(rows, "cohort", "y", "x")
     cohorts = sorted({k[0] for k in moments})
-    models = [L.Model(p, c, o, i, [k for k in cohorts if k not in (o, i)]) for p in penalties for c in grid for o in cohorts for i in (*[k for k in cohorts if k != o], None)]
+    folds = folds or {o: cohorts for o in cohorts}
+    models = [L.Model(p, c, o, i, [k for k in own if k not in (o, i)]) for p in penalties for c in grid for o, own in folds.items() for i in (*[k for k in own if k != o], None)]
     L.fit_all(blocks, moments, models, passes)
     inner = L.scored(blocks, [m for m in models if m.inner is not None], "inner")
     keys = ["penalty", "c", "outer"]
@@ -147,3 +148,77 @@ def metacells(t, components: int = 8):
     placed = pca.transform(rows.select("sample", (F.col("cohort") * 100 + F.col("label")).alias("grp"), F.lit(0).cast("long").alias("all"), "x"), models, "all")
     assigned, _ = _metacells(placed.select("grp", "sample", F.col("pc").alias("x")), "grp", "sample", size=10, most=20, least=4)
     return assigned.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("distance"), 4).alias("spread")).select(F.floor(F.col("grp") / 100).alias("cohort"), (F.col("grp") % 100).alias("label"), F.col("cell").cast("long").alias("cell"), "n", "spread")
+
+
+def _sum(a: int, b: int):
+    """Mean of the features a..b, 1-based."""
+    return F.aggregate(F.slice("x", a, b - a + 1), F.lit(0.0), lambda s, v: s + v) / (b - a + 1)
+
+
+@query()
+def baselines(t, components: int = 8, alphas: tuple = (0.5, 2.0)):
+    """Held-out AUROC of seven baselines by leave-one-cohort-out: a signed score, programs, LASSO, ridge, ridge on centred features, on components and on contrastive components.
+
+    Cases are label 1, the other patients labels 2 to 4, controls label 0. What is fitted (signs, components, strengths)
+    comes from the fold's other cohorts; every fold's rows carry its own name, so all folds train in the same passes.
+    """
+    rows = vectors(t).filter("label <= 4").withColumn("y", (F.col("label") == 1).cast("int"))
+    wide = M.width_of(rows)
+    cohorts = list(range(COHORTS))
+    means = {r["cohort"]: (np.array(r["v"]) / r["n"]) for r in M.sum_arrays(rows.filter("label > 0").select("cohort", F.concat(F.array(F.lit(1.0)), "x").alias("v")), ["cohort"]).select("cohort", F.col("v")[0].alias("n"), F.slice("v", 2, 1 << 30).alias("v")).collect()}
+    controls = {r["cohort"]: (np.array(r["v"]) / r["n"]) for r in M.sum_arrays(rows.filter("label = 0").select("cohort", F.concat(F.array(F.lit(1.0)), "x").alias("v")), ["cohort"]).select("cohort", F.col("v")[0].alias("n"), F.slice("v", 2, 1 << 30).alias("v")).collect()}
+    programs = np.zeros((wide, components))
+    for k in range(wide):
+        programs[k, k * components // wide] = 1 / max(1, -(-wide // components))
+    each = _training(rows).select("fold", "x")
+    lead = {o: m.loadings for o, m in pca.fit(each, "fold", components, missing=False).items()}
+    centre = {o: m.mean for o, m in pca.fit(each, "fold", 1, missing=False).items()}
+
+    def centred(batches):
+        for b in batches:
+            yield b.assign(x=[v - (controls if lab == 0 else means)[c] for c, lab, v in zip(b["cohort"], b["label"], M.stacked(b["x"]))])
+
+    apart = rows.select("cohort", "label", "x").mapInPandas(centred, "cohort long, label long, x array<double>").withColumn("arm", (F.col("label") > 0).cast("int"))
+    turned = {(a, o): v for o in cohorts for a, (_, v) in pca.contrastive(apart.filter(F.col("cohort") != o), "arm", 1, 0, list(alphas), components).items()}
+
+    def small(batches):
+        """The fold's transform of each row of a baseline with few features: programs, components, contrastive ones."""
+        for b in batches:
+            x, out = M.stacked(b["x"]), []
+            for c, y, v in zip(b["cohort"], b["y"], x):
+                for o in cohorts:
+                    own = v if c == o else v - means[c]
+                    out += [(f"program|{o}|{c}", y, own @ programs), (f"pca|{o}|{c}", y, (v - centre[o]) @ lead[o])]
+                    out += [(f"cpca {a}|{o}|{c}", y, own @ turned[a, o]) for a in alphas]
+            yield pd.DataFrame(out, columns=["cohort", "y", "x"])
+
+    def large(batches):
+        for b in batches:
+            out = []
+            for c, y, v in zip(b["cohort"], b["y"], M.stacked(b["x"])):
+                out += [(f"{name}|{o}|{c}", y, v if name == "plain" or c == o else v - means[c]) for name in ("plain", "unit centred") for o in cohorts]
+            yield pd.DataFrame(out, columns=["cohort", "y", "x"])
+
+    patients = rows.filter("label > 0").select("cohort", "y", "x")
+    fold = lambda name: {f"{name}|{o}|{o}": [f"{name}|{o}|{c}" for c in cohorts] for o in cohorts}
+    many = lambda names: {k: v for n in names for k, v in fold(n).items()}
+    found = []
+    for f, names, penalties in ((small, ["program", "pca", *(f"cpca {a}" for a in alphas)], ("l2",)), (large, ["plain", "unit centred"], ("l1", "l2"))):
+        blocks, models, chosen = nested_cv(patients.mapInPandas(f, "cohort string, y int, x array<double>"), penalties=penalties, folds=many(names))
+        best = {(r["penalty"], r["outer"]): (r["c"], r["inner_auc"]) for r in chosen.collect()}  # penalties times folds
+        keep = [m for m in models if m.inner is None and best.get((m.penalty, m.outer), (None,))[0] == m.c]
+        auc = T.auroc(L.scored(blocks, keep, "outer"), ["penalty", "outer"]).collect()
+        found += [(r["penalty"], *r["outer"].split("|")[:2], *best[r["penalty"], r["outer"]], r["auroc"]) for r in auc]
+    names = {("l2", "program"): "programs ridge", ("l2", "pca"): "components ridge", ("l1", "plain"): "lasso", ("l2", "plain"): "ridge", ("l2", "unit centred"): "unit-centred ridge"}
+    lines = [(names[p, n], int(o), c, i, a) for p, n, o, c, i, a in found if (p, n) in names]
+    for o in cohorts:  # the alpha of best inner AUROC
+        options = [(i if i is not None else -1.0, -float(n.split()[1]), c, i, a) for _, n, k, c, i, a in found if n.startswith("cpca") and int(k) == o]
+        if options:
+            *_, c, i, a = max(options)
+            lines.append(("contrastive ridge", o, c, i, a))
+    scores = rows.filter("label > 0").select("cohort", "y", (_sum(1, 6) - _sum(7, 12)).alias("score"))
+    sides = _training(scores).groupBy("fold").agg((F.avg(F.when(F.col("y") == 1, F.col("score"))) - F.avg(F.when(F.col("y") == 0, F.col("score")))).alias("d"))
+    signed = scores.withColumnRenamed("cohort", "fold").join(sides, "fold").withColumn("score", F.col("score") * F.when(F.col("d") < 0, -1.0).otherwise(1.0))
+    plain = T.auroc(signed, "fold").select(F.lit("signed score").alias("baseline"), "fold", F.lit(None).cast("double").alias("c"), F.lit(None).cast("double").alias("inner_auc"), F.round("auroc", 4).alias("auroc"))
+    fitted = t.spark.createDataFrame([(n, o, c, None if i is None else round(i, 4), None if a is None else round(a, 4)) for n, o, c, i, a in lines], "baseline string, fold long, c double, inner_auc double, auroc double")
+    return fitted.union(plain)

@@ -97,13 +97,13 @@ def group_contrast(rows, key: str, row: str, arm: str, value: str, n_perm: int =
     return effect.join(auc, key).join(tested, key).select(key, F.col("n1").alias("n_a"), F.col("n0").alias("n_b"), F.col("m1").alias("mean_a"), F.col("m0").alias("mean_b"), (F.col("m1") - F.col("m0")).alias("delta"), "g", "auroc", "p_perm")
 
 
-_GC = f"v AS (SELECT s_nationkey AS id, avg(s_acctbal) AS v FROM supplier GROUP BY 1), c AS (SELECT r_regionkey AS grp, id, v, (n_regionkey = r_regionkey)::INT AS arm FROM v JOIN nation ON n_nationkey = id, region), s AS (SELECT grp, sum(arm) AS n1, count(*) - sum(arm) AS n0, avg(v) FILTER (WHERE arm = 1) AS m1, avg(v) FILTER (WHERE arm = 0) AS m0 FROM c GROUP BY 1 HAVING sum(arm) >= 2 AND count(*) - sum(arm) >= 2), d AS (SELECT c.grp, rep, v, row_number() OVER (PARTITION BY c.grp, rep ORDER BY {word_sql('contrast', 'rep', 'id')}, id) AS k FROM c JOIN s ON c.grp = s.grp, (SELECT unnest(range(0, {N_PERM})) AS rep)), nul AS (SELECT d.grp, rep, avg(v) FILTER (WHERE k <= n1) - avg(v) FILTER (WHERE k > n1) AS d FROM d JOIN s ON d.grp = s.grp GROUP BY 1, 2), p AS (SELECT nul.grp, (1 + sum((abs(d) >= abs(m1 - m0) - 1e-12)::INT)) / (1 + count(*)) AS p FROM nul JOIN s ON nul.grp = s.grp GROUP BY 1)"
+_GC = f"v AS (SELECT c_nationkey AS id, avg(c_acctbal) AS v FROM customer GROUP BY 1), c AS (SELECT r_regionkey AS grp, id, v, (n_regionkey = r_regionkey)::INT AS arm FROM v JOIN nation ON n_nationkey = id, region), s AS (SELECT grp, sum(arm) AS n1, count(*) - sum(arm) AS n0, avg(v) FILTER (WHERE arm = 1) AS m1, avg(v) FILTER (WHERE arm = 0) AS m0 FROM c GROUP BY 1 HAVING sum(arm) >= 2 AND count(*) - sum(arm) >= 2), d AS (SELECT c.grp, rep, v, row_number() OVER (PARTITION BY c.grp, rep ORDER BY {word_sql('contrast', 'rep', 'id')}, id) AS k FROM c JOIN s ON c.grp = s.grp, (SELECT unnest(range(0, {N_PERM})) AS rep)), nul AS (SELECT d.grp, rep, avg(v) FILTER (WHERE k <= n1) - avg(v) FILTER (WHERE k > n1) AS d FROM d JOIN s ON d.grp = s.grp GROUP BY 1, 2), p AS (SELECT nul.grp, (1 + sum((abs(d) >= abs(m1 - m0) - 1e-12)::INT)) / (1 + count(*)) AS p FROM nul JOIN s ON nul.grp = s.grp GROUP BY 1)"
 
 
 @query(f"WITH {_GC}, k AS (SELECT grp, arm, rank() OVER (PARTITION BY grp ORDER BY v) + (count(*) OVER (PARTITION BY grp, v) - 1) / 2 AS rk FROM c), a AS (SELECT grp, (sum(rk) FILTER (WHERE arm = 1) - sum(arm) * (sum(arm) + 1) / 2) / (sum(arm) * (count(*) - sum(arm))) AS auroc FROM k GROUP BY 1) SELECT s.grp, n1::BIGINT AS n_a, n0::BIGINT AS n_b, round(m1 - m0, 4) AS delta, round(auroc, 6) AS auroc, round(p, 6) AS p_perm FROM s JOIN p ON s.grp = p.grp JOIN a ON a.grp = s.grp")
 def region_contrast(t):
-    """Each region's nations against all others by the mean balance of their suppliers: effect, AUROC, permutation p."""
-    v = t.supplier.groupBy(F.col("s_nationkey").alias("id")).agg(F.avg("s_acctbal").alias("v"))
+    """Each region's nations against all others by the mean balance of their customers: effect, AUROC, permutation p."""
+    v = t.customer.groupBy(F.col("c_nationkey").alias("id")).agg(F.avg("c_acctbal").alias("v"))
     own = v.join(t.nation.select(F.col("n_nationkey").alias("id"), "n_regionkey"), "id")
     regions = t.region.select(F.col("r_regionkey").alias("grp"))
     each = own.crossJoin(F.broadcast(regions)).withColumn("arm", (F.col("n_regionkey") == F.col("grp")).cast("int"))  # five regions

@@ -2,56 +2,56 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators import linalg, tails
+from rankloom.operators import matrix as M
 from rankloom.operators import statistics as T
+from rankloom.operators.nearest import nearest
 from rankloom.operators.polish import polished_levels
 from rankloom.plans.base import query
 from rankloom.plans.inference_queries import _TAIL
+from rankloom.sources.shared import materialize
 
 
 @query()
 def pca_residual_correlation(t, components: int = 2):
     """Leading components of each cohort removed, then the best residual partner of every sample with an id divisible by 50 among all of its cohort.
 
-    The components come from the cohort's features-by-features Gram matrix, a sum over its rows, so a cohort of any size
-    needs no task of its own.
+    Means, spreads and components come from one blocked product per cohort; partners are searched by blocks of residuals.
     """
-    e = t.embeddings.select(F.col("vec_id").alias("sample"), (F.col("vec_id") % 4).alias("cohort"), "embedding")
-    m = t.assay.groupBy("cohort", "feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).orderBy("cohort", "feature").toPandas()  # cohorts times features: fixed size
-    scale = {c: (g["m"].to_numpy(), g["s"].to_numpy() + 1e-9) for c, g in m.groupby("cohort")}
+    rows = t.embeddings.select(F.col("vec_id").alias("sample"), (F.col("vec_id") % 4).alias("cohort"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    wide = M.width_of(rows)
 
-    def gram(batches):
-        total = {}
-        for b in batches:
-            for c, g in b.groupby("cohort"):
-                x = (np.stack(g["embedding"].to_numpy()).astype(float) - scale[c][0]) / scale[c][1]
-                total[c] = total.get(c, 0) + x.T @ x
-        yield pd.DataFrame({"cohort": list(total), "g": [x.ravel() for x in total.values()]})
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        s = M.assemble(g, wide)
+        mean = s[0, 1:] / s[0, 0]
+        cov = s[1:, 1:] / s[0, 0] - np.outer(mean, mean)
+        scale = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
+        lead = linalg.symmetric_eigen(cov / np.outer(scale, scale))[1][:, :components]
+        return pd.DataFrame({"cohort": g["cohort"].iloc[:1], "mean": [mean], "scale": [scale], "lead": [lead.ravel()]})
 
-    parts = e.mapInPandas(gram, "cohort long, g array<double>").select("cohort", F.posexplode("g").alias("k", "v")).groupBy("cohort", "k").agg(F.sum("v").alias("v")).orderBy("cohort", "k").toPandas()
-    lead = {}
-    for c, g in parts.groupby("cohort"):
-        size = int(len(g) ** 0.5)
-        lead[c] = linalg.symmetric_eigen(g["v"].to_numpy().reshape(size, size))[1][:, :components]
+    fitted = M.products(rows, ["cohort"], wide).groupBy("cohort").applyInPandas(solve, "cohort long, mean array<double>, scale array<double>, lead array<double>").collect()  # one a cohort
+    models = {m["cohort"]: (np.array(m["mean"]), np.array(m["scale"]), np.array(m["lead"]).reshape(wide, -1)) for m in fitted}
 
     def residual(batches):
         for b in batches:
             out = []
-            for c, v in zip(b["cohort"], b["embedding"]):
-                x = (np.asarray(v, float) - scale[c][0]) / scale[c][1]
-                r = x - lead[c] @ (lead[c].T @ x)
-                out.append((r - r.mean()) / (r.std() + 1e-9) / len(r) ** 0.5)
-            yield pd.DataFrame({"sample": b["sample"], "cohort": b["cohort"], "r": out})
-
-    r = e.mapInPandas(residual, "sample long, cohort long, r array<double>")
-    a, b = r.filter("sample % 50 = 0"), r.select("cohort", F.col("sample").alias("partner"), F.col("r").alias("q"))
-    dot = F.aggregate(F.zip_with("r", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    met = a.join(b, "cohort").filter("sample <> partner").select("sample", "partner", F.round(dot, 6).alias("c"))
-    return met.groupBy("sample").agg(F.max_by("partner", F.struct("c", -F.col("partner"))).alias("partner"), F.max("c").alias("r"))
+            for c, v in zip(b["cohort"], M.stacked(b["x"])):
+                mean, scale, lead = models[c]
+                z = (v - mean) / scale
+                r = z - lead @ (lead.T @ z)
+                out.append(r - r.mean())
+            yield b.assign(x=out)
+
+    r = materialize(rows.mapInPandas(residual, "sample long, cohort long, x array<double>"), "residuals")
+    found = [nearest(own, own.filter("sample % 50 = 0"), 1) for own in (r.filter(F.col("cohort") == c) for c in sorted(models))]
+    return reduce(DataFrame.union, found).select(F.col("i").alias("sample"), F.col("j").alias("partner"), F.col("w").alias("r"))
 
 
 @query()

@@ -167,3 +167,42 @@ def test_metacells_equal_plain_lloyd_in_pieces_too(spark):
                 c = np.stack([x[own][at == j].mean(axis=0) if (at == j).any() else c[j] for j in range(k)])
             at = ((x[own][:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
             assert [got[i] for i in own] == at.tolist() and [sizes[g, j] for j in range(k)] == np.bincount(at, minlength=k).tolist()
+
+
+def test_residual_partners_equal_the_plain_version(spark, sf_dir):
+    from rankloom.plans.vector_queries import pca_residual_correlation
+
+    got = {r.sample: (r.partner, r.r) for r in pca_residual_correlation(Tables(spark, sf_dir)).collect()}
+    e = Q.vectors(Tables(spark, sf_dir)).toPandas()
+    x, ids = M.stacked(e["x"]), e["sample"].to_numpy()
+    for c in range(4):
+        own = ids[ids % 4 == c]
+        z = x[ids % 4 == c]
+        z = (z - z.mean(axis=0)) / (z.std(axis=0) + 1e-9)
+        lead = np.linalg.eigh(z.T @ z)[1][:, ::-1][:, :2]
+        r = z - z @ lead @ lead.T
+        r -= r.mean(axis=1, keepdims=True)
+        r /= np.linalg.norm(r, axis=1, keepdims=True)
+        w = r @ r.T
+        np.fill_diagonal(w, -9)
+        for i, s in enumerate(own):
+            if s % 50 == 0:
+                assert got.pop(s) == (own[w[i].argmax()], pytest.approx(w[i].max(), abs=1e-5))
+    assert not got
+
+
+def test_baselines_give_a_line_for_every_fold(spark, sf_dir):
+    got = Q.baselines(Tables(spark, sf_dir), components=3, alphas=(1.0,)).collect()
+    names = {"signed score", "programs ridge", "lasso", "ridge", "unit-centred ridge", "components ridge", "contrastive ridge"}
+    lines = {(r.baseline, r.fold): r for r in got}
+    assert len(lines) == len(got) and {n for n, _ in lines} <= names and {"signed score", "ridge", "contrastive ridge"} <= {n for n, _ in lines}
+    assert all(r.auroc is None or 0 <= r.auroc <= 1 for r in got)
+    e = Q.vectors(Tables(spark, sf_dir)).filter("label > 0 AND label <= 4").toPandas()
+    x, y = M.stacked(e["x"]), (e["label"] == 1).to_numpy().astype(int)
+    score, cohort = x[:, :6].mean(axis=1) - x[:, 6:12].mean(axis=1), e["cohort"].to_numpy()
+    for fold in range(4):
+        a, b = ((cohort != fold) & (y == k) for k in (1, 0))
+        sign = -1.0 if score[a].mean() - score[b].mean() < 0 else 1.0
+        s, t = sign * score[cohort == fold], y[cohort == fold]
+        want = np.mean([(v > s[t == 0]).mean() + 0.5 * (v == s[t == 0]).mean() for v in s[t == 1]]) if t.any() and not t.all() else None
+        assert lines["signed score", fold].auroc == (pytest.approx(want, abs=1e-4) if want is not None else None)

@@ -143,7 +143,7 @@ def _ends(paths: DataFrame) -> DataFrame:
     return blocks.repartition("seq").sortWithinPartitions("seq", F.col("block").asc_nulls_last()).select("seq", "ids").mapInArrow(_hash_blocks, "seq string, ends_sha256 string")
 
 
-def prefix_trie(turns: DataFrame, subtree_turns: int = 4096, **columns: str) -> DataFrame:
+def prefix_trie(turns: DataFrame, subtree_turns: int = 1024, **columns: str) -> DataFrame:
     """One row per node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
 
     subtree_turns: turns of distinct sequences in a subtree that one task builds; larger ones are dealt by the next turn.
@@ -175,7 +175,7 @@ def prefix_trie(turns: DataFrame, subtree_turns: int = 4096, **columns: str) ->
         down = going.join(over, ["pk", "next"]).select("seq", "conv", "n", "digests", "words", key.alias("pk"), F.array_append("above", key).alias("above"), (F.col("at") + 1).alias("at"), F.col("next_word").alias("word"), F.col("top_conv").alias("parent_conv"), F.col("next_conv").alias("top_conv"))
         work = materialize(down, "trie-level")
 
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), whole[1] // (16 * subtree_turns))
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), whole[1] // (64 * subtree_turns))
     dealt = None
     for each in ready:
         each = each.select(

@@ -129,7 +129,7 @@ def shared_dialogues():
     return rows + rows[:2]
 
 
-@pytest.mark.parametrize("subtree_turns", [4096, 12])
+@pytest.mark.parametrize("subtree_turns", [1024, 12])
 def test_trie_equals_the_plain_one(spark, subtree_turns):
     rows = shared_dialogues()
     got = prefix_trie.prefix_trie(spark.createDataFrame(rows, SCHEMA).repartition(3), subtree_turns).collect()

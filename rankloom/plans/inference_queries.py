@@ -177,6 +177,22 @@ def abundance_test(t):
     return j.agg(r6(F.max("og"), "g"), r6((1 + F.sum((F.abs("g") >= F.abs("og")).cast("int"))) / (1 + F.count(F.lit(1))), "p")).join(F.broadcast(cl)).select("g", "p", r6("c", "cliffs_delta"))
 
 
+_G2 = "(1 - 3.0::DOUBLE / (4 * count(*) - 9)) * (avg(x) FILTER (WHERE {0} = 1) - avg(x) FILTER (WHERE {0} = 0)) / (sqrt(((count(*) FILTER (WHERE {0} = 1) - 1) * var_samp(x) FILTER (WHERE {0} = 1) + (count(*) FILTER (WHERE {0} = 0) - 1) * var_samp(x) FILTER (WHERE {0} = 0)) / (count(*) - 2)) + 1e-12)"
+
+
+@query(f"WITH {_NATIONS}, e AS (SELECT id, (grp < 2)::BIGINT AS arm, ln(share / (1 - share)) AS x FROM v), {_DRAWN}, r AS (SELECT rep, {_G2.format('b.arm')} AS g FROM b JOIN i ON b.arm = i.arm AND pick = i GROUP BY rep), k AS (SELECT arm, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rk FROM e), u AS (SELECT sum(rk) FILTER (WHERE arm = 1) - sum(arm) * (sum(arm) + 1) / 2 AS u, sum(arm)::DOUBLE AS p, (count(*) - sum(arm))::DOUBLE AS q FROM k), z AS (SELECT u, (u - p * q / 2) / sqrt(p * q * (p + q + 1) / 12) AS z FROM u) SELECT (SELECT round({_G2.format('arm')}, 6) FROM e) AS g, round(quantile_cont(r.g, 0.025), 4) AS lo, round(quantile_cont(r.g, 0.975), 4) AS hi, round(any_value(u), 1) AS u, round(any_value({_TAIL.format('(abs(z) / sqrt(2.0::DOUBLE))')}), 5) AS p_rank FROM r, z")
+def abundance_interval(t):
+    """Logit shares of donors: Hedges g with a bootstrap interval (donors drawn again within arms) and the rank test."""
+    e = _nations(t).select("id", (F.col("grp") < 2).cast("long").alias("arm"), F.ln(F.col("share") / (1 - F.col("share"))).alias("x"))
+    g = lambda d, keys: T.hedges_g(T.arms(d, keys, F.col("arm"), "x"), least=1, eps=1e-12)
+    seen = g(e.withColumn("all", F.lit(1)), "all").select(r6("g"))
+    drawn = g(_drawn(e), "rep").agg(F.round(F.percentile("g", F.lit(0.025)), 4).alias("lo"), F.round(F.percentile("g", F.lit(0.975)), 4).alias("hi"))
+    a = T.auroc(e.withColumn("all", F.lit(1)), "all", "arm", "x")
+    p, q = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
+    ranked = a.select(F.round(F.col("auroc") * p * q, 1).alias("u"), F.round(_tail((F.col("auroc") - 0.5) * p * q / F.sqrt(p * q * (p + q + 1) / 12)), 5).alias("p_rank"))
+    return seen.join(F.broadcast(drawn)).join(F.broadcast(ranked))
+
+
 @query("SELECT p_brand, count(*) AS n, round(regr_r2(p_retailprice, p_size), 6) AS r2, round(1 - (1 - regr_r2(p_retailprice, p_size)) * (count(*) - 1) / (count(*) - 2), 6) AS r2_adjusted FROM part GROUP BY 1 HAVING count(*) > 2")
 def r2_adjusted(t):
     r2, n = F.regr_r2(F.col("p_retailprice"), F.col("p_size")), F.count(F.lit(1))

@@ -9,6 +9,7 @@ from rankloom.operators import ranks as R
 from rankloom.operators import signatures as S
 from rankloom.operators import statistics as T
 from rankloom.plans.base import query, r6
+from rankloom.plans.resample_queries import _u
 from rankloom.sources.relations import ASSAY, COUNTS, RANKED
 
 K = 10
@@ -164,8 +165,40 @@ def gene_class_decision(t):
     return d.select("feature", F.when(F.col("lo") > 0, "both_up").when(F.col("hi") < 0, "both_down").when(F.col("m") > 0.05, "mostly_up").when(F.col("m") < -0.05, "mostly_down").otherwise("unresolved").alias("class"))
 
 
-@query("WITH s AS (SELECT doc_id, string_split(text, ' ') AS g, string_split(lang || ';' || source, ';') AS d FROM documents) SELECT doc_id, i AS pos, g[i] AS gene, CASE WHEN i <= len(d) THEN d[i] ELSE 'NA' END AS direction FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM s)")
+@query("WITH s AS (SELECT doc_id, string_split(text, ' ') AS g, string_split(lang || ';' || source, ';') AS d FROM documents) SELECT doc_id, i AS pos, g[i] AS gene, CASE WHEN len(d) = len(g) THEN d[i] ELSE 'NA' END AS direction FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM s WHERE len(g) >= 2)")
 def signature_direction_parse(t):
-    s = t.documents.select("doc_id", F.split("text", " ").alias("g"), F.split(F.concat_ws(";", "lang", "source"), ";").alias("d"))
-    e = s.select("doc_id", "d", F.posexplode("g").alias("p", "gene"))
+    """Listed genes with their directions, which count only where there are as many as genes; a signature has two genes at least."""
+    s = t.documents.select("doc_id", F.split("text", " ").alias("g"), F.split(F.concat_ws(";", "lang", "source"), ";").alias("d")).filter(F.size("g") >= 2)
+    e = s.select("doc_id", F.when(F.size("d") == F.size("g"), F.col("d")).alias("d"), F.posexplode("g").alias("p", "gene"))
     return e.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "gene", F.coalesce(F.get("d", F.col("p")), F.lit("NA")).alias("direction"))
+
+
+_HALVES = f"{COUNTS}, h AS (SELECT rep, donor, {_u('markers', 'rep', 'donor')} < 0.5 AS first FROM (SELECT DISTINCT donor FROM counts), (SELECT unnest(range(1, 11)) AS rep)), m AS (SELECT rep, first, kind, feature, avg(n) AS x FROM counts JOIN h ON counts.donor = h.donor GROUP BY 1, 2, 3, 4), z AS (SELECT *, (x - avg(x) OVER w) / (stddev_samp(x) OVER w + 1e-6) AS z FROM m WINDOW w AS (PARTITION BY rep, first, feature)), k AS (SELECT *, row_number() OVER (PARTITION BY rep, first, kind ORDER BY round(z, 9) DESC, feature) AS k FROM z WHERE z IS NOT NULL), s AS (SELECT kind, feature, count(*) / 20.0::DOUBLE AS stability FROM k WHERE k <= 6 GROUP BY 1, 2), a AS (SELECT kind, feature, avg(n) AS x FROM counts GROUP BY 1, 2), az AS (SELECT *, (x - avg(x) OVER w) / (stddev_samp(x) OVER w + 1e-6) AS z FROM a WINDOW w AS (PARTITION BY feature))"
+
+
+@query(f"WITH {_HALVES}, j AS (SELECT az.kind, az.feature, z, stability, row_number() OVER (PARTITION BY az.kind ORDER BY round(z, 9) DESC, az.feature) AS rank FROM az JOIN s ON az.kind = s.kind AND az.feature = s.feature WHERE stability >= 0.4 AND z IS NOT NULL) SELECT kind, feature, rank, round(z, 6) AS z, round(stability, 6) AS stability FROM j WHERE rank <= 3")
+def stable_markers(t, resamples: int = 10, top: int = 3):
+    """Markers by specificity z that also lead in halves of the donors: the share of 20 half-samples in which a feature is among the first six."""
+    spec = lambda m, keys: R.zscore(m, [*keys, "feature"], "x", eps=1e-6).filter("z IS NOT NULL")
+    reps = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(resamples).cast("long")))
+    halved = t.counts.withColumn("rep", reps).withColumn("first", T.unit_random("markers", F.col("rep"), F.col("donor")) < 0.5)
+    half = spec(halved.groupBy("rep", "first", "kind", "feature").agg(F.avg("n").alias("x")), ["rep", "first"])
+    lead = R.top_n(half, ["rep", "first", "kind"], [F.desc(F.round("z", 9)), F.col("feature")], 2 * top)
+    stable = lead.groupBy("kind", "feature").agg((F.count(F.lit(1)) / (2.0 * resamples)).alias("stability")).filter("stability >= 0.4")
+    each = spec(_profile(t), []).join(stable, ["kind", "feature"])
+    ranked = R.ordinal_rank(each, "kind", [F.desc(F.round("z", 9)), F.col("feature")], "rank")
+    return ranked.filter(F.col("rank") <= top).select("kind", "feature", "rank", r6("z"), r6("stability"))
+
+
+_PROGRAMS = "p AS (SELECT unnest(range(1, 65)) AS feature), q AS (SELECT feature, feature % 4 AS program, (feature // 4) % 2 AS down, feature % 7 = 0 AS shared FROM p)"
+
+
+@query(f"WITH {ASSAY}, {RANKED}, {_PROGRAMS}, u AS (SELECT sample, program, v AS variant, avg(r) FILTER (WHERE down = 0) AS up, avg(r) FILTER (WHERE down = 0) - avg(r) FILTER (WHERE down = 1) AS score, count(*) FILTER (WHERE down = 0) AS n_up, count(*) FILTER (WHERE down = 1) AS n_down FROM ranks JOIN q ON ranks.feature = q.feature, (VALUES ('full'), ('without_shared')) AS t(v) WHERE v = 'full' OR NOT shared GROUP BY 1, 2, 3) SELECT sample, program, variant, round(score, 6) AS score, round(up, 6) AS up FROM u WHERE n_up >= 5 AND n_down >= 5")
+def program_scores(t, least: int = 5):
+    """Programs on ranks, up minus down, with all their features and without those that they share with the core set; sides under `least` measured features give none."""
+    f = F.col("feature")
+    variants = F.explode(F.when(f % 7 == 0, F.array(F.lit("full"))).otherwise(F.array(F.lit("full"), F.lit("without_shared")))).alias("variant")
+    each = S.full_ranks(t.assay).select("sample", (f % 4).alias("program"), (F.floor(f / 4) % 2).alias("down"), "r", variants)
+    side = lambda k, agg=F.avg: agg(F.when(F.col("down") == k, F.col("r")))
+    s = each.groupBy("sample", "program", "variant").agg(side(0).alias("up"), (side(0) - side(1)).alias("score"), side(0, F.count).alias("n_up"), side(1, F.count).alias("n_down"))
+    return s.filter((F.col("n_up") >= least) & (F.col("n_down") >= least)).select("sample", "program", "variant", r6("score"), r6("up"))

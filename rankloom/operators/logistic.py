@@ -74,7 +74,7 @@ def lasso_step(w: np.ndarray, g: np.ndarray, h: np.ndarray, rounds: int = 500) -
     return x
 
 
-def fit_all(blocks: DataFrame, moments: dict, models: list[Model], passes: int = 200, tol: float = 1e-6) -> list[Model]:
+def fit_all(blocks: DataFrame, moments: dict, models: list[Model], passes: int = 200, tol: float = 1e-5) -> list[Model]:
     """Train the models in place. blocks: packed(); moments: (cohort, class) -> moment matrix of (1, x)."""
     wide = next(iter(moments.values())).shape[0] - 1
     for m in models:

@@ -65,7 +65,8 @@ def residual_on_negatives(df: DataFrame, keys, y: str = "y", score: str = "score
 def spread_rank(df: DataFrame, keys, value: str, out: str, base: DataFrame | None = None) -> DataFrame:
     """Average rank for few keys with many rows: counts by distinct value, prefix sums over bins, joined back by value.
 
-    base: the same rows with a shorter plan to count, where df already carries other ranks.
+    base: the same rows with a shorter plan to count, where df already carries other ranks. Values that are sums of
+    doubles must be written first (materialize): made twice, they may differ in the last digit and miss each other.
     """
     keys = _cols(keys)
     counts = (df if base is None else base).groupBy(*keys, value).agg(F.count(F.lit(1)).cast("double").alias("_n"))
@@ -84,7 +85,7 @@ def spearman(df: DataFrame, keys, a: str, b: str, out: str = "rho", many_keys: b
 
 
 def bh(df: DataFrame, p: str, keys=(), out: str = "q", parts: int = 1024) -> DataFrame:
-    """Benjamini-Hochberg q values per key; a null p has a null q.
+    """Benjamini-Hochberg q values per key; a null p has a null q. Computed p values must be written first, as in spread_rank.
 
     Distinct values take their rank by prefix sums over bins, then fall in bins of equal rank: the least raised value is
     taken inside a bin and over the later bins' minima, so no task holds a key.

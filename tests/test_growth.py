@@ -1,8 +1,13 @@
 """What fails only on large tables or several executors, made to show on small ones."""
 
+import math
+import time
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 
+from rankloom.operators import tails
 from rankloom.plans import vector_queries as V
 from rankloom.sources.relations import Tables
 
@@ -30,3 +35,19 @@ def test_signed_ranks_lose_no_supplier(spark, sf_dir):
     x = pd.read_parquet(f"{sf_dir}/lineitem.parquet").pivot_table(index="l_suppkey", columns="l_returnflag", values="l_extendedprice", aggfunc="mean")
     d = (x["A"] - x["R"]).dropna()
     assert got.n == (d != 0).sum() and got.w == d.abs().rank()[d > 0].sum()
+
+
+def test_sign_test_is_exact_and_does_not_grow():
+    cases = [(0, 1), (1, 2), (1, 5), (9, 31), (140, 300), (480, 1000), (9990, 20_000), (9700, 20_000)]
+    for x, n in cases:
+        term = total = math.comb(n, x)
+        for i in range(x, 0, -1):
+            term = term * i // (n - i + 1)
+            total += term
+        want = min(1.0, float(Fraction(2 * total, 2**n)))
+        got = tails._binomial(pd.Series([x, n - x]), pd.Series([n, n]))
+        assert np.allclose(got, want, rtol=1e-12)
+    start = time.time()
+    p = tails._binomial(pd.Series([199_900, 199_900_000]), pd.Series([400_000, 400_000_000]))
+    z = np.array([(200_000 - 199_900 - 0.5) / math.sqrt(100_000), (200_000_000 - 199_900_000 - 0.5) / math.sqrt(100_000_000)])
+    assert np.allclose(p, [math.erfc(v / math.sqrt(2)) for v in z], atol=1e-6) and time.time() - start < 10

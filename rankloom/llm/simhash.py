@@ -22,13 +22,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import materialize, pick, small_batches
+from rankloom.llm.common import discard, materialize, pick, small_batches
 from rankloom.operators.components import connected_components
 
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_FP = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fp", pa.int64())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -60,15 +60,19 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 def _fingerprints(shingle: int):
     def run(batches):
         for batch in batches:
+            marks, first = batch.column(2), 0
             for ids, texts in small_batches(batch):
                 fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], schema=_FP)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), marks.slice(first, len(ids)), pa.array(fps)], schema=_FP)
+                first += len(ids)
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    return pick(docs, id_col, text_col).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, mark: Column | None = None) -> DataFrame:
+    """doc_id, mark (any number that the caller gives its rows), fp."""
+    given = docs.withColumn("_rankloom_mark", mark if mark is not None else F.lit(None).cast("long"))
+    return pick(given, id_col, text_col, "_rankloom_mark").mapInArrow(_fingerprints(shingle), "doc_id long, mark long, fp long")
 
 
 def block_masks(blocks: int, radius: int) -> list[int]:
@@ -199,13 +203,13 @@ def fingerprint_links(nodes: DataFrame, radius: int = 2, blocks: int = 5, n_pivo
     return dealt.mapInArrow(_links(masks, radius, n_pivots), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3, blocks: int = 5, n_pivots: int = 32) -> DataFrame:
-    """One row per document: doc_id, fp (signed 64 bits), component_id."""
-    each = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3, blocks: int = 5, n_pivots: int = 32, mark: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, mark (as in fingerprints), fp (signed 64 bits), component_id."""
+    each = materialize(fingerprints(docs, id_col, text_col, shingle, mark), "fingerprints")
     nodes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("root")), "nodes")
     found = connected_components(fingerprint_links(nodes.filter("root is not null"), radius, blocks, n_pivots))
     named = nodes.join(found, nodes["root"] == found["node"], "left").select("fp", F.coalesce("component", "root").alias("component_id"))
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    return each.join(named, "fp").select("doc_id", "mark", "fp", "component_id")
 
 
 def op9_simhash_neardup(spark, sf_dir):
@@ -216,13 +220,20 @@ def op9_simhash_neardup(spark, sf_dir):
 def neardup_stage(spark, docs, sf_dir):
     """Pipeline stage: of each component the rows of its smallest doc_id's texts stay, the others go; a null doc_id stays; columns unchanged.
 
-    Documents are linked by a Jaccard similarity of 0.8 or more of their five-word shingles; the fingerprints' radius is
-    operator 9's alone. Rows are judged by doc_id and text together, so rows that share an id do not judge each other.
+    Documents are linked by operator 9: fingerprints, block keys, pivot distance tables, 2 bits. An exact check follows,
+    since near copies of a few changed words lie further apart: all pairs of a Jaccard similarity of 0.8 or more of their
+    five-word shingles are links too, and both kinds join into one set of components. Rows are judged by doc_id and text
+    together, so rows that share an id do not judge each other.
     """
     from rankloom.llm.jaccard import jaccard_components, text_mark
 
-    each = jaccard_components(docs).filter("doc_id IS NOT NULL")
-    gone = each.filter("doc_id <> component_id").select(F.col("doc_id").alias("_rankloom_id"), F.col("mark").alias("_rankloom_mark")).distinct()
     tagged = docs.withColumn("_rankloom_text", text_mark("text"))
+    by_bits = materialize(simhash_components(docs, mark=text_mark("text")).filter("doc_id IS NOT NULL").select("doc_id", "mark", F.col("component_id").alias("a")).distinct(), "by-bits")
+    by_sets = jaccard_components(docs).filter("doc_id IS NOT NULL").select("doc_id", "mark", F.col("component_id").alias("b")).distinct()
+    both = materialize(by_bits.join(by_sets, ["doc_id", "mark"]), "by-both")
+    discard(by_bits)
+    joined = connected_components(both.select("a", "b"))
+    each = both.join(joined, both["b"] == joined["node"], "left").select("doc_id", "mark", F.coalesce("component", "b").alias("component_id"))
+    gone = each.filter("doc_id <> component_id").select(F.col("doc_id").alias("_rankloom_id"), F.col("mark").alias("_rankloom_mark")).distinct()
     out = tagged.join(gone, (tagged["doc_id"].cast("long") == gone["_rankloom_id"]) & (tagged["_rankloom_text"] == gone["_rankloom_mark"]), "left_anti")
     return out.select(*docs.columns)

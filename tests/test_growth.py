@@ -3,9 +3,11 @@
 import math
 import time
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from rankloom.operators import tails
 from rankloom.plans import vector_queries as V
@@ -51,3 +53,37 @@ def test_sign_test_is_exact_and_does_not_grow():
     p = tails._binomial(pd.Series([199_900, 199_900_000]), pd.Series([400_000, 400_000_000]))
     z = np.array([(200_000 - 199_900 - 0.5) / math.sqrt(100_000), (200_000_000 - 199_900_000 - 0.5) / math.sqrt(100_000_000)])
     assert np.allclose(p, [math.erfc(v / math.sqrt(2)) for v in z], atol=1e-6) and time.time() - start < 10
+
+
+def test_pipeline_leaves_one_stage_on_disk(spark, sf_dir):
+    """The last stage reads one table; inputs and working tables of the stages before are gone."""
+    import corpus_pipeline
+    from rankloom.sources.shared import shared_dir
+
+    where = Path(shared_dir(spark).removeprefix("file:")) / "rankloom" / spark.sparkContext.applicationId
+    before = set(where.iterdir()) if where.exists() else set()
+    out = corpus_pipeline.run(spark, sf_dir)
+    left = [p.name for p in set(where.iterdir()) - before]
+    assert len(left) == 1 and left[0].startswith("stage-decontamination") and out.count() > 0
+
+
+def test_pipeline_links_by_fingerprint(spark, sf_dir, monkeypatch):
+    """Fingerprints within 2 bits make a link in the pipeline's near-dedup, whatever the shingle sets say, and join the sets' components."""
+    from rankloom.llm import simhash
+
+    rng = np.random.default_rng(5)
+    base, other = (["%s%d" % (c, k) for k in rng.integers(0, 9000, 100)] for c in "vu")
+    near = [*base[:50], "new", *base[51:]]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(other)), (4, " ".join(other[:60])), (None, "no id")]
+    marked = {" ".join(near).encode(): 0b11, " ".join(other).encode(): 0b10}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, id_col, text_col, shingle, mark: plain(docs, marked, mark))
+    left = simhash.neardup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "4", "None"]
+
+
+def plain(docs, marked, mark):
+    """Set fingerprints for the texts named, and one far from all others for the rest."""
+    fp = F.xxhash64("text")
+    for text, bits in marked.items():
+        fp = F.when(F.col("text") == text.decode(), F.lit(bits).cast("long")).otherwise(fp)
+    return docs.select("doc_id", mark.alias("mark"), fp.alias("fp"))

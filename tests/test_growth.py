@@ -1,5 +1,6 @@
 """What fails only on large tables or several executors, made to show on small ones."""
 
+import hashlib
 import math
 import time
 from fractions import Fraction
@@ -9,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from rankloom.operators import replicates as R
 from rankloom.operators import tails
 from rankloom.plans import vector_queries as V
 from rankloom.sources.relations import Tables
@@ -87,3 +89,38 @@ def plain(docs, marked, mark):
     for text, bits in marked.items():
         fp = F.when(F.col("text") == text.decode(), F.lit(bits).cast("long")).otherwise(fp)
     return docs.select("doc_id", mark.alias("mark"), fp.alias("fp"))
+
+
+def test_digests_equal_the_library():
+    ids = [str(i).encode() for i in [*range(0, 9000, 7), 10**18, -5]] + [b"x" * 60, b""]
+    prefixes = [b"sp|1|", b"boot|499|", b"a" * 40]
+    got = R.digests(prefixes, ids, step=500)
+    for j, p in enumerate(prefixes):
+        assert got[:, j].tolist() == [np.frombuffer(hashlib.md5(p + i).digest(), ">u4").tolist() for i in ids]
+    assert (R.poisson_weights("boot", range(700), 22) == np.searchsorted(R.POISSON, R.words("boot", range(700), 22), side="right")).all()
+
+
+def test_permuted_products_over_bins_and_passes(spark):
+    """Small bins, chunks and passes against one sort; draws of equal first bits and negative ids included."""
+    rng = np.random.default_rng(3)
+    n, reps = 1500, 13
+    ids = np.sort(rng.choice(np.arange(-4000, 60_000), n, replace=False))
+    a, b = rng.integers(-n, n, n), rng.integers(-n, n, n)
+    df = spark.createDataFrame([(int(i), k, int(x), int(y)) for k, (i, x, y) in enumerate(zip(ids, a, b))], "id long, i long, a int, b int").repartition(3)
+    got = {r.rep: r.v for r in R.permuted_products(df, "id", "i", n, "a", "b", "s", reps, most_bytes=8 * n * 5, bin_rows=100).collect()}
+    want = {}
+    for rep in range(1, reps + 1):
+        u = [int(hashlib.md5(f"s|{rep}|{i}".encode()).hexdigest()[:8], 16) for i in ids]
+        want[rep] = float(a[np.argsort(u, kind="stable")] @ b)
+    assert got == want
+
+
+def test_bootstrap_draws_once_for_all_keys(spark):
+    """Rows of one name under several keys take the same weights, dealt together or not."""
+    rng = np.random.default_rng(1)
+    x, key, name = rng.normal(size=(90, 2)), rng.integers(0, 3, 90), rng.integers(0, 25, 90)
+    df = spark.createDataFrame([(int(k), int(i), v.tolist()) for k, i, v in zip(key, name, x)], "k long, i long, x array<double>").repartition(4)
+    w = np.searchsorted(R.POISSON, R.words("a", name, 10), side="right")
+    for r in R.weighted_sums(df, "k", "i", "x", "a", 10, block=4, together=True).collect():
+        own = key == r.k
+        assert r.n == w[own, r.rep].sum() and np.allclose(r.s, w[own, r.rep] @ x[own]) and r.all_n == own.sum()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import replicates as R
 from rankloom.operators import tails
+from rankloom.operators.nearest import nearest
 from rankloom.plans import vector_queries as V
 from rankloom.sources.relations import Tables
 
@@ -124,3 +125,14 @@ def test_bootstrap_draws_once_for_all_keys(spark):
     for r in R.weighted_sums(df, "k", "i", "x", "a", 10, block=4, together=True).collect():
         own = key == r.k
         assert r.n == w[own, r.rep].sum() and np.allclose(r.s, w[own, r.rep] @ x[own]) and r.all_n == own.sum()
+
+
+def test_nearest_in_steps_of_queries(spark):
+    """Steps smaller than a block of queries give the same partners."""
+    x = np.random.default_rng(2).normal(size=(120, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sample long, x array<double>").repartition(3)
+    got = {r.i: (r.j, r.w) for r in nearest(df, df.filter("sample % 2 = 0"), 1, block=40, at_once=7).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    w = np.round(u @ u.T, 6)
+    np.fill_diagonal(w, -2)
+    assert got == {i: (int(w[i].argmax()), w[i].max()) for i in range(0, 120, 2)}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rankloom.operators import replicates as R
 from rankloom.operators import tails
 from rankloom.operators.nearest import nearest
+from rankloom.operators.rewiring import rewire
 from rankloom.plans import vector_queries as V
 from rankloom.sources.relations import Tables
 
@@ -136,3 +137,18 @@ def test_nearest_in_steps_of_queries(spark):
     w = np.round(u @ u.T, 6)
     np.fill_diagonal(w, -2)
     assert got == {i: (int(w[i].argmax()), w[i].max()) for i in range(0, 120, 2)}
+
+
+def test_rewiring_sends_no_table_to_the_driver(spark):
+    """A broadcast passes the driver whole: with the largest one set to a byte, each would fail."""
+    rng = np.random.default_rng(8)
+    pairs = {(int(a), int(100 + b)) for a, b in rng.integers(0, 100, (900, 2))} | {(0, 100 + b) for b in range(100)}
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "a long, b long, weight double")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        out, told = rewire(edges, swap_factor=3)
+        got = [(r.a, r.b) for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    degree = lambda es: np.bincount(np.ravel(list(es)), minlength=200).tolist()
+    assert degree(got) == degree(pairs) and len(set(got)) == len(pairs) and told["swaps_done"] >= 3 * len(pairs)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.sources.shared import discard, materialize, own_tables, release, shared_dir  # noqa: F401  the operators' way to cut lineage
+from rankloom.sources.shared import discard, few_files, materialize, own_tables, release, shared_dir  # noqa: F401  the operators' way to cut lineage
 
 #: ASCII white space of every word rule here: [\x20\x09-\x0D], which is also what bytes.split() splits on.
 WHITE = r"[\x20\x09-\x0D]+"

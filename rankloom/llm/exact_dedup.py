@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import materialize, pick, small_batches
+from rankloom.llm.common import few_files, materialize, pick, small_batches
 
 _SPACE = b" \t\n\x0b\x0c\r"
 #: Rough cost of a node beside its label, in bytes.
@@ -256,4 +256,4 @@ def dedup_stage(spark, docs, sf_dir):
     tagged = docs.select("*", raw.alias(marks[0]), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(marks[1]), F.isnull("doc_id").alias(marks[2]))
     keep = exact_dedup(docs, raw=raw).filter("kept").select(F.col("raw").alias(marks[0]), F.coalesce("doc_id", F.lit(0)).alias(marks[1]), F.isnull("doc_id").alias(marks[2]))
     one = F.row_number().over(W.partitionBy(*marks).orderBy(marks[0]))
-    return tagged.join(keep, marks, "left_semi").withColumn("_rankloom_n", one).filter("_rankloom_n = 1").select(*docs.columns)
+    return few_files(tagged.join(keep, marks, "left_semi").withColumn("_rankloom_n", one).filter("_rankloom_n = 1").select(*docs.columns))

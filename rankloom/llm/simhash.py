@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import discard, materialize, pick, small_batches
+from rankloom.llm.common import discard, few_files, materialize, pick, small_batches
 from rankloom.operators.components import connected_components
 
 _FP = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fp", pa.int64())])
@@ -205,8 +205,8 @@ def fingerprint_links(nodes: DataFrame, radius: int = 2, blocks: int = 5, n_pivo
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3, blocks: int = 5, n_pivots: int = 32, mark: Column | None = None) -> DataFrame:
     """One row per document: doc_id, mark (as in fingerprints), fp (signed 64 bits), component_id."""
-    each = materialize(fingerprints(docs, id_col, text_col, shingle, mark), "fingerprints")
-    nodes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("root")), "nodes")
+    each = materialize(few_files(fingerprints(docs, id_col, text_col, shingle, mark)), "fingerprints")
+    nodes = materialize(few_files(each.groupBy("fp").agg(F.min("doc_id").alias("root"))), "nodes")
     found = connected_components(fingerprint_links(nodes.filter("root is not null"), radius, blocks, n_pivots))
     named = nodes.join(found, nodes["root"] == found["node"], "left").select("fp", F.coalesce("component", "root").alias("component_id"))
     return each.join(named, "fp").select("doc_id", "mark", "fp", "component_id")
@@ -228,12 +228,12 @@ def neardup_stage(spark, docs, sf_dir):
     from rankloom.llm.jaccard import jaccard_components, text_mark
 
     tagged = docs.withColumn("_rankloom_text", text_mark("text"))
-    by_bits = materialize(simhash_components(docs, mark=text_mark("text")).filter("doc_id IS NOT NULL").select("doc_id", "mark", F.col("component_id").alias("a")).distinct(), "by-bits")
+    by_bits = materialize(few_files(simhash_components(docs, mark=text_mark("text")).filter("doc_id IS NOT NULL").select("doc_id", "mark", F.col("component_id").alias("a")).distinct()), "by-bits")
     by_sets = jaccard_components(docs).filter("doc_id IS NOT NULL").select("doc_id", "mark", F.col("component_id").alias("b")).distinct()
-    both = materialize(by_bits.join(by_sets, ["doc_id", "mark"]), "by-both")
+    both = materialize(few_files(by_bits.join(by_sets, ["doc_id", "mark"])), "by-both")
     discard(by_bits)
     joined = connected_components(both.select("a", "b"))
     each = both.join(joined, both["b"] == joined["node"], "left").select("doc_id", "mark", F.coalesce("component", "b").alias("component_id"))
     gone = each.filter("doc_id <> component_id").select(F.col("doc_id").alias("_rankloom_id"), F.col("mark").alias("_rankloom_mark")).distinct()
     out = tagged.join(gone, (tagged["doc_id"].cast("long") == gone["_rankloom_id"]) & (tagged["_rankloom_text"] == gone["_rankloom_mark"]), "left_anti")
-    return out.select(*docs.columns)
+    return few_files(out.select(*docs.columns))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import drop_rows, pick, small_batches, table, texts_of
+from rankloom.llm.common import drop_rows, few_files, pick, small_batches, table, texts_of
 from rankloom.llm.labelled import bounded_sample, held_out
 
 #: Letters that a written character may stand for.
@@ -277,4 +277,4 @@ def toxicity_stage(spark, docs, sf_dir, most_rows: int = 12_000):
         score = _scorer(shared.value)
         return lambda texts: (score(texts) < 0.5).tolist()
 
-    return drop_rows(docs, "text", judge)
+    return few_files(drop_rows(docs, "text", judge))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import drop_rows, few_files, materialize, pick, small_batches, table
+from rankloom.llm.common import drop_rows, materialize, pick, small_batches, table
 
 _BITS = 17
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -319,4 +319,4 @@ def decontaminate_stage(spark, docs, sf_dir):
 
     for scan in _scans(pick(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark")):
         docs = drop_rows(docs, "text", judge_by(scan))
-    return few_files(docs)
+    return docs

@@ -73,3 +73,30 @@ def test_strata_and_mode(spark):
     assert sorted(r.stratum for r in ranks.quantile_strata(d, "v", 4, "k").collect()) == [0, 0, 1, 1, 2, 2, 3, 3]
     m = spark.createDataFrame([("a", 2), ("a", 1), ("a", 1), ("a", 2)], "k string, v int")
     assert ranks.mode_smallest(m, "k", "v").first()["mode"] == 1
+
+
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    """Every file that an executor writes starts processes: a round writes one a core and one for each 500,000 links, whatever the number of shuffle partitions."""
+    from pathlib import Path
+
+    from rankloom.operators import components
+
+    files, kept = [], components.materialize
+
+    def counted(df, name):
+        out = kept(df, name)
+        files.append(len(list(Path(out._written_at.removeprefix("file://")).glob("part-*"))))
+        return out
+
+    monkeypatch.setattr(components, "materialize", counted)
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {k: spark.conf.get(k) for k in keys}
+    spark.conf.set(keys[0], "16")
+    spark.conf.set(keys[1], "false")
+    try:
+        found = components.connected_components(spark.range(300).selectExpr("id + 3 AS a", "id AS b")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, found)) == [(k, k % 3) for k in range(3, 303)]
+    assert len(files) > 1 and max(files[1:]) <= spark.sparkContext.defaultParallelism

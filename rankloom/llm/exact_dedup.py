@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import materialize, pick, small_batches
+from rankloom.llm.common import in_slots, materialize, pick, slot_table, small_batches
 
 _SPACE = b" \t\n\x0b\x0c\r"
 #: Rough cost of a node beside its label, in bytes.
@@ -249,11 +249,16 @@ def dedup_stage(spark, docs, sf_dir):
 
     The kept row is found again by its doc_id and the hash of its bytes as they stand, so a null doc_id can stay, texts
     that are not UTF-8 are parted like any other, and of rows equal in both one stays: the window runs over kept rows
-    alone, on the join's own partitioning.
+    alone, on the join's own partitioning. Only texts that have copies are asked for: a bit table of their hashes parts
+    the documents that surely have none, and those are not shuffled.
     """
     marks = ["_rankloom_raw", "_rankloom_id", "_rankloom_null"]
     raw = F.sha2(F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")), 256)
     tagged = docs.select("*", raw.alias(marks[0]), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(marks[1]), F.isnull("doc_id").alias(marks[2]))
-    keep = exact_dedup(docs, raw=raw).filter("kept").select(F.col("raw").alias(marks[0]), F.coalesce("doc_id", F.lit(0)).alias(marks[1]), F.isnull("doc_id").alias(marks[2]))
+    several = materialize(exact_dedup(docs, raw=raw).filter("group_size > 1").select(F.col("raw").alias(marks[0]), F.coalesce("doc_id", F.lit(0)).alias(marks[1]), F.isnull("doc_id").alias(marks[2]), "kept"), "exact-copies")
+    slot = F.xxhash64(marks[0])
+    copied = in_slots(slot_table(several.select(slot.alias("slot")), "slot"), slot)
     one = F.row_number().over(W.partitionBy(*marks).orderBy(marks[0]))
-    return tagged.join(keep, marks, "left_semi").withColumn("_rankloom_n", one).filter("_rankloom_n = 1").select(*docs.columns)
+    flags = several.groupBy(*marks).agg(F.max("kept").alias("_rankloom_kept"))
+    asked = tagged.filter(copied).join(flags, marks, "left").withColumn("_rankloom_n", one).filter("_rankloom_kept IS NULL OR (_rankloom_kept AND _rankloom_n = 1)")
+    return tagged.filter(~copied).select(*docs.columns).union(asked.select(*docs.columns))

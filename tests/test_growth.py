@@ -152,3 +152,37 @@ def test_rewiring_sends_no_table_to_the_driver(spark):
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
     degree = lambda es: np.bincount(np.ravel(list(es)), minlength=200).tolist()
     assert degree(got) == degree(pairs) and len(set(got)) == len(pairs) and told["swaps_done"] >= 3 * len(pairs)
+
+
+def test_near_dedup_keeps_no_table_of_whole_sets(spark, sf_dir, monkeypatch):
+    """Whole sets take more room than texts; of texts without near copies none is written, and the tables stay well under them."""
+    from rankloom.llm import jaccard
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join("%06d" % k for k in rng.integers(0, 1_000_000, 2000)) for _ in range(60)]
+    live, written = {}, []
+    plainly, drop = jaccard.materialize, jaccard.discard
+
+    def noted(df, name):
+        out = plainly(df, name)
+        live[out._written_at] = sum(p.stat().st_size for p in Path(out._written_at.removeprefix("file:").replace("//", "/")).rglob("*.parquet"))
+        written.append(sum(live.values()))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    monkeypatch.setattr(jaccard, "discard", lambda *t: ([live.pop(x._written_at) for x in t], drop(*t)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    out = jaccard.jaccard_components(docs)
+    assert {(r.doc_id, r.component_id) for r in out.collect()} == {(i, i) for i in range(60)}
+    assert max(written) < 0.8 * 5 * 60 * 1996  # five bytes an element
+
+
+def test_exact_dedup_keeps_texts_that_share_a_slot(spark, sf_dir):
+    """Bit tables only part rows: a text alone in its group stays though its slot is that of a text with copies, and equal rows stay once."""
+    from rankloom.llm import common, exact_dedup
+
+    spread = spark.range(30_000).select("id", F.xxhash64(F.sha2(F.concat(F.lit("text "), F.col("id").cast("string")).cast("binary"), 256)).bitwiseAND(F.lit(common.SLOTS - 1)).alias("at"))
+    a, b = next(sorted(r.ids) for r in spread.groupBy("at").agg(F.collect_list("id").alias("ids")).filter("size(ids) > 1").collect())[:2]
+    rows = [(1, f"text {a}"), (1, f"text {a}"), (2, f"text  {a}"), (3, f"text {a}"), (4, f"text {b}"), (None, f"text {b}."), (5, "other")]
+    left = exact_dedup.dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sf_dir)
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([("1", f"text {a}"), ("4", f"text {b}"), ("None", f"text {b}."), ("5", "other")])

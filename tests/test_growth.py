@@ -186,3 +186,15 @@ def test_exact_dedup_keeps_texts_that_share_a_slot(spark, sf_dir):
     rows = [(1, f"text {a}"), (1, f"text {a}"), (2, f"text  {a}"), (3, f"text {a}"), (4, f"text {b}"), (None, f"text {b}."), (5, "other")]
     left = exact_dedup.dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sf_dir)
     assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([("1", f"text {a}"), ("4", f"text {b}"), ("None", f"text {b}."), ("5", "other")])
+
+
+def test_rewired_graph_holds_every_line(spark, sf_dir, monkeypatch):
+    """Every line item is an edge of its supplier and customer, whatever its quantity."""
+    from rankloom.plans import catalog, null_queries
+
+    monkeypatch.setattr(null_queries, "rewire", lambda e, swap_factor: (e.select("a", "b").distinct(), {}))  # swaps keep the degrees
+    got = {r.node: r.degree for r in catalog.queries()["rewired_degrees"](spark, sf_dir).collect()}
+    lines, orders = (pd.read_parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    e = lines.merge(orders, left_on="l_orderkey", right_on="o_orderkey")[["l_suppkey", "o_custkey"]].drop_duplicates()
+    want = pd.concat([e["l_suppkey"].value_counts(), e["o_custkey"].rename_axis(None).add(1_000_000_000).value_counts()])
+    assert got == want.to_dict()
